@@ -11,12 +11,14 @@ from .packing import op9_best_fit_packing
 from .quality import op4_quality_classifier
 from .secrets import OP10_SQL, op10_secret_scan
 from .simhash import op2_simhash_neardup
+from .substring_dedup import op5_suffix_dedup
 
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_simhash_neardup": op2_simhash_neardup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_html_extraction": op8_html_extraction,
