@@ -1,8 +1,65 @@
-"""The corpus pipeline: STAGES over `documents`, each on all that the one before kept."""
+"""The corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, benchmark decontamination, packing.
 
-STAGES = []
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each stage's rows are
+written as Parquet and read again as the next one's docs, so a stage works on all that the one before kept, and a lost
+executor costs no more than a stage's tasks. All but the last return the columns of `documents`.
+
+Rows with a null doc_id can't be labelled or linked by id; they pass the filters like rows of their own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framealign.llm import common, decontaminate, exact_dedup, huffman, packing, quality, simhash
+
+#: A document goes if the probability of label 1 is below this: it is likelier junk than not.
+LEAST_SCORE = 0.5
+
+
+def _only(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in kept_ids (doc_id, all different) or null."""
+    return docs.join(kept_ids, docs["doc_id"].eqNullSafe(kept_ids["kept_id"]), "left_semi")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.fit(docs, common.table(spark, sf_dir, "labels")), LEAST_SCORE)
+
+
+def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _only(docs, exact_dedup.dedup_table(docs).filter("kept").select(F.col("doc_id").alias("kept_id")))
+
+
+def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each component stays."""
+    found = simhash.near_duplicates(docs)
+    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")))
+
+
+def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(common.cut(packing.pieces(docs, huffman.vocabulary_path("word_bpe_49k.json"))))
+
+
+STAGES = [
+    ("quality_classifier", quality_filter),
+    ("exact_dedup", exact_dedup_filter),
+    ("simhash_neardup", near_dedup_filter),
+    ("benchmark_decontamination", decontamination_filter),
+    ("best_fit_packing", packed),
+]
+
+#: Fingerprints and a trained network can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

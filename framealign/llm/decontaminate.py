@@ -294,6 +294,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return merged.withColumn("n_hit", F.aggregate(pieces, F.lit(0).cast("long"), lambda a, x: a + x)).select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window; nothing is joined or shuffled."""
+    spark = docs.sparkSession
+    common.ship(spark)
+
+    def clean(shared):  # noqa: ANN001, ANN202
+        search = _search(shared)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = pa.nulls(b.num_rows, pa.int64())
+                texts = pa.record_batch([ids, b.column("text")], names=["doc_id", "text"])
+                hits = [n for part in search([texts]) for n in part.column("n_hit").to_pylist()]
+                yield b.filter(pa.array([n == 0 for n in hits], pa.bool_()))
+
+        return run
+
+    for block in _blocks(benchmark):
+        docs = docs.mapInArrow(clean(spark.sparkContext.broadcast(Phrases(block))), docs.schema)
+    return docs
+
+
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """`text` with its removal spans cut out."""
     out, at = [], 0

@@ -39,6 +39,8 @@ REPEAT = SHAPES - 1
 REACH = 2
 #: Bound of the sample of labelled rows that the network is trained on.
 MOST_ROWS = 20_000
+#: Bytes of text that are pooled at once.
+SLICE_BYTES = 8_000_000
 FEATURES = 2 * DIMS + 1
 
 _PUNCT = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
@@ -104,8 +106,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total = np.zeros(BUCKETS * DIMS)
     counts = np.zeros(BUCKETS, np.int64)
-    for b in batches:
-        word, shape, firsts = read_words(_texts(b))
+    for _, texts in (x for b in batches for x in _slices(b)):
+        word, shape, firsts = read_words(texts)
         counts += np.bincount(word, minlength=BUCKETS)
         doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
         for k in range(1, REACH + 1):
@@ -132,26 +134,43 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (out * weight[:, None]).astype(np.float32)
 
 
-def _vectors(shared):  # noqa: ANN001, ANN202
+def pooled(texts: list[bytes], vectors: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Document vectors, one row per text."""
+    word, shape, firsts = read_words(texts)
+    n = len(texts)
+    out = np.zeros((n, FEATURES), np.float32)
+    size = np.diff(firsts)
+    some = np.flatnonzero(size)
+    if len(some):
+        again = np.r_[False, word[1:] == word[:-1]]
+        doc = np.repeat(np.arange(n), size)
+        for k in range(DIMS):
+            out[some, k] = np.add.reduceat(vectors[word, k].astype(np.float64), firsts[some]) / size[some]
+        held = np.bincount(doc * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES).astype(np.float64)
+        again[firsts[some]] = False
+        held[:, REPEAT] += np.bincount(doc[again], minlength=n)
+        out[some, DIMS : 2 * DIMS] = (held[some] @ shapes) / size[some, None]
+        out[some, 2 * DIMS] = np.log1p(size[some])
+    return out
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch in slices of bounded size, with the row each starts at."""
+    texts, at, size = _texts(b), 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size > SLICE_BYTES:
+            yield at, texts[at : k + 1]
+            at, size = k + 1, 0
+    yield at, texts[at:]
+
+
+def _sampled(shared):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, shapes = shared.value, dense(*index_vectors())[BUCKETS:]
         for b in batches:
-            word, shape, firsts = read_words(_texts(b))
-            n = len(firsts) - 1
-            out = np.zeros((n, FEATURES), np.float32)
-            size = np.diff(firsts)
-            some = np.flatnonzero(size)
-            if len(some):
-                again = np.r_[False, word[1:] == word[:-1]]
-                doc = np.repeat(np.arange(n), size)
-                for k in range(DIMS):
-                    out[some, k] = np.add.reduceat(vectors[word, k].astype(np.float64), firsts[some]) / size[some]
-                held = np.bincount(doc * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES).astype(np.float64)
-                again[firsts[some]] = False
-                held[:, REPEAT] += np.bincount(doc[again], minlength=n)
-                out[some, DIMS : 2 * DIMS] = (held[some] @ shapes) / size[some, None]
-                out[some, 2 * DIMS] = np.log1p(size[some])
-            yield pa.record_batch([b.column("doc_id"), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "vector"])
+            x = np.concatenate([pooled(texts, vectors, shapes) for _, texts in _slices(b)])
+            yield pa.record_batch([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "vector"])
 
     return run
 
@@ -206,34 +225,61 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(raw, -50, 50)))
 
 
-def _scores(shared):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = shared.value
-        for b in batches:
-            x = np.frombuffer(common.raw_text(b.column("vector"))[0], np.float32).reshape(b.num_rows, FEATURES).astype(np.float64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(network.score(x), pa.float64())], names=["doc_id", "score"])
+def held_out() -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
-    return run
 
+class Model:
+    """Word vectors and network; scores texts."""
 
-def held_out() -> F.Column:
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    def __init__(self, vectors: np.ndarray, network: Network):
+        self.vectors, self.network, self.shapes = vectors, network, dense(*index_vectors())[BUCKETS:]
+
+    def score(self, b: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([self.network.score(pooled(texts, self.vectors, self.shapes).astype(np.float64)) for _, texts in _slices(b)])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """doc_id, score of every document; labels: doc_id, quality."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
+    """The model of a table: word vectors over all documents, network from labels (doc_id, quality)."""
     spark = docs.sparkSession
     common.ship(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = spark.sparkContext.broadcast(word_vectors(read))
-    pooled = common.cut(read.mapInArrow(_vectors(vectors), "doc_id long, vector binary"))
+    vectors = word_vectors(read)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality is not null").filter(~held_out())
-    sample = pooled.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "vector").limit(most_rows).collect()
-    x = np.array([np.frombuffer(r.vector, np.float32) for r in sample], np.float64).reshape(-1, FEATURES)
-    network = Network(x, np.array([float(r.quality > 0) for r in sample])) if sample else Network(np.zeros((1, FEATURES)), np.array([0.5]))
-    return pooled.mapInArrow(_scores(spark.sparkContext.broadcast(network)), "doc_id long, score double")
+    there = known.join(read.select("doc_id").distinct(), "doc_id", "left_semi")
+    sample = there.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_rows)
+    # at most most_rows rows of two numbers, so the broadcast has a fixed bound
+    rows = read.join(F.broadcast(sample), "doc_id").mapInArrow(_sampled(spark.sparkContext.broadcast(vectors)), "doc_id long, quality int, vector binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.vector)))
+    x = np.array([np.frombuffer(r.vector, np.float32) for r in rows], np.float64).reshape(-1, FEATURES)
+    network = Network(x, np.array([float(r.quality > 0) for r in rows])) if rows else Network(np.zeros((1, FEATURES)), np.array([0.5]))
+    return Model(vectors, network)
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("doc_id"), pa.array(shared.value.score(b), pa.float64())], names=["doc_id", "score"])
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return read.mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least `least`; nothing is joined or shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.score(b) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    docs = common.table(spark, sf_dir, "documents")
+    out = score_documents(docs, fit(docs, common.table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
