@@ -15,20 +15,19 @@ than the shortest window can hold no occurrence and isn't indexed. Over the rest
 Occurrences merge into removal spans per document.
 
 The benchmark is read to the driver in blocks of at most BLOCK_BYTES of text, each sent to the executors and searched
-in every shard in turn, so no block that is broadcast grows with the benchmark or the corpus; results of blocks are
-merged per document.
+in every shard in turn, so no block that is broadcast grows with the benchmark or the corpus.
 
 Cases: null and empty texts have no words; an empty benchmark hits nothing; items may repeat (each item_id counts once);
-null item_ids are not reported as items but their windows are hit. Rows that repeat a doc_id are separate rows as long
-as the benchmark fits one block; with more blocks rows of one doc_id with the same text are merged. Columns other than
-doc_id, text, item_id are not read.
+null item_ids are not reported as items but their windows are hit. Rows with a null or repeated doc_id are rows like any
+other. An empty table gives an empty result. Columns other than doc_id, text, item_id are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -192,33 +191,35 @@ def shard_hits(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarra
     index = FMIndex(text, len(phrases.symbols))
     lo, hi = index.search(phrases.rows, phrases.lengths)
     found = np.flatnonzero(lo < hi)
+    if not len(found):
+        return none, none
     sizes = (hi - lo)[found]
     rows = np.repeat(lo[found], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(np.r_[0, sizes[:-1]]), sizes)
     return origin[index.locate(rows)], np.repeat(found, sizes)
 
 
-def _shard(texts: list[bytes], phrases: Phrases) -> Iterator[tuple]:
+def _shard(texts: list[bytes], blocks: Iterable[Phrases]) -> Iterator[tuple]:
     """(n_words, n_hit, items, spans) of each document of a shard; spans in code points."""
-    get, counts, parts = phrases.symbols.get, [], []
-    for text in texts:
-        words = words_of(text)
-        parts.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)) if phrases.lengths.size else np.zeros(len(words), np.int64))
-        counts.append(len(words))
+    words = [words_of(text) for text in texts]
+    counts = [len(w) for w in words]
     # a separator word between documents
-    lengths = np.array(counts, np.int64) + 1
-    firsts = np.r_[0, np.cumsum(lengths)]
-    ids = np.zeros(int(firsts[-1]), np.int64)
-    for at, part in zip(firsts[:-1].tolist(), parts, strict=True):
-        ids[at : at + len(part)] = part
-    places, windows = shard_hits(ids, phrases) if phrases.lengths.size else (np.empty(0, np.int64),) * 2
-    edge = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(edge, places, 1)
-    np.add.at(edge, places + phrases.lengths[windows] if len(windows) else places, -1)
+    firsts = np.r_[0, np.cumsum(np.array(counts, np.int64) + 1)]
+    edge = np.zeros(int(firsts[-1]) + 1, np.int64)
+    held: dict[int, set[str]] = {}
+    for phrases in blocks:
+        if not phrases.lengths.size:
+            continue
+        get = phrases.symbols.get
+        ids = np.zeros(int(firsts[-1]), np.int64)
+        for at, own in zip(firsts[:-1].tolist(), words, strict=True):
+            ids[at : at + len(own)] = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
+        places, windows = shard_hits(ids, phrases)
+        np.add.at(edge, places, 1)
+        np.add.at(edge, places + phrases.lengths[windows], -1)
+        doc_of = np.searchsorted(firsts, places, side="right") - 1
+        for d, w in set(zip(doc_of.tolist(), windows.tolist(), strict=True)):
+            held.setdefault(d, set()).update(phrases.items[w])
     hit = np.cumsum(edge)[:-1] > 0
-    doc_of = np.searchsorted(firsts, places, side="right") - 1
-    held: dict[int, set[int]] = {}
-    for d, w in set(zip(doc_of.tolist(), windows.tolist(), strict=True)):
-        held.setdefault(d, set()).add(w)
     for d, (text, n) in enumerate(zip(texts, counts, strict=True)):
         if d not in held:
             yield n, 0, [], []
@@ -230,16 +231,23 @@ def _shard(texts: list[bytes], phrases: Phrases) -> Iterator[tuple]:
         for a, b in zip(turn[0::2].tolist(), turn[1::2].tolist(), strict=True):
             s = len(text[: places_of[a][0]].decode("utf-8", "replace"))
             spans.append((s, s + len(text[places_of[a][0] : places_of[b - 1][1]].decode("utf-8", "replace"))))
-        yield n, int(own.sum()), sorted({i for w in held[d] for i in phrases.items[w]}), spans
+        yield n, int(own.sum()), sorted(held[d]), spans
 
 
 _SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _search(shared):  # noqa: ANN001, ANN202
+def _in_turn(shared: list) -> Iterator[Phrases]:
+    """The broadcast blocks; where there are several, a worker holds one at a time."""
+    for block in shared:
+        yield block.value
+        if len(shared) > 1 and hasattr(block, "_value"):
+            del block._value
+
+
+def _search(shared: list):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = shared.value
         for b in batches:
             data, offs = common.raw_text(b.column("text"))
             ids, at = b.column("doc_id"), 0
@@ -247,7 +255,7 @@ def _search(shared):  # noqa: ANN001, ANN202
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(offs, offs[at] + SHARD_BYTES, side="right")) - 1)
                 to = min(to, b.num_rows)
-                rows = list(_shard([data[ends[k] : ends[k + 1]] for k in range(at, to)], phrases))
+                rows = list(_shard([data[ends[k] : ends[k + 1]] for k in range(at, to)], _in_turn(shared)))
                 spans = [[{"start": s, "end": e} for s, e in r[3]] for r in rows]
                 yield pa.record_batch(
                     [ids.slice(at, to - at), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array(spans, _SPANS)],
@@ -271,49 +279,30 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
     yield block
 
 
+def _shared(benchmark: DataFrame) -> list:
+    """The benchmark's blocks, broadcast; each has a fixed bound."""
+    context = benchmark.sparkSession.sparkContext
+    common.ship(benchmark.sparkSession)
+    return [context.broadcast(Phrases(block)) for block in _blocks(benchmark)]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids as strings), spans (code points, end exclusive), for each document."""
-    spark = docs.sparkSession
-    common.ship(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [read.mapInArrow(_search(spark.sparkContext.broadcast(Phrases(b))), _SCHEMA) for b in _blocks(benchmark)]
-    if len(found) == 1:
-        return found[0]
-    both = found[0]
-    for more in found[1:]:
-        both = both.unionByName(more)
-    merged = both.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
-    zero = F.array().cast("array<struct<start:int,end:int>>")
-    # spans of several blocks overlap: each joins the last one if it starts within it
-    joined = F.aggregate(
-        "s", zero, lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x)))
-    )
-    merged = merged.withColumn("spans", joined).join(read.select("doc_id", "text"), "doc_id")
-    # words are hit in whole, so the words inside merged spans are the hit ones
-    pieces = F.transform("spans", lambda x: F.regexp_count(F.col("text").substr(x["start"] + 1, x["end"] - x["start"]), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))
-    return merged.withColumn("n_hit", F.aggregate(pieces, F.lit(0).cast("long"), lambda a, x: a + x)).select("doc_id", "n_words", "n_hit", "items", "spans")
+    return read.mapInArrow(_search(_shared(benchmark)), _SCHEMA)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window; nothing is joined or shuffled."""
-    spark = docs.sparkSession
-    common.ship(spark)
-
-    def clean(shared):  # noqa: ANN001, ANN202
-        search = _search(shared)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = pa.nulls(b.num_rows, pa.int64())
-                texts = pa.record_batch([ids, b.column("text")], names=["doc_id", "text"])
-                hits = [n for part in search([texts]) for n in part.column("n_hit").to_pylist()]
-                yield b.filter(pa.array([n == 0 for n in hits], pa.bool_()))
+    search = _search(_shared(benchmark))
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.record_batch([pa.nulls(b.num_rows, pa.int64()), b.column("text")], names=["doc_id", "text"])
+            hits = [n for part in search(iter([texts])) for n in part.column("n_hit").to_pylist()]
+            yield b.filter(pa.array([n == 0 for n in hits], pa.bool_()))
 
-    for block in _blocks(benchmark):
-        docs = docs.mapInArrow(clean(spark.sparkContext.broadcast(Phrases(block))), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
