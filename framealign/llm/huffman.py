@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import encoder, slices
 
 MAX_BITS = 16
 STRIDE = 256
@@ -158,10 +158,11 @@ def _tokenize(path: str, end_id: int, bounds: np.ndarray):  # noqa: ANN202
         own = encoder(path)
         end = np.array([end_id], own.dtype).tobytes()
         for b in batches:
-            ids = [x + end for x in own.encode(b.column("text").fill_null("").to_pylist())]
-            doc = b.column("doc_id")
-            part = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
-            yield pa.record_batch([pa.array(part, pa.int32()), doc, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+            for at, texts in slices(b.column("text")):
+                ids = [x + end for x in own.encode(texts)]
+                doc = b.column("doc_id").slice(at, len(texts))
+                part = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
+                yield pa.record_batch([pa.array(part, pa.int32()), doc, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     return run
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .huffman import vocabulary_path
-from .tokens import encoder
+from .tokens import encoder, slices
 
 LENGTH = 2048
 END_ID = 0
@@ -36,9 +36,9 @@ TASK_SEQUENCES = 8192
 def _pieces(path: str, end_id: int, length: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for b in batches:
+        for texts, docs in ((texts, b.column("doc_id").slice(at, len(texts))) for b in batches for at, texts in slices(b.column("text"))):
             rows: list[tuple] = []
-            for doc, raw in zip(b.column("doc_id").to_pylist(), own.encode(b.column("text").fill_null("").to_pylist()), strict=True):
+            for doc, raw in zip(docs.to_pylist(), own.encode(texts), strict=True):
                 ids = np.append(np.frombuffer(raw, own.dtype), end_id).astype("<u4").tobytes()
                 for k in range(0, len(ids), 4 * length):
                     part = ids[k : k + 4 * length]

@@ -12,11 +12,13 @@ are those of `Tokenizer.encode(text, add_special_tokens=False)`; tests hold both
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Pieces kept per worker; the store is emptied when it is full.
-KEPT = 600_000
+#: Pieces kept per worker and store; there are two stores, the older of which goes when the newer is full.
+KEPT = 400_000
 #: Characters of texts whose new pieces are encoded together.
 GROUP = 1_000_000
 #: Characters that the library gets at once.
@@ -42,42 +44,65 @@ class PieceEncoder:
         self.mark = "\n" if self.keeps_space else " 0 "
         self.mark_id = line[1] if self.keeps_space else self._ids("0")[0]
         self.pieces: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.ends = {c: np.array(self._ids(c), self.dtype).tobytes() for c in ".,;:!?"}
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, new: list[str]) -> None:
         """Put the ids of new pieces (see `_keys`) in the store; None marks a piece that isn't clean."""
-        asked: list[tuple[str, str]] = []
-        size = 0
+        store, old, ends = self.pieces, self.older, self.ends
+        asked: dict[str, str] = {}
+        ended: list[str] = []
         for key in new:
+            if key in old:
+                store[key] = old[key]
+                continue
+            # a mark after a letter is a pre-token of its own
+            if key[-1:] in ends and key[-2:-1].isalpha():
+                ended.append(key)
+                key = key[:-1]
+                if key in store or key in asked:
+                    continue
+                if key in old:
+                    store[key] = old[key]
+                    continue
             if self.keeps_space:
                 lead, word = (key[:1], key[1:]) if key[:1] in ("\n", "\0") else (" ", key)
             else:
                 lead, word = "", key
             if not word:
-                self.pieces[key] = None if self.keeps_space else b""
+                store[key] = None if self.keeps_space else b""
             elif self.keeps_space and (word[0].isspace() or word[-1].isspace() or "\0" in word):
-                self.pieces[key] = None
-            elif (len(word) > 1000) or (self.mark.strip() or "\n") in word:
-                self.pieces[key] = self._packed(lead, self._ids(" " + word if lead == " " else word))
+                store[key] = None
+            elif len(word) > 1000 or (self.mark.strip() or "\n") in word:
+                store[key] = self._packed(lead, self._ids(" " + word if lead == " " else word))
             else:
-                asked.append((key, word if lead != " " else " " + word))
-                size += len(word)
-                if size > AT_ONCE:
-                    self._ask(asked)
-                    asked, size = [], 0
-        if asked:
-            self._ask(asked)
+                asked[key] = word if lead != " " else " " + word
+        some: list[tuple[str, str]] = []
+        size = 0
+        for item in asked.items():
+            some.append(item)
+            size += len(item[1])
+            if size > AT_ONCE:
+                self._ask(some)
+                some, size = [], 0
+        if some:
+            self._ask(some)
+        for key in ended:
+            base = store[key[:-1]]
+            store[key] = None if base is None else base + ends[key[-1]]
 
     def _packed(self, lead: str, ids: list[int]) -> bytes:
         return (self.line if lead == "\n" else b"") + np.array(ids, self.dtype).tobytes()
 
     def _ask(self, asked: list[tuple[str, str]]) -> None:
-        ids = np.array(self._ids(self.mark.join(text for _, text in asked)), self.dtype)
+        joined = self.mark.join(text for _, text in asked)
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(ids == self.mark_id)
         if len(cuts) != len(asked) - 1:  # a piece holds the separator's id after all
-            for (key, text) in asked:
+            for key, text in asked:
                 self.pieces[key] = self._packed(key[:1], self._ids(text))
             return
         width, data = self.dtype.itemsize, ids.tobytes()
@@ -96,8 +121,8 @@ class PieceEncoder:
         return np.array(self._ids(text), self.dtype).tobytes()
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > KEPT:
-            self.pieces.clear()
+        if len(self.pieces) > KEPT:  # what is met again comes back from the older store
+            self.older, self.pieces = self.pieces, {}
         store, out, open_, new = self.pieces, [b""] * len(texts), [], set()
         for at, text in enumerate(texts):
             if not text:
@@ -132,6 +157,12 @@ class PieceEncoder:
         return out + self._some(texts[start:])
 
 
+def slices(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, list[str]]]:
+    """Texts of a column a few at a time, with the row each slice starts at; null counts as empty."""
+    for at in range(0, len(column), rows):
+        yield at, column.slice(at, rows).fill_null("").to_pylist()
+
+
 def encoder(path: str) -> PieceEncoder:
     """The worker's own encoder of a file; it lives as long as the worker."""
     if path not in _made:
