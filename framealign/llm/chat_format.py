@@ -68,12 +68,12 @@ def _valid(schemas: dict) -> Column:
 
 
 def _linked(messages: DataFrame, schemas: dict) -> DataFrame:
-    """One row per call: conv_id, turn, k, id, name, arguments (canonical), valid, result_turn."""
-    calls = messages.filter(F.size("calls") > 0).select("conv_id", "turn", F.posexplode("calls").alias("k", "c")).select("conv_id", "turn", "k", "c.id", "c.name", "c.arguments")
+    """One row per call: row (of its message), conv_id, turn, k, id, name, arguments (canonical), valid, result_turn."""
+    calls = messages.filter(F.size("calls") > 0).select("row", "conv_id", "turn", F.posexplode("calls").alias("k", "c")).select("row", "conv_id", "turn", "k", "c.id", "c.name", "c.arguments")
     results = messages.filter("answers is not null").groupBy("conv_id", F.col("answers").alias("id")).agg(F.min("turn").alias("result_turn"))
     joined = calls.join(results.hint("shuffle_hash"), ["conv_id", "id"], "left")
     parsed = joined.withColumn("args", F.expr("try_parse_json(arguments)"))
-    return parsed.select("conv_id", "turn", "k", "id", "name", F.coalesce(F.expr("to_json(args)"), "arguments").alias("arguments"), _valid(schemas).alias("valid"), "result_turn")
+    return parsed.select("row", "conv_id", "turn", "k", "id", "name", F.coalesce(F.expr("to_json(args)"), "arguments").alias("arguments"), _valid(schemas).alias("valid"), "result_turn")
 
 
 def _needs(messages: DataFrame, calls: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def format_chats(talks: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """conv_id, turn, place, depth, n_calls, n_linked, n_valid, cyclic, json for every message."""
     messages = _messages(talks)
     # messages without calls and results go straight through; the others are few and kept for the joins
-    special = common.cut(messages.filter("size(calls) > 0 or answers is not null"))
+    special = common.cut(messages.filter("size(calls) > 0 or answers is not null").withColumn("row", F.monotonically_increasing_id()))
     plain = messages.filter("not (size(calls) > 0 or answers is not null)")
     shape = "conv_id", "turn", "place", "depth", "n_calls", "n_linked", "n_valid", "cyclic", "json"
     content = F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"})
@@ -124,11 +124,11 @@ def format_chats(talks: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     calls = common.cut(_linked(special, schemas))
     where = _placed(common.cut(_needs(special, calls)))
     call = F.concat(F.lit('{"arguments":'), F.coalesce("arguments", F.lit("null")), F.lit(',"id":'), _text("id"), F.lit(',"name":'), _text("name"), F.lit(',"result_turn":'), F.coalesce(F.col("result_turn").cast("string"), F.lit("null")), F.lit(',"valid":'), F.col("valid").cast("string"), F.lit("}"))
-    listed = calls.select("conv_id", "turn", "result_turn", "valid", F.struct("k", call.alias("c")).alias("x"))
+    listed = calls.select("row", "result_turn", "valid", F.struct("k", call.alias("c")).alias("x"))
     # calls of one message, as many as the message's own text holds
-    grouped = listed.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_calls"), F.count("result_turn").alias("n_linked"), F.count(F.when(F.col("valid"), 1)).alias("n_valid"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]), ",").alias("listed"))
+    grouped = listed.groupBy("row").agg(F.count(F.lit(1)).alias("n_calls"), F.count("result_turn").alias("n_linked"), F.count(F.when(F.col("valid"), 1)).alias("n_valid"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"]), ",").alias("listed"))
     known = calls.filter("id is not null").select("conv_id", F.col("id").alias("answers")).distinct().withColumn("has_call", F.lit(True))
-    joined = special.join(grouped, ["conv_id", "turn"], "left").join(where, ["conv_id", "turn"], "left").join(known.hint("shuffle_hash"), ["conv_id", "answers"], "left")
+    joined = special.join(grouped, "row", "left").join(where, ["conv_id", "turn"], "left").join(known.hint("shuffle_hash"), ["conv_id", "answers"], "left")
     body = F.coalesce(F.expr("to_json(variant_get(try_parse_json(text), '$.content', 'variant'))"), F.lit("null"))
     as_calls = F.concat(F.lit('{"content":'), body, F.lit(',"role":'), _text("role"), F.lit(',"tool_calls":['), F.coalesce("listed", F.lit("")), F.lit("]}"))
     as_result = F.concat(F.lit('{"content":'), body, F.lit(',"linked":'), F.coalesce("has_call", F.lit(False)).cast("string"), F.lit(',"role":'), _text("role"), F.lit(',"tool_call_id":'), _text("answers"), F.lit("}"))
