@@ -2,6 +2,561 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import raster_spec as R
+from ..functions import states as S
+from ..functions import text as X
+from ..operators import evaluation as E
+from ..operators import fitting as FIT
+from ..operators import matching as M
+from ..operators import overlap as O
+from ..operators import pixels as P
+from ..operators import spectral as H
+from ..sources import catalog as C
+from ..sources import labels as L
+from . import roles
+
+FLAGSHIP = "match_knn2_ratio_mutual"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "match_knn2_ratio_mutual"
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+# ---- matching ----
+
+_NEAR = """
+WITH s AS (SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 0), t AS (SELECT vec_id AS k, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 2 = 1),
+d AS (SELECT s.k AS q, t.k AS t, list_distance(s.e, t.e) AS d FROM s, t),
+f AS (SELECT q, t AS t1, d AS d1, lead(d) OVER w AS d2, row_number() OVER w AS rn FROM d WINDOW w AS (PARTITION BY q ORDER BY d, t)),
+b AS (SELECT t AS q, q AS t1, d AS d1, lead(d) OVER w AS d2, row_number() OVER w AS rn FROM d WINDOW w AS (PARTITION BY t ORDER BY d, q))
+"""
+
+
+@query(_NEAR + "SELECT f.q AS q, f.t1 AS t, round(f.d1, 6) AS distance, round(f.d1 / greatest(f.d2, 1e-12), 6) AS ratio FROM f JOIN b ON b.q = f.t1 AND b.t1 = f.q WHERE f.rn = 1 AND b.rn = 1 AND f.d1 / greatest(f.d2, 1e-12) < 0.95 AND b.d1 / greatest(b.d2, 1e-12) < 0.95")
+def match_knn2_ratio_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = M.match(roles.keypoints(spark, sf_dir, 0), roles.keypoints(spark, sf_dir, 1), 0.95)
+    return found.select("q", "t", F.round("d1", 6).alias("distance"), F.round("ratio", 6).alias("ratio"))
+
+
+@query(_NEAR + "SELECT q, t1 AS t, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM f WHERE rn = 1")
+def match_two_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.two_nearest(roles.keypoints(spark, sf_dir, 0), roles.keypoints(spark, sf_dir, 1)).select("q", F.col("t1").alias("t"), F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
+
+
+@query(f"""WITH {roles.MATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id, sx, round(sy, 1), rx, round(ry, 1) ORDER BY score, run_ord, row_ord) AS rn FROM matches)
+SELECT pair_id, row_ord, method, round(score, 2) AS score FROM r WHERE rn = 1""")
+def match_dedupe_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.fuse(roles.matches(spark, sf_dir)).select("pair_id", "row_ord", "method", F.round("score", 2).alias("score"))
+
+
+@query(f"WITH {roles.MATCHES} SELECT pair_id, method, count(*) AS n, round(min(score), 2) AS best FROM matches GROUP BY ALL")
+def match_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = roles.matches(spark, sf_dir)
+    runs = [(name, m.filter(F.col("method") == name).drop("method", "run_ord")) for name in ("A", "N", "R")]
+    return M.union_runs(*runs).groupBy("pair_id", "method").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 2).alias("best"))
+
+
+_CELL = "greatest(0, least(9, CAST(trunc({v} * 10 / greatest({w}, 1)) AS INTEGER)))"
+_EVENTS = f"""pts AS (SELECT event_id, event_type, {_CELL.format(v='(epoch(ts) % 86400)', w='86400.0')} AS col, {_CELL.format(v='value', w='100.0')} AS row, value FROM events)"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = roles.table(spark, sf_dir, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 % 86400
+    return e.select("event_id", "event_type", "value", M.grid_cell(seconds, F.lit(86400.0)).alias("col"), M.grid_cell(F.col("value"), F.lit(100.0)).alias("row"))
+
+
+_HISTOGRAM = f"""WITH {_EVENTS}, c AS (SELECT event_type, row, col, count(*) AS points FROM pts GROUP BY ALL),
+every AS (SELECT event_type, r.i AS row, k.i AS col FROM (SELECT DISTINCT event_type FROM pts), range(10) AS r(i), range(10) AS k(i)),
+hist AS (SELECT every.event_type AS event_type, CAST(every.row AS INTEGER) AS row, CAST(every.col AS INTEGER) AS col, CAST(coalesce(points, 0) AS BIGINT) AS points FROM every LEFT JOIN c ON c.event_type = every.event_type AND c.row = every.row AND c.col = every.col)
+"""
+
+
+@query(_HISTOGRAM + "SELECT * FROM hist")
+def grid_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.grid_histogram(_events(spark, sf_dir), ["event_type"])
+
+
+@query(_HISTOGRAM + """SELECT event_type, CAST(count(*) FILTER (WHERE points > 0) AS BIGINT) AS occupied, count(*) AS cells, round(avg(points) FILTER (WHERE points > 0), 6) AS mean_per_cell, max(points) AS max_per_cell,
+ round(count(*) FILTER (WHERE points > 0) / count(*), 6) AS coverage, count(*) FILTER (WHERE points > 0) / count(*) < 0.3 AS warning FROM hist GROUP BY event_type""")
+def grid_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.grid_coverage(E.grid_histogram(_events(spark, sf_dir), ["event_type"]), ["event_type"]), 6, "mean_per_cell", "coverage")
+
+
+@query(f"WITH {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY value, event_id) AS rn FROM pts) SELECT event_id, row, col, rn FROM r WHERE rn <= 20")
+def cell_cap_single_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.cap_cells(_events(spark, sf_dir), ["row", "col"], [F.col("value"), F.col("event_id")]).select("event_id", "row", "col", F.col("rn").cast("long").alias("rn"))
+
+
+@query()
+def cell_cap_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = roles.matches(spark, sf_dir)
+    cell = lambda x, w, y, h: M.grid_cell(F.col(x), F.lit(w)) * 10 + M.grid_cell(F.col(y), F.lit(h))
+    celled = m.select("pair_id", "row_ord", "score", cell("sx", 51.0, "sy", 11.0).alias("s_cell"), cell("rx", 8.0, "ry", 9.0).alias("r_cell"))
+    return M.greedy_cells(celled, 3)
+
+
+# ---- evaluation ----
+
+
+@query(f"""WITH {roles.POINTS}, e AS (SELECT pair_id, min(rx) AS x0, max(rx) AS x1, min(ry) AS y0, max(ry) AS y1 FROM points GROUP BY pair_id),
+c AS (SELECT p.pair_id AS pair_id, id, least(4, CAST(trunc((rx - x0) / greatest(x1 - x0, 1e-9) * 5) AS INTEGER)) + 5 * least(4, CAST(trunc((ry - y0) / greatest(y1 - y0, 1e-9) * 5) AS INTEGER)) AS cell FROM points p JOIN e ON e.pair_id = p.pair_id),
+k AS (SELECT pair_id, cell, row_number() OVER (PARTITION BY pair_id ORDER BY cell) AS rk, count(*) OVER (PARTITION BY pair_id) AS n FROM (SELECT DISTINCT pair_id, cell FROM c))
+SELECT c.pair_id AS pair_id, id, CAST(c.cell AS INTEGER) AS cell, rk > n - greatest(1, round_even(n * 0.25, 0)) AS holdout FROM c JOIN k ON k.pair_id = c.pair_id AND k.cell = c.cell""")
+def spatial_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.spatial_holdout(roles.points(spark, sf_dir), ["pair_id"]).select("pair_id", "id", "cell", "holdout")
+
+
+def _projected_sql() -> str:
+    h = roles.H
+    return f"""WITH {roles.POINTS}, w AS (SELECT *, CASE WHEN abs({h[6]} * sx + {h[7]} * sy + {h[8]}) < 1e-12 THEN 1e-12 ELSE {h[6]} * sx + {h[7]} * sy + {h[8]} END AS w FROM points),
+r AS (SELECT pair_id, id, sqrt(((({h[0]} * sx + {h[1]} * sy + {h[2]}) / w - rx)) ** 2 + ((({h[3]} * sx + {h[4]} * sy + {h[5]}) / w - ry)) ** 2) AS error FROM w)
+"""
+
+
+def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = [F.lit(v) for v in roles.H]
+    return roles.points(spark, sf_dir).select("pair_id", "id", E.residual(h, F.col("sx"), F.col("sy"), F.col("rx"), F.col("ry")).alias("error"))
+
+
+@query(_projected_sql() + "SELECT pair_id, id, round(error, 6) AS error FROM r")
+def homography_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_residuals(spark, sf_dir), 6, "error")
+
+
+@query(_projected_sql() + "SELECT pair_id, count(*) AS n, round(sqrt(avg(error * error)), 6) AS rmse, round(quantile_cont(error, 0.5), 6) AS median, round(quantile_cont(error, 0.95), 6) AS p95, round(max(error), 6) AS worst FROM r GROUP BY pair_id")
+def rmse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.error_summary(_residuals(spark, sf_dir), ["pair_id"]), 6, "rmse", "median", "p95", "worst")
+
+
+@query(_projected_sql() + "SELECT pair_id, count(*) FILTER (WHERE error <= 0.75) AS inliers, count(*) FILTER (WHERE error > 0.75) AS outliers, round(count(*) FILTER (WHERE error <= 0.75) / count(*), 6) AS inlier_ratio FROM r GROUP BY pair_id")
+def inlier_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(E.inlier_summary(_residuals(spark, sf_dir), ["pair_id"], 0.75), 6, "inlier_ratio")
+
+
+_TERMS = ("CAST(1 AS DOUBLE)", "u", "v", "u * u", "u * v", "v * v")
+
+
+@query(f"WITH {roles.POINTS}, t AS (SELECT *, sx / 64.0 AS u, sy / 128.0 AS v, rx - sx AS dx, ry - sy AS dy FROM points) SELECT pair_id, count(*) AS n, "
+       + ", ".join(f"round(sum(({_TERMS[i]}) * ({_TERMS[j]})), 4) AS m_{i}_{j}" for i in range(6) for j in range(i, 6)) + ", " + ", ".join(f"round(sum(({_TERMS[i]}) * {t}), 4) AS {t}_{i}" for t in ("dx", "dy") for i in range(6)) + " FROM t GROUP BY pair_id")
+def residual_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = _field_sums(spark, sf_dir)
+    return rounded(sums, 4, *[c for c in sums.columns if c not in ("pair_id", "n")])
+
+
+def _field_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = roles.points(spark, sf_dir)
+    terms = FIT.design(F.col("sx"), F.col("sy"), F.lit(64.0), F.lit(128.0))
+    return FIT.normal_sums(p, ["pair_id"], terms, {"dx": F.col("rx") - F.col("sx"), "dy": F.col("ry") - F.col("sy")})
+
+
+@query()
+def residual_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FIT.solve_field(_field_sums(spark, sf_dir), ["pair_id"], ["dx", "dy"])
+
+
+@query()
+def robust_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FIT.fit_pairs(M.cap_cells(roles.points(spark, sf_dir).withColumn("c", F.pmod(F.xxhash64("id"), F.lit(20))), ["pair_id", "c"], [F.col("id")]), threshold=0.75)
+
+
+@query(_projected_sql() + ", m AS (SELECT pair_id % 2 AS run, count(*) AS n, sqrt(avg(error * error)) AS rmse, max(error) AS worst FROM r GROUP BY 1) "
+       "SELECT metric, round(max(v) FILTER (WHERE run = 0), 6) AS baseline, round(max(v) FILTER (WHERE run = 1), 6) AS other FROM (SELECT run, 'n' AS metric, CAST(n AS DOUBLE) AS v FROM m UNION ALL SELECT run, 'rmse', rmse FROM m UNION ALL SELECT run, 'worst', worst FROM m) GROUP BY metric")
+def verifier_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _residuals(spark, sf_dir).withColumn("run", F.when(F.col("pair_id") % 2 == 0, "baseline").otherwise("other"))
+    s = E.error_summary(r, ["run"])
+    long = s.select("run", F.explode(F.map_from_arrays(F.array(F.lit("n"), F.lit("rmse"), F.lit("worst")), F.array(F.col("n").cast("double"), "rmse", "worst"))).alias("metric", "value"))
+    return rounded(E.compare_runs(long, "run", ["baseline", "other"]), 6, "baseline", "other")
+
+
+@query("""WITH s AS (SELECT user_id % 50 AS pair_id, event_id AS ord, CASE event_type WHEN 'view' THEN 'Evaluation' WHEN 'click' THEN 'Matching' ELSE event_type END AS name, value AS seconds FROM events),
+t AS (SELECT *, sum(seconds) OVER (PARTITION BY pair_id) AS total FROM s)
+SELECT pair_id, CASE WHEN rn < 10 THEN '0' || rn ELSE CAST(rn AS VARCHAR) END AS stage_id, ord, name, round(total, 4) AS total_seconds FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ord) AS rn FROM t WHERE name NOT IN ('Spatial Consistency', 'Evaluation'))""")
+def stage_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = roles.table(spark, sf_dir, "events")
+    name = F.when(F.col("event_type") == "view", "Evaluation").when(F.col("event_type") == "click", "Matching").otherwise(F.col("event_type"))
+    stages = e.select((F.col("user_id") % 50).alias("pair_id"), F.col("event_id").alias("ord"), name.alias("name"), F.col("value").alias("seconds"))
+    return E.visible_stages(stages).select("pair_id", "stage_id", "ord", "name", F.round("total_seconds", 4).alias("total_seconds"))
+
+
+# ---- spectral ----
+
+_STATS = "s AS (SELECT product_id, band, count(value) FILTER (WHERE valid) AS n, quantile_cont(value, 0.01) FILTER (WHERE valid) AS p01, quantile_cont(value, 0.99) FILTER (WHERE valid) AS p99, median(value) FILTER (WHERE valid) AS median, avg(value) FILTER (WHERE valid) AS mean, stddev_pop(value) FILTER (WHERE valid) AS std FROM cube GROUP BY ALL)"
+
+
+def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.cube(spark, sf_dir).withColumn("valid", H.usable(F.col("value")))
+
+
+@query(f"WITH {roles.CUBE}, {_STATS} SELECT product_id, band, n, round(p01, 4) AS p01, round(p99, 4) AS p99, round(median, 4) AS median, round(mean, 4) AS mean, round(std, 4) AS std FROM s")
+def band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.band_stats(_cube(spark, sf_dir)), 4, "p01", "p99", "median", "mean", "std")
+
+
+@query(f"WITH {roles.CUBE}, {_STATS} SELECT c.product_id AS product_id, c.band AS band, line, sample, round(CASE WHEN NOT valid THEN 0.0 WHEN p99 - p01 > 1e-7 THEN greatest(0.0, least(1.0, (value - p01) / (p99 - p01))) ELSE 0.0 END, 6) AS value FROM cube c JOIN s ON s.product_id = c.product_id AND s.band = c.band")
+def band_percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.normalise(_cube(spark, sf_dir)).drop("valid"), 6, "value")
+
+
+@query(f"WITH {roles.CUBE}, {_STATS} SELECT c.product_id AS product_id, c.band AS band, line, sample, round(CASE WHEN NOT valid THEN 0.0 WHEN std > 1e-7 THEN (value - mean) / std ELSE value - mean END, 6) AS value FROM cube c JOIN s ON s.product_id = c.product_id AND s.band = c.band")
+def band_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.normalise(_cube(spark, sf_dir), "standardize").drop("valid"), 6, "value")
+
+
+@query(f"WITH {roles.CUBE} SELECT product_id, line, sample, count(*) FILTER (WHERE valid) AS good_bands, count(*) FILTER (WHERE valid) >= greatest(1, count(*) // 2) AS pixel_valid FROM cube GROUP BY ALL")
+def pixel_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.pixel_validity(_cube(spark, sf_dir))
+
+
+@query(f"WITH {roles.CUBE}, {_STATS} SELECT c.product_id AS product_id, c.band AS band, line, sample, round(CASE WHEN valid THEN value ELSE coalesce(median, 0.0) END, 4) AS value, valid FROM cube c JOIN s ON s.product_id = c.product_id AND s.band = c.band")
+def invalid_fill_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.clean(roles.cube(spark, sf_dir)), 4, "value")
+
+
+@query(f"""WITH {roles.CUBE}, b AS (SELECT product_id, band, count(*) AS n, count(*) FILTER (WHERE valid) AS good, min(value) FILTER (WHERE valid) AS lo, max(value) FILTER (WHERE valid) AS hi FROM cube GROUP BY ALL),
+p AS (SELECT product_id, count(*) AS bands, sum(good) / sum(n) * 100.0 AS valid_pct, min(lo) AS lo, max(hi) AS hi, CAST(count(*) FILTER (WHERE hi <= lo) AS BIGINT) AS flat_bands FROM b GROUP BY product_id)
+SELECT product_id, bands, round(valid_pct, 6) AS valid_pct, round(lo, 4) AS lo, round(hi, 4) AS hi, flat_bands, CASE WHEN valid_pct < 5.0 OR coalesce(hi <= lo, true) THEN 'error' WHEN valid_pct < 50.0 OR flat_bands > 0 THEN 'warning' ELSE 'ok' END AS status FROM p""")
+def cube_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(H.validate(_cube(spark, sf_dir)), 6, "valid_pct"), 4, "lo", "hi")
+
+
+@query(f"""WITH {roles.CUBE}, {_STATS}, v AS (SELECT c.product_id AS product_id, line, sample, valid, CASE WHEN valid AND p99 - p01 > 1e-7 THEN greatest(0.0, least(1.0, (value - p01) / (p99 - p01))) ELSE 0.0 END AS value FROM cube c JOIN s ON s.product_id = c.product_id AND s.band = c.band WHERE c.band IN (1, 3, 5))
+SELECT product_id, line, sample, CAST(trunc(avg(value) * 255) AS INTEGER) AS value, bool_or(valid) AS valid FROM v GROUP BY ALL""")
+def band_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.composite(_cube(spark, sf_dir), H.composite_bands(7))
+
+
+@query("SELECT i.i AS i, j.j AS j, round(covar_samp(CAST(embedding[i.i + 1] AS DOUBLE), CAST(embedding[j.j + 1] AS DOUBLE)), 9) AS cov FROM embeddings, (SELECT CAST(range AS INTEGER) AS i FROM range(8)) i, (SELECT CAST(range AS INTEGER) AS j FROM range(8)) j WHERE i.i <= j.j GROUP BY 1, 2")
+def spectral_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(H.covariance(roles.table(spark, sf_dir, "embeddings"), "embedding", 8), 9, "cov")
+
+
+@query()
+def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = roles.table(spark, sf_dir, "embeddings")
+    means, loadings, _ = H.principal_components(e, "embedding", 16)
+    return H.project_components(e.select("vec_id", "embedding"), "embedding", np.pad(means, (0, 0)), loadings).drop("embedding")
+
+
+@query()
+def cube_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = _cube(spark, sf_dir).filter("band <= 3")
+    full = dense.groupBy(*H.PIXEL).agg(F.count(F.lit(1)).alias("n")).filter("n = 3").drop("n")
+    return H.representation(H.clean(dense.join(full, list(H.PIXEL), "left_semi").drop("valid")), 3)
+
+
+# ---- pixels ----
+
+
+@query(f"""WITH {roles.IMAGE}, s AS (SELECT count(value) FILTER (WHERE valid) AS n, quantile_cont(value, 0.01) FILTER (WHERE valid) AS lo, quantile_cont(value, 0.99) FILTER (WHERE valid) AS hi FROM image)
+SELECT product_id, line, sample, CASE WHEN n >= 100 AND hi > lo THEN CASE WHEN valid THEN CAST(trunc(greatest(0.0, least(1.0, (value - lo) / (hi - lo))) * 255) AS INTEGER) ELSE 0 END END AS value, valid, CASE WHEN n >= 100 AND hi > lo THEN 'OK' ELSE 'FAILED' END AS status FROM image, s""")
+def percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.stretch(roles.image(spark, sf_dir))
+
+
+def _neighbours(name: str, offsets: dict) -> str:
+    return f"SELECT a.product_id AS product_id, a.line AS line, a.sample AS sample, count(*) AS n, " + ", ".join(
+        f"sum(CASE {' '.join(f'WHEN b.line = a.line + {dy} AND b.sample = a.sample + {dx} THEN {w} * b.value' for (dy, dx), w in o.items())} ELSE 0.0 END) AS {k}" for k, o in offsets.items()
+    ) + f" FROM {name} a JOIN {name} b ON b.line BETWEEN a.line - 1 AND a.line + 1 AND b.sample BETWEEN a.sample - 1 AND a.sample + 1 GROUP BY ALL"
+
+
+@query(f"WITH {roles.IMAGE}, g AS ({_neighbours('image', P.SOBEL)}), m AS (SELECT *, sqrt(gx * gx + gy * gy) AS magnitude FROM g WHERE n = 9), e AS (SELECT min(magnitude) AS lo, max(magnitude) AS hi FROM m) "
+       "SELECT product_id, line, sample, round(magnitude, 6) AS magnitude, CAST(trunc((magnitude - lo) / greatest(hi - lo, 1e-12) * 255) AS INTEGER) AS value FROM m, e")
+def gradient_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.gradient(_dense(spark, sf_dir)), 6, "magnitude")
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.image(spark, sf_dir)
+
+
+@query(f"WITH {roles.IMAGE}, g AS ({_neighbours('image', P.LAPLACE)}) SELECT i.product_id AS product_id, i.line AS line, i.sample AS sample, CASE WHEN valid THEN CAST(round_even(least(255.0, value * CAST(0.7 AS DOUBLE) + least(abs(lap), 255.0) * (1 - CAST(0.7 AS DOUBLE))), 0) AS INTEGER) ELSE 0 END AS value, valid FROM image i JOIN g ON g.line = i.line AND g.sample = i.sample")
+def laplacian_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.structure(_dense(spark, sf_dir))
+
+
+@query(f"WITH {roles.IMAGE} SELECT a.product_id AS product_id, a.line AS line, a.sample AS sample, a.value AS value, a.valid AND NOT EXISTS (SELECT 1 FROM image b WHERE NOT b.valid AND b.line BETWEEN a.line - 1 AND a.line + 1 AND b.sample BETWEEN a.sample - 1 AND a.sample + 1) AS valid FROM image a")
+def mask_erode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.eroded(_dense(spark, sf_dir), 3)
+
+
+@query(f"WITH {roles.IMAGE} SELECT product_id, line // 4 AS line, sample // 4 AS sample, round(avg(value) FILTER (WHERE valid), 6) AS value, bool_or(valid) AS valid FROM image GROUP BY ALL")
+def resize_area_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.area_mean(_dense(spark, sf_dir), 4), 6, "value")
+
+
+@query()
+def gaussian_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.pyramid(_dense(spark, sf_dir)), 6, "value")
+
+
+_OTHER = "other AS (SELECT product_id, line, sample, 255 - value AS value, valid FROM image)"
+
+
+def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a = _dense(spark, sf_dir)
+    return a, a.withColumn("value", 255 - F.col("value"))
+
+
+@query(f"WITH {roles.IMAGE}, {_OTHER} SELECT b.product_id AS product_id, b.line AS line, b.sample AS sample, CAST(CASE WHEN a.valid THEN round_even(a.value * 0.5 + b.value * 0.5, 0) ELSE b.value END AS INTEGER) AS value FROM other b JOIN image a ON a.line = b.line AND a.sample = b.sample")
+def alpha_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.blend(*_pair(spark, sf_dir))
+
+
+@query(f"WITH {roles.IMAGE}, {_OTHER} SELECT b.product_id AS product_id, b.line AS line, b.sample AS sample, CASE WHEN (b.line // 16 + b.sample // 16) % 2 = 0 THEN b.value ELSE a.value END AS value FROM other b JOIN image a ON a.line = b.line AND a.sample = b.sample")
+def checkerboard_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.checkerboard(*_pair(spark, sf_dir), 16)
+
+
+@query()
+def perspective_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.warp(_dense(spark, sf_dir), np.array([[1.0, 0.05, 2.0], [-0.03, 1.0, 1.0], [0.0001, 0.0, 1.0]]), 64, 64), 6, "value")
+
+
+@query()
+def adaptive_equalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kernel = lambda values, valid: P.equalised(np.clip(np.nan_to_num(values), 0, 255).astype(np.uint8)).astype(float)
+    return P.tiled(_dense(spark, sf_dir), kernel, 0)
+
+
+# ---- footprints ----
+
+_PAIRS = f"""WITH s AS ({roles.footprints_sql('supplier', 's_suppkey')}), r AS ({roles.footprints_sql('customer', 'c_custkey')}),
+p AS (SELECT s.id AS s_id, r.id AS r_id, (s.max_a - s.min_a) * (s.max_b - s.min_b) AS sa, (r.max_a - r.min_a) * (r.max_b - r.min_b) AS ra, greatest(0.0, least(s.max_a, r.max_a) - greatest(s.min_a, r.min_a)) * greatest(0.0, least(s.max_b, r.max_b) - greatest(s.min_b, r.min_b)) AS oa
+ FROM s JOIN r ON s.min_a <= r.max_a AND r.min_a <= s.max_a AND s.min_b <= r.max_b AND r.min_b <= s.max_b AND s.id <> r.id)
+"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.candidates(roles.footprints(spark, sf_dir, "supplier", "s_suppkey"), roles.footprints(spark, sf_dir, "customer", "c_custkey"))
+
+
+@query(_PAIRS + f"SELECT s_id, r_id, round(oa, 6) AS overlap_area, round(oa / least(sa, ra) * 100.0, 6) AS pct_smaller, round(oa * {G.KM2_PER_SQ_DEG!r}, 4) AS overlap_km2 FROM p")
+def footprint_bbox_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.box_overlap(_pairs(spark, sf_dir)).select("s_id", "r_id", F.round("overlap_area", 6).alias("overlap_area"), F.round("pct_smaller", 6).alias("pct_smaller"), F.round("overlap_km2", 4).alias("overlap_km2"))
+
+
+@query(_PAIRS + "SELECT CASE WHEN oa <= 0 THEN 'rejected' WHEN oa / least(sa, ra) * 100.0 < 0.1 THEN 'insufficient_overlap' ELSE 'validated' END AS status, count(*) AS pairs, round(sum(oa), 4) AS area FROM p GROUP BY 1")
+def footprint_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.box_overlap(_pairs(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("overlap_area"), 4).alias("area"))
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ring = lambda p: G.box(F.col(f"{p}_min_a"), F.col(f"{p}_max_a"), F.col(f"{p}_min_b"), F.col(f"{p}_max_b"))
+    return _pairs(spark, sf_dir).select("s_id", "r_id", ring("s").alias("source_ring"), ring("r").alias("reference_ring"), F.lit(None).cast("string").alias("source_projection"), F.lit(None).cast("string").alias("reference_projection"))
+
+
+@query(_PAIRS + "SELECT s_id, r_id, CASE WHEN oa <= 1e-12 THEN 'rejected' WHEN oa / least(sa, ra) * 100.0 < 0.1 THEN 'insufficient_overlap' ELSE 'validated' END AS status, round(oa, 6) AS overlap_area FROM p")
+def polygon_clip_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.evaluate(_rings(spark, sf_dir)).select("s_id", "r_id", "status", F.round("overlap_area", 6).alias("overlap_area"))
+
+
+@query(f"""SELECT CAST(c_custkey AS BIGINT) AS id, round(2 * {G.RADIUS_KM} * tan(radians((90.0 + lat) / 2.0)) * sin(radians(lon)), 6) AS x, round(2 * {G.RADIUS_KM} * tan(radians((90.0 + lat) / 2.0)) * cos(radians(lon)), 6) AS y, round(lat, 6) AS lat, round(lon, 6) AS lon
+FROM (SELECT c_custkey, CAST(-90 AS DOUBLE) + (c_custkey % 299 + 1) * CAST(0.1 AS DOUBLE) AS lat, (c_custkey % 3590) * CAST(0.1 AS DOUBLE) + CAST(0.05 AS DOUBLE) AS lon FROM customer)""")
+def polar_project_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = roles.table(spark, sf_dir, "customer")
+    p = c.select(F.col("c_custkey").cast("long").alias("id"), G.polar(-90.0 + (F.col("c_custkey") % 299 + 1) * 0.1, (F.col("c_custkey") % 3590) * 0.1 + 0.05).alias("p"))
+    back = G.from_polar(F.col("p.a"), F.col("p.b"))
+    return p.select("id", F.round("p.a", 6).alias("x"), F.round("p.b", 6).alias("y"), F.round(back["a"], 6).alias("lat"), F.round(back["b"], 6).alias("lon"))
+
+
+_WINDOW = "CAST(round_even({v}, 0) AS INTEGER)"
+
+
+@query(_PAIRS.replace("AS oa\n", "AS oa, s.min_a AS s1, s.max_a AS n1, s.min_b AS w1, s.max_b AS e1, greatest(s.min_a, r.min_a) AS s2, least(s.max_a, r.max_a) AS n2, greatest(s.min_b, r.min_b) AS w2, least(s.max_b, r.max_b) AS e2\n") + """,
+f AS (SELECT s_id, r_id, (n1 - n2) / greatest(n1 - s1, 1e-9) AS t, (n1 - s2) / greatest(n1 - s1, 1e-9) AS b, (w2 - w1) / greatest(e1 - w1, 1e-9) AS l, (e2 - w1) / greatest(e1 - w1, 1e-9) AS r FROM p),
+x AS (SELECT s_id, r_id, greatest(0, CAST(round_even((t - (b - t) * 0.05) * 1000, 0) AS INTEGER)) AS y0, least(1000, CAST(round_even((b + (b - t) * 0.05) * 1000, 0) AS INTEGER)) AS y1, greatest(0, CAST(round_even((l - (r - l) * 0.05) * 800, 0) AS INTEGER)) AS x0, least(800, CAST(round_even((r + (r - l) * 0.05) * 800, 0) AS INTEGER)) AS x1 FROM f)
+SELECT s_id, r_id, CASE WHEN y1 <= y0 THEN 0 ELSE y0 END AS y0, CASE WHEN y1 <= y0 THEN 1000 ELSE y1 END AS y1, CASE WHEN x1 <= x0 THEN 0 ELSE x0 END AS x0, CASE WHEN x1 <= x0 THEN 800 ELSE x1 END AS x1 FROM x""")
+def pixel_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    shared = (F.greatest("s_min_a", "r_min_a"), F.least("s_max_a", "r_max_a"), F.greatest("s_min_b", "r_min_b"), F.least("s_max_b", "r_max_b"))
+    w = G.pixel_window(F.lit(1000), F.lit(800), (c("s_min_a"), c("s_max_a"), c("s_min_b"), c("s_max_b")), shared)
+    return _pairs(spark, sf_dir).select("s_id", "r_id", w.alias("w")).select("s_id", "r_id", "w.*")
+
+
+# ---- names, labels, states ----
+
+_KIND = """CASE WHEN ends_with(n, '.xml') OR ends_with(n, '.lbl') OR ends_with(n, '.txt') THEN 'METADATA_LABEL' WHEN ends_with(n, '.tif') OR ends_with(n, '.tiff') THEN 'GEOTIFF' WHEN regexp_matches(n, '\\.(png|jpg|jpeg|webp|bmp)$') THEN 'STANDARD_IMAGE'
+ WHEN regexp_matches(n, '\\.(img|raw|dat|bin)$') THEN CASE WHEN regexp_matches(base, '^m[0-9]+[lr]e') OR contains(base, 'lroc') OR contains(base, 'nac') OR contains(base, 'lro') THEN 'LRO_PDS3_BINARY' WHEN regexp_matches(base, 'ch2_|ohrc|tmc|iir') THEN 'CHANDRAYAAN_PDS4_BINARY' ELSE 'SCIENTIFIC_BINARY' END ELSE 'UNKNOWN' END"""
+_NAMES = """names AS (SELECT page_id, url || CASE page_id % 9 WHEN 0 THEN '/M1' || page_id || 'LE.IMG' WHEN 1 THEN '/ch2_ohr_1.img' WHEN 2 THEN '/a.xml' WHEN 3 THEN '/b.TIFF' WHEN 4 THEN '/c.jpeg' WHEN 5 THEN '/d.raw' WHEN 6 THEN '/ch2_iir_n.dat' ELSE '' END AS name FROM pages)"""
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 9
+    end = F.when(k == 0, F.concat(F.lit("/M1"), F.col("page_id").cast("string"), F.lit("LE.IMG")))
+    for i, t in enumerate(("/ch2_ohr_1.img", "/a.xml", "/b.TIFF", "/c.jpeg", "/d.raw", "/ch2_iir_n.dat")):
+        end = end.when(k == i + 1, t)
+    return roles.table(spark, sf_dir, "pages").select("page_id", F.concat("url", end.otherwise("")).alias("name"))
+
+
+@query(f"WITH {_NAMES}, l AS (SELECT page_id, lower(trim(name)) AS n, list_last(string_split(lower(trim(name)), '/')) AS base FROM names) SELECT page_id, {_KIND} AS product_type FROM l")
+def classify_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _names(spark, sf_dir).select("page_id", X.product_type(F.col("name")).alias("product_type"))
+
+
+_SENSOR = "CASE WHEN regexp_matches(n, 'iirs|ch2_iir|_iir') THEN 'IIRS' WHEN regexp_matches(n, 'ohrc|ch2_ohr') THEN 'OHRC' WHEN contains(n, 'tmc') THEN 'TMC' WHEN regexp_matches(n, 'm1|nac|lro') THEN 'LROC_NAC' ELSE 'Unknown' END"
+
+
+@query(f"WITH {_NAMES}, l AS (SELECT page_id, lower(name) AS n FROM names), s AS (SELECT page_id, {_SENSOR} AS sensor FROM l) SELECT page_id, sensor, CASE WHEN sensor = 'OHRC' THEN 'same' ELSE 'different' END AS route FROM s")
+def sensor_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _names(spark, sf_dir).select("page_id", X.sensor_from_name(F.col("name")).alias("sensor"))
+    return s.withColumn("route", X.sensor_route(F.col("sensor"), F.lit("OHRC")))
+
+
+@query(f"WITH {_NAMES}, l AS (SELECT page_id, upper(regexp_replace(list_last(string_split(name, '/')), '(?i)\\.(img|lbl|xml)$', '')) AS id FROM names) SELECT page_id, CASE WHEN id <> '' THEN id END AS product_id, CASE WHEN id = 'M1' || page_id || 'LE' THEN 'VERIFIED' ELSE 'MISMATCH' END AS id_status FROM l")
+def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.concat(F.lit("m1"), F.col("page_id").cast("string"), F.lit("le.lbl"))
+    return _names(spark, sf_dir).select("page_id", X.product_id(F.col("name")).alias("product_id"), X.id_match(F.col("name"), label).alias("id_status"))
+
+
+def _keyword_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit('PDS_VERSION_ID = PDS3\r\nPRODUCT_ID   = "M'), k, F.lit('LE"\r\n RECORD_BYTES = 5064\n^IMAGE = ("A.IMG", '), (F.col("p_partkey") % 7 + 1).cast("string"), F.when(F.col("p_partkey") % 3 == 0, " <BYTES>)").otherwise(")"), F.lit("\nOBJECT = IMAGE\n  LINES = "), (F.col("p_partkey") % 1000 + 1).cast("string"), F.lit("\n  LINE_SAMPLES = 64\n SAMPLE_BITS = "), F.when(F.col("p_partkey") % 2 == 0, "8").otherwise("16"), F.lit("\n SAMPLE_TYPE = LSB_UNSIGNED_INTEGER\n RESOLUTION = "), (F.col("p_size") / 10).cast("string"), F.lit(" <METERS/PIXEL>\nINCIDENCE_ANGLE = 60.5 <DEG>\nEND\n"))
+    return roles.table(spark, sf_dir, "part").select(k.alias("path"), text.alias("text"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, 'M' || p_partkey || 'LE' AS product_id, CAST(p_partkey % 1000 + 1 AS INTEGER) AS lines, CAST(64 AS INTEGER) AS samples, CAST(CASE WHEN p_partkey % 2 = 0 THEN 8 ELSE 16 END AS INTEGER) AS sample_bits,
+ round(p_size / 10.0, 4) AS gsd_m_per_pixel, CAST(29.5 AS DOUBLE) AS sun_elevation_deg FROM part""")
+def label_kv_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.parse_keyword_labels(_keyword_labels(spark, sf_dir)).select("path", "product_id", "lines", "samples", "sample_bits", F.round("gsd_m_per_pixel", 4).alias("gsd_m_per_pixel"), F.round("sun_elevation_deg", 4).alias("sun_elevation_deg"))
+
+
+def _xml_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit('<?xml version="1.0"?><Product_Observational xmlns="http://example.org/ns"><Identification_Area><logical_identifier>urn:'), k, F.lit("</logical_identifier></Identification_Area><processingLevel>Calibrated</processingLevel><spacecraft_altitude>"), (F.col("o_orderkey") % 90 + 10).cast("string"), F.lit(' km</spacecraft_altitude><Axis_Array><axis_name>Line</axis_name><elements>'), (F.col("o_orderkey") % 500 + 1).cast("string"), F.lit('</elements></Axis_Array><Axis_Array axis_name="Sample"><elements>64</elements></Axis_Array><pixelResolution>0.25 m/pixel</pixelResolution></Product_Observational>'))
+    return roles.table(spark, sf_dir, "orders").select(k.alias("path"), text.alias("text"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, 'urn:' || o_orderkey AS product_id, 'Calibrated' AS processing_level, CAST(o_orderkey % 90 + 10 AS DOUBLE) AS altitude_km, CAST(o_orderkey % 500 + 1 AS INTEGER) AS lines, CAST(64 AS INTEGER) AS samples, CAST(0.25 AS DOUBLE) AS gsd_m_per_pixel FROM orders")
+def xml_tag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.parse_xml_labels(_xml_labels(spark, sf_dir)).select("path", "product_id", "processing_level", "altitude_km", "lines", "samples", "gsd_m_per_pixel")
+
+
+_MISSING = "list_filter([" + ", ".join(
+    f"CASE WHEN {cond} THEN '{name}' END" for name, cond in (
+        ("sensor", "sensor_type = 'Unknown' AND instrument IS NULL"), ("processing_level", "processing_level IS NULL"), ("start_time", "start_time IS NULL"), ("stop_time", "stop_time IS NULL"), ("altitude", "altitude_km IS NULL"), ("sun", "sun IS NULL OR incidence IS NULL"),
+        ("camera", "camera IS NULL"), ("footprint", "corners IS NULL"), ("projection", "projection IS NULL"), ("dimensions", "lines IS NULL"))
+) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {roles.METADATA}, v AS (SELECT *, {_MISSING} AS missing FROM meta) SELECT product_id, array_to_string(missing, ',') AS missing, len(missing) = 0 AS valid, gsd IS NULL AS warned FROM v")
+def metadata_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = roles.metadata(spark, sf_dir).withColumn("missing", S.missing_fields())
+    return m.select("product_id", F.array_join("missing", ",").alias("missing"), (F.size("missing") == 0).alias("valid"), (F.size(S.warnings()) > 0).alias("warned"))
+
+
+@query(f"""WITH {roles.METADATA}, v AS (SELECT *, len({_MISSING}) = 0 AS valid FROM meta),
+t AS (SELECT product_id, corners, CASE WHEN source = 'NOT_PROVIDED' THEN source WHEN source = 'DEMO' THEN source WHEN NOT valid THEN 'INCOMPLETE' WHEN lines = 0 OR (sensor_type = 'LROC_NAC' AND gsd IS NULL) THEN 'INCOMPLETE' WHEN source = 'ELSEWHERE' THEN 'INCOMPLETE' ELSE source END AS status FROM v),
+f AS (SELECT product_id, status, CASE WHEN status = 'NOT_PROVIDED' THEN 'PENDING' WHEN corners IS NOT NULL THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS footprint FROM t)
+SELECT product_id, status, footprint, CASE WHEN footprint <> 'AVAILABLE' THEN 'PENDING' WHEN product_id % 4 = 0 THEN 'REJECTED' WHEN product_id % 4 = 1 THEN 'INSUFFICIENT_OVERLAP' WHEN product_id % 4 = 2 THEN 'VALID' ELSE 'PENDING' END AS pair FROM f""")
+def status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = roles.metadata(spark, sf_dir)
+    status = S.metadata_status(F.size(S.missing_fields()) == 0, F.col("source"))
+    m = m.withColumn("status", status).withColumn("footprint", S.footprint_status(F.col("status")))
+    k = F.col("product_id") % 4
+    evaluated = F.when(k == 0, "rejected").when(k == 1, "insufficient_overlap").when(k == 2, "validated").otherwise("pending")
+    return m.select("product_id", "status", "footprint", S.pair_status(F.col("footprint"), F.lit("AVAILABLE"), evaluated, F.lit(None).cast("boolean")).alias("pair"))
+
+
+@query("""WITH n AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'M' || s_suppkey || 'LE.IMG' WHEN 1 THEN 'N' || (s_suppkey % 40) || '.lbl' ELSE 'other' || s_suppkey END AS name, s_nationkey FROM supplier),
+k AS (SELECT s_suppkey, upper(regexp_replace(name, '(?i)\\.(img|lbl|xml)$', '')) AS pid FROM n)
+SELECT CAST(s_suppkey AS BIGINT) AS id, pid, coalesce(n_name, CASE WHEN regexp_matches(pid, '^M[0-9]+[LR]E$') THEN 'FAMILY' END) AS title, CASE WHEN n_name IS NOT NULL THEN 'catalog' WHEN regexp_matches(pid, '^M[0-9]+[LR]E$') THEN 'family' ELSE 'none' END AS record_source FROM k LEFT JOIN nation ON pid = 'N' || n_nationkey""")
+def catalog_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = roles.table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit("M"), k.cast("string"), F.lit("LE.IMG"))).when(k % 3 == 1, F.concat(F.lit("N"), (k % 40).cast("string"), F.lit(".lbl"))).otherwise(F.concat(F.lit("other"), k.cast("string")))
+    catalog = roles.table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".img")).alias("product_id"), F.col("n_name").alias("title"))
+    family = spark.createDataFrame([("FAMILY",)], "title string")
+    return C.look_up(s.select(k.cast("long").alias("id"), name.alias("name")), catalog, family).select("id", "pid", "title", "record_source")
+
+
+@query("""WITH p AS (SELECT 'N' || n_nationkey AS product_id, n_name AS title, 1 AS priority FROM nation UNION ALL SELECT 'N' || (s_suppkey % 30), s_name, 2 FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey % 30 ORDER BY s_suppkey) AS rn FROM supplier) WHERE rn = 1)
+SELECT product_id, title, CASE priority WHEN 1 THEN 'label' ELSE 'catalog_file' END AS provider FROM p QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY priority DESC) = 1""")
+def provider_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = roles.table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("product_id"), F.col("n_name").alias("title"))
+    first = roles.table(spark, sf_dir, "supplier").groupBy((F.col("s_suppkey") % 30).alias("k")).agg(F.min_by("s_name", "s_suppkey").alias("title"))
+    other = first.select(F.concat(F.lit("N"), F.col("k").cast("string")).alias("product_id"), "title")
+    return C.resolve({"label": (1, label), "catalog_file": (2, other)}).select("product_id", "title", "provider")
+
+
+@query("""WITH i AS (SELECT n_name || '_north.img' AS image, lower(n_name || '_north') AS si FROM nation), l AS (SELECT n_name || '.lbl' AS label, lower(n_name) AS sl FROM nation UNION ALL SELECT 'old_' || n_name || '_north_2.xml', lower('old_' || n_name || '_north_2') FROM nation WHERE n_nationkey % 2 = 0)
+SELECT DISTINCT image, label FROM i JOIN l ON si = sl OR contains(si, sl) OR contains(sl, si)""")
+def label_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = roles.table(spark, sf_dir, "nation")
+    images = n.select(F.concat("n_name", F.lit("_north.img")).alias("name"))
+    labels = n.select(F.concat("n_name", F.lit(".lbl")).alias("name")).unionByName(n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("old_"), "n_name", F.lit("_north_2.xml")).alias("name")))
+    return C.associate(images, labels)
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.table(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text").cast("binary")).alias("content_hash"))
+
+
+# ---- raster contract ----
+
+_SPEC = """spec AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_orderkey % 400 AS BIGINT) AS lines, CAST(l_partkey % 300 AS BIGINT) AS samples, CASE l_linenumber % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 END AS bits, CASE WHEN l_suppkey % 4 <> 0 THEN (l_suppkey % 3) * 512 END AS off, CASE WHEN l_suppkey % 5 = 0 THEN 512 END AS record,
+ CAST(l_orderkey % 400 AS BIGINT) * (l_partkey % 300) + (l_linenumber - 3) * 256 AS size FROM lineitem)"""
+
+
+def _spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    lines, samples = (c("l_orderkey") % 400).cast("long"), (c("l_partkey") % 300).cast("long")
+    return roles.table(spark, sf_dir, "lineitem").select(
+        (c("l_orderkey") * 10 + c("l_linenumber")).cast("long").alias("id"), lines.alias("lines"), samples.alias("samples"), F.when(c("l_linenumber") % 3 == 0, 8).when(c("l_linenumber") % 3 == 1, 16).cast("long").alias("bits"),
+        F.when(c("l_suppkey") % 4 != 0, (c("l_suppkey") % 3) * 512).cast("long").alias("off"), F.when(c("l_suppkey") % 5 == 0, 512).cast("long").alias("record"), (lines * samples + (c("l_linenumber") - 3) * 256).cast("long").alias("size"),
+    )
+
+
+_STATUS = """SELECT id, want, CASE WHEN want IS NULL THEN 'UNKNOWN' WHEN record IS NULL AND there = want THEN 'VERIFIED' WHEN record IS NOT NULL AND size = (pos // record + lines) * record THEN 'VERIFIED' WHEN record IS NOT NULL AND size >= pos + want - record THEN 'PARTIAL' WHEN there < want THEN 'MISMATCH' ELSE 'PARTIAL' END AS status, lines, samples, bits, off, record
+ FROM (SELECT *, CASE WHEN lines > 0 AND samples > 0 AND bits > 0 THEN lines * samples * bits // 8 END AS want, coalesce(off, 0) AS pos, greatest(size - coalesce(off, 0), 0) AS there FROM spec)"""
+
+
+@query(f"WITH {_SPEC}, s AS ({_STATUS}) SELECT CAST(id AS BIGINT) AS id, CAST(want AS BIGINT) AS expected_bytes, status FROM s")
+def size_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return _spec(spark, sf_dir).select("id", R.payload(c("lines"), c("samples"), c("bits")).alias("expected_bytes"), R.size_status(c("size"), c("lines"), c("samples"), c("bits"), c("off"), c("record")).alias("status"))
+
+
+_CHECKS_SQL = ["lines > 0 AND samples > 0", "bits IS NOT NULL", "off IS NOT NULL", "record IS NOT NULL AND id % 2 = 0", "status IN ('VERIFIED', 'PARTIAL')", "id % 3 > 0 OR status = 'MISMATCH'", "id % 3 > 0 AND id % 7 > 0", "id % 3 > 0", "id % 3 > 0 AND id % 11 > 0"]
+
+
+@query(f"WITH {_SPEC}, s AS ({_STATUS}) SELECT CAST(id AS BIGINT) AS id, name, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + " UNION ALL ".join(f"SELECT id, '{n}' AS name, coalesce({cond}, false) AS ok FROM s" for n, cond in zip(R.CHECKS, _CHECKS_SQL, strict=True)) + ")")
+def sanity_checks_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    s = _spec(spark, sf_dir).select(
+        "id", "lines", "samples", F.when(c("bits").isNotNull(), "uint8").alias("dtype"), F.lit(None).cast("string").alias("sample_type"), c("off").alias("image_offset"), c("record").alias("record_bytes"), F.when(c("id") % 2 == 0, 2).alias("image_pointer"),
+        R.size_status(c("size"), c("lines"), c("samples"), c("bits"), c("off"), c("record")).alias("size_status"), F.when(c("id") % 3 > 0, 3).alias("n_reads"), (c("id") % 7 > 0).alias("all_nonempty"), F.lit(True).alias("all_in_range"), (c("id") % 11 > 0).alias("all_finite"),
+    )
+    return s.select("id", F.explode(R.sanity_checks()).alias("x")).select("id", "x.name", "x.status")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, round(p_retailprice / p_size, 6) AS ratio, round(round_even(p_size / p_retailprice, 3), 3) AS inverse, CASE WHEN p_size > p_retailprice THEN 'source' WHEN p_size < p_retailprice THEN 'reference' ELSE 'equal' END AS coarser, CAST(abs(round_even(log2(p_size / p_retailprice), 0)) AS INTEGER) AS octaves FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS p_retailprice, CAST(p_size AS DOUBLE) AS p_size FROM part)")
+def scale_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = roles.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("double").alias("s"), F.col("p_retailprice").cast("double").alias("r"))
+    x = G.scale_summary(F.col("s"), F.col("r"))
+    return p.select("id", F.round(G.scale_ratio(F.col("s"), F.col("r")), 6).alias("ratio"), x["ratio"].alias("inverse"), x["coarser"].alias("coarser"), x["octaves"].alias("octaves"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS DOUBLE) / 4 END AS metres, CAST(n_chars AS INTEGER) AS whole FROM documents")
+def unit_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = roles.table(spark, sf_dir, "documents")
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat((F.col("n_chars") / 4).cast("string"), F.lit(" m/pixel"))).otherwise("n/a")
+    return d.select("doc_id", X.number(text).alias("metres"), X.whole(F.concat(F.col("n_chars").cast("string"), F.lit(".75"))).alias("whole"))
