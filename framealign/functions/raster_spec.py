@@ -53,7 +53,7 @@ def profiled(rows, family: Column):  # noqa: ANN001, ANN201
 def pointer_offset(pointer: Column, unit: Column, record_bytes: Column) -> Column:
     """Bytes before the image: a byte pointer as it is, a record pointer from the first record."""
     records = F.greatest(pointer - 1, F.lit(0))
-    return F.when(F.upper(unit).contains("BYTE"), pointer).when(unit.isNull() | F.upper(unit).contains("RECORD"), records * F.coalesce(record_bytes, F.lit(0))).otherwise(F.when(record_bytes > 0, records * record_bytes).otherwise(F.when(pointer > 1, records)))
+    return F.when(pointer.isNull(), None).when(F.upper(unit).contains("BYTE"), pointer).when(unit.isNull() | F.upper(unit).contains("RECORD"), records * F.coalesce(record_bytes, F.lit(0))).otherwise(F.when(record_bytes > 0, records * record_bytes).otherwise(F.when(pointer > 1, records)))
 
 
 def payload(lines: Column, samples: Column, bits: Column) -> Column:

@@ -58,7 +58,7 @@ def parse_keyword_labels(labels: DataFrame) -> DataFrame:
     t = F.substring(F.col("text"), 1, HEAD)
     num, whole, word = (lambda k: keyword_number(t, k)), (lambda k: keyword_int(t, k)), (lambda k: keyword(t, k))
     positive = lambda c: F.when(c != 0, c)
-    pointer = F.regexp_replace(F.regexp_extract(t, r"(?im)^\s*\^IMAGE\s*=\s*([^\r\n]+)", 1), r"^\s*\([^)]*\)", "")
+    pointer = F.regexp_replace(F.regexp_extract(t, r"(?im)^\s*\^IMAGE\s*=\s*([^\r\n]+)", 1), r"\"[^\"]*\"", "")
     raw_unit = F.upper(X.blank_to_null(F.regexp_extract(pointer, r"<\s*([^>]+)>", 1)))
     unit = F.when(raw_unit.isNull(), "RECORDS").when(raw_unit.rlike("BYTE|IMAGE|OFFSET"), "BYTES").when(raw_unit.contains("RECORD"), "RECORDS").otherwise(raw_unit)
     at = X.blank_to_null(F.regexp_extract(pointer, r"\d+", 0)).cast("long")

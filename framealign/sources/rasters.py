@@ -144,6 +144,8 @@ class NpyCube(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make both sources known to a session, and let it hand them its filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (RawRaster, NpyCube):
         spark.dataSource.register(source)
 
