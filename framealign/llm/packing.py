@@ -5,7 +5,8 @@ one; all others are one piece. Each task reads its pieces in a pseudo-random ord
 holds at most OPEN_BINS bins. A bitset over free space has a bit for each free space that some open bin has, so the best
 fit is the lowest bit at or above the piece's length. A piece that fits nowhere opens a bin; if all places are taken, the
 fullest open bin closes first. The bins that are open when a task's pieces end are emptied again, and their pieces go on
-to a next pass of fewer tasks, until one task is left; so what stays unfilled doesn't grow with the number of tasks.
+to a next pass of fewer tasks, until one task is left; so what stays unfilled doesn't grow with the number of tasks. The
+last task puts the pieces of its last open bins again, longest first.
 
 Cases: null counts as empty, an empty text is one piece (its end id). A null doc_id is packed like any other. Rows that
 repeat a doc_id are packed each. An empty table gives no sequences. Columns other than doc_id and text are not read.
@@ -125,11 +126,19 @@ def _pack(length: int, places: int, level: int, last: bool):  # noqa: ANN202
             for item in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 closed += bins.put(item, item[3])
             yield from rows(closed, True)
-        yield from rows(bins.rest(), last)
+        yield from rows(settled(bins.rest(), length) if last else bins.rest(), last)
 
     return run
 
 
+def settled(bins: list[list], length: int) -> list[list]:
+    """The last open bins (OPEN_BINS at most) with their pieces put again, longest first, if that takes fewer bins."""
+    again = Bins(length, sum(map(len, bins)) + 1)
+    closed = [b for item in sorted((i for held in bins for i in held), key=lambda i: (-i[3], repr(i))) for b in again.put(item, item[3])]
+    better = closed + again.rest()
+    return better if len(better) < len(bins) else bins
+
+
 def pack(items: DataFrame, length: int = LENGTH, places: int = OPEN_BINS) -> DataFrame:
     """items (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     done: list[DataFrame] = []
