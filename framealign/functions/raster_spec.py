@@ -108,3 +108,12 @@ def readiness(kind: Column, size: Column, missing: Column, reads_ok: Column) ->
         F.when(kind == "STANDARD_IMAGE", "READY").when(~binary, "UNSUPPORTED").when(F.size(missing) > 0, "PENDING_METADATA").when(size == "MISMATCH", "MISMATCH")
         .when(~F.coalesce(reads_ok, F.lit(False)), "FAILED").when(size == "PARTIAL", "PARTIAL").otherwise("READY")
     )
+
+
+def normalised(rows, spec: str = "raster_spec"):  # noqa: ANN001, ANN201
+    """Outer fields overridden by those of a nested spec where there is one: a present spec hides outer values even with nulls, except
+    dtype, where the first that isn't null counts."""
+    nested = [f.name for f in rows.schema[spec].dataType.fields]
+    there = F.col(spec).isNotNull()
+    out = {n: F.coalesce(F.col(f"{spec}.{n}"), F.col(n)) if n == "dtype" else F.when(there, F.col(f"{spec}.{n}")).otherwise(F.col(n)) for n in nested if n in rows.columns}
+    return rows.withColumns(out).drop(spec)

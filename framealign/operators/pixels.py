@@ -197,3 +197,48 @@ def warp(pixels: DataFrame, h: np.ndarray, height: int, width: int, field: tuple
     got = asked.join(source, ["cl", "cs"])
     out = got.groupBy("product_id", "line", "sample").agg(F.sum(F.col("k") * F.col("value")).alias("value"), F.sum("k").alias("k"), F.min("valid").alias("valid"))
     return out.select("product_id", "line", "sample", "value", (F.col("valid") & (F.col("k") > 1 - 1e-9)).alias("valid"))
+
+
+def refined(images: DataFrame, points: DataFrame, half: int = 5, rounds: int = 40, eps: float = 0.01) -> DataFrame:
+    """points (product_id, id, x, y) with tx, ty: corners moved to where the gradients around them are at right angles to the way to
+    them. Each point gets the pixels of its neighbourhood by an equi-join, so an image is never held whole; points whose neighbourhood
+    isn't complete, or that would leave it, stay."""
+    reach = half + 2
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    asked = points.withColumns({"cy": F.bround("y", 0).cast("int"), "cx": F.bround("x", 0).cast("int")}).withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps))
+    asked = asked.withColumns({"line": F.col("cy") + F.col("dy"), "sample": F.col("cx") + F.col("dx")})
+    patch = asked.join(images.select(*KEY, F.col("value").cast("double").alias("value")), list(KEY))
+    # a patch has a fixed number of pixels
+    gathered = patch.groupBy("product_id", "id", "x", "y", "cy", "cx").agg(F.transform(F.array_sort(F.collect_list(F.struct("dy", "dx", "value"))), lambda p: p["value"]).alias("patch"))
+    size = 2 * reach + 1
+
+    @F.pandas_udf("tx double, ty double")
+    def move(x: pd.Series, y: pd.Series, cy: pd.Series, cx: pd.Series, patch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([corner(np.asarray(p, float).reshape(size, size), a - v + reach, b - u + reach, half, rounds, eps, a, b) if len(p) == size * size else (a, b) for a, b, u, v, p in zip(x, y, cy, cx, patch, strict=True)], columns=["tx", "ty"])
+
+    done = gathered.withColumn("t", move("x", "y", "cy", "cx", "patch")).select("product_id", "id", "t.tx", "t.ty")
+    return points.join(done, ["product_id", "id"], "left").withColumns({"tx": F.coalesce("tx", "x"), "ty": F.coalesce("ty", "y")})
+
+
+def corner(patch: np.ndarray, px: float, py: float, half: int, rounds: int, eps: float, x: float, y: float) -> tuple[float, float]:
+    """Least-squares corner of a patch near (px, py), in the coordinates of (x, y)."""
+    gy, gx = np.gradient(patch)
+    rows, cols = np.mgrid[0 : patch.shape[0], 0 : patch.shape[1]]
+    qx, qy = px, py
+    for _ in range(rounds):
+        near = np.exp(-(((cols - qx) ** 2 + (rows - qy) ** 2) / (half * half)))
+        near[(np.abs(cols - qx) > half) | (np.abs(rows - qy) > half)] = 0
+        a, b, c = (near * gx * gx).sum(), (near * gx * gy).sum(), (near * gy * gy).sum()
+        u = (near * (gx * gx * cols + gx * gy * rows)).sum()
+        v = (near * (gx * gy * cols + gy * gy * rows)).sum()
+        det = a * c - b * b
+        if abs(det) < 1e-12:
+            return x, y
+        nx, ny = (c * u - b * v) / det, (a * v - b * u) / det
+        moved = np.hypot(nx - qx, ny - qy)
+        qx, qy = nx, ny
+        if abs(qx - px) > half or abs(qy - py) > half:
+            return x, y
+        if moved < eps:
+            break
+    return x + float(qx - px), y + float(qy - py)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import raster_spec as R
+from ..functions import report as T
 from ..functions import states as S
 from ..functions import text as X
 from ..operators import evaluation as E
@@ -560,3 +561,34 @@ def unit_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = roles.table(spark, sf_dir, "documents")
     text = F.when(F.col("doc_id") % 2 == 0, F.concat((F.col("n_chars") / 4).cast("string"), F.lit(" m/pixel"))).otherwise("n/a")
     return d.select("doc_id", X.number(text).alias("metres"), X.whole(F.concat(F.col("n_chars").cast("string"), F.lit(".75"))).alias("whole"))
+
+
+# ---- reports ----
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, round(least(p_size * 1000.0::DOUBLE, p_retailprice) / greatest(p_size * 1000.0::DOUBLE, p_retailprice, 1), 8) AS ratio, least(p_size * 1000.0::DOUBLE, p_retailprice) / greatest(p_size * 1000.0::DOUBLE, p_retailprice, 1) > 0.15 AS plausible FROM (SELECT p_partkey, p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part)")
+def size_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = roles.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") * 1000.0).alias("s"), F.col("p_retailprice").cast("double").alias("r"))
+    ratio, plausible = T.size_plausibility(F.col("s"), F.col("r"))
+    return p.select("id", F.round(ratio, 8).alias("ratio"), plausible.alias("plausible"))
+
+
+@query(f"WITH {roles.POINTS} SELECT pair_id, round(avg(sqrt((rx - sx) ** 2 + (ry - sy) ** 2)), 6) AS mean_shift FROM points GROUP BY pair_id")
+def refinement_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = roles.points(spark, sf_dir).withColumnsRenamed({"rx": "tx", "ry": "ty"})
+    return rounded(T.refinement_shift(p, ["pair_id"]), 6, "mean_shift")
+
+
+@query(f"WITH {roles.METADATA} SELECT product_id, CASE WHEN gsd IS NULL THEN 'pending' WHEN product_id % 90 = 0 THEN 'unavailable' ELSE 'ratio' END AS scale, CASE WHEN lines IS NULL THEN '{T.MISSING}' ELSE CAST(lines AS VARCHAR) || '.0 px' END AS lines FROM meta")
+def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = roles.metadata(spark, sf_dir)
+    scale = T.scale_text(F.lit(0.5), F.col("gsd_m_per_pixel"))
+    return m.select("product_id", F.when(scale.isin("pending", "unavailable"), scale).otherwise("ratio").alias("scale"), T.figure(F.col("lines"), 1, " px").alias("lines"))
+
+
+@query()
+def subpixel_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth pixel by place is a corner to refine (the operator's own points)."""
+    i = roles.image(spark, sf_dir)
+    corners = i.filter("line % 10 = 0 and sample % 10 = 0").select("product_id", (F.col("line") * 64 + F.col("sample")).cast("long").alias("id"), F.col("sample").cast("double").alias("x"), F.col("line").cast("double").alias("y"))
+    return rounded(P.refined(i, corners), 6, "tx", "ty")
