@@ -566,11 +566,11 @@ def unit_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- reports ----
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS id, round(least(p_size * 1000.0::DOUBLE, p_retailprice) / greatest(p_size * 1000.0::DOUBLE, p_retailprice, 1), 8) AS ratio, least(p_size * 1000.0::DOUBLE, p_retailprice) / greatest(p_size * 1000.0::DOUBLE, p_retailprice, 1) > 0.15 AS plausible FROM (SELECT p_partkey, p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part)")
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, least(p_size * 1000.0::DOUBLE, p_retailprice) / greatest(p_size * 1000.0::DOUBLE, p_retailprice, 1) AS ratio, least(p_size * 1000.0::DOUBLE, p_retailprice) / greatest(p_size * 1000.0::DOUBLE, p_retailprice, 1) > 0.15 AS plausible FROM (SELECT p_partkey, p_size, CAST(p_retailprice AS DOUBLE) AS p_retailprice FROM part)")
 def size_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = roles.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") * 1000.0).alias("s"), F.col("p_retailprice").cast("double").alias("r"))
     ratio, plausible = T.size_plausibility(F.col("s"), F.col("r"))
-    return p.select("id", F.round(ratio, 8).alias("ratio"), plausible.alias("plausible"))
+    return p.select("id", ratio.alias("ratio"), plausible.alias("plausible"))
 
 
 @query(f"WITH {roles.POINTS} SELECT pair_id, round(avg(sqrt((rx - sx) ** 2 + (ry - sy) ** 2)), 6) AS mean_shift FROM points GROUP BY pair_id")

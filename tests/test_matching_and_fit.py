@@ -71,3 +71,17 @@ def test_transform_between_original_pixels(spark):
     h = F.array(*[F.lit(float(x)) for x in (1, 0, 5, 0, 1, 7, 0, 0, 1)])
     got = spark.range(1).select(E.original_transform(h, (F.lit(0.5), F.lit(0.5)), (F.lit(2.0), F.lit(2.0)))).first()[0]
     assert np.allclose(got, (np.diag([2, 2, 1]) @ np.array([[1, 0, 5], [0, 1, 7], [0, 0, 1]]) @ np.linalg.inv(np.diag([0.5, 0.5, 1]))).ravel())
+
+
+def test_learned_matches_and_scales(spark):
+    rows = [(1, 0.9, True, True, 0, 1.0), (2, 0.34, True, True, 1, 2.0), (3, 0.5, None, True, 2, 3.0), (4, 0.95, True, True, 3, 4.0)]
+    df = spark.createDataFrame(rows, "id long, confidence double, s_valid boolean, r_valid boolean, row_ord long, sx double").withColumns({"sy": F.col("sx"), "rx": F.col("sx"), "ry": F.col("sx")})
+    assert [r.id for r in M.confident(df).collect()] == [4, 1]
+    assert tuple(M.rescaled(df, 2.0, 4.0).filter("id = 3").select("sx", "sy", "rx", "ry").first()) == (6.0, 6.0, 12.0, 12.0)
+
+
+def test_fusion_takes_the_better_score_either_way(spark):
+    rows = [(1, 0.04, 0.0, 0.0, 0.0, 0.5, 0, 0), (1, 0.0, 0.0, 0.0, 0.0, 0.2, 1, 0), (1, 0.0, 0.0, 0.0, 0.0, 0.2, 0, 1), (1, 0.2, 0.0, 0.0, 0.0, 0.9, 0, 2)]
+    df = spark.createDataFrame(rows, "pair_id long, sx double, sy double, rx double, ry double, score double, run_ord int, row_ord int")
+    best = lambda up: sorted((r.score, r.row_ord, r.run_ord) for r in M.fuse(df, up).collect())
+    assert best(False) == [(0.2, 1, 0), (0.9, 2, 0)] and best(True) == [(0.5, 0, 0), (0.9, 2, 0)]
