@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, slices
+from .tokens import encoder, forget, slices
 
 MAX_BITS = 16
 STRIDE = 256
@@ -169,6 +169,7 @@ def _tokenize(path: str, end_id: int, bounds: np.ndarray):  # noqa: ANN202
 
 def _count(width: int, size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(size, np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(common.raw_text(b.column("ids"))[0], f"<u{width}"), minlength=size)
@@ -180,6 +181,7 @@ def _count(width: int, size: int):  # noqa: ANN202
 
 def _write(lengths, width: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         book, made = Codebook(lengths.value), {}
         for b in batches:
             part = b.column("part").to_numpy()

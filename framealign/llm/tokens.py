@@ -45,15 +45,36 @@ class PieceEncoder:
         self.mark_id = line[1] if self.keeps_space else self._ids("0")[0]
         self.pieces: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        self.letters = self._for_letters(path)
         self.ends = {c: np.array(self._ids(c), self.dtype).tobytes() for c in ".,;:!?"}
 
+    def _for_letters(self, path: str):  # noqa: ANN202
+        """The library without the pattern that finds pre-tokens, for pieces that are one pre-token of letters each."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        out = Tokenizer.from_file(path)
+        cut = pre_tokenizers.Split("\n", "isolated") if self.keeps_space else pre_tokenizers.Split(" ", "removed")
+        out.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if not self.keeps_space:
+            out.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        return out
+
+    @staticmethod
+    def _plain(word: str) -> bool:
+        """Letters of Latin blocks only, which every Unicode version knows as such, in lower case too."""
+        return word.isascii() and word.isalpha() or (word.isalpha() and max(word) < "\u0250" and word.lower().isalpha())
+
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of new pieces (see `_keys`) in the store; None marks a piece that isn't clean."""
+    def _learn(self, new: list[str]) -> dict[str, bytes | None]:
+        """Put the ids of new pieces (see `_keys`) in the store; None marks a piece that isn't clean.
+
+        A word that is new itself is kept without the mark after it; the ids with the mark are returned for this once.
+        """
         store, old, ends = self.pieces, self.older, self.ends
         asked: dict[str, str] = {}
+        plain: dict[str, str] = {}
         ended: list[str] = []
         for key in new:
             if key in old:
@@ -63,7 +84,7 @@ class PieceEncoder:
             if key[-1:] in ends and key[-2:-1].isalpha():
                 ended.append(key)
                 key = key[:-1]
-                if key in store or key in asked:
+                if key in store or key in asked or key in plain:
                     continue
                 if key in old:
                     store[key] = old[key]
@@ -79,27 +100,31 @@ class PieceEncoder:
             elif len(word) > 1000 or (self.mark.strip() or "\n") in word:
                 store[key] = self._packed(lead, self._ids(" " + word if lead == " " else word))
             else:
-                asked[key] = word if lead != " " else " " + word
-        some: list[tuple[str, str]] = []
-        size = 0
-        for item in asked.items():
-            some.append(item)
-            size += len(item[1])
-            if size > AT_ONCE:
-                self._ask(some)
-                some, size = [], 0
-        if some:
-            self._ask(some)
+                (plain if self._plain(word) else asked)[key] = word if lead != " " else " " + word
+        for library, pieces in ((self.letters, plain), (self.library, asked)):
+            some: list[tuple[str, str]] = []
+            size = 0
+            for item in pieces.items():
+                some.append(item)
+                size += len(item[1])
+                if size > AT_ONCE:
+                    self._ask(library, some)
+                    some, size = [], 0
+            if some:
+                self._ask(library, some)
+        once: dict[str, bytes | None] = {}
         for key in ended:
-            base = store[key[:-1]]
-            store[key] = None if base is None else base + ends[key[-1]]
+            word = key[:-1]
+            base = store[word]
+            (once if word in plain or word in asked else store)[key] = None if base is None else base + ends[key[-1]]
+        return once
 
     def _packed(self, lead: str, ids: list[int]) -> bytes:
         return (self.line if lead == "\n" else b"") + np.array(ids, self.dtype).tobytes()
 
-    def _ask(self, asked: list[tuple[str, str]]) -> None:
+    def _ask(self, library, asked: list[tuple[str, str]]) -> None:  # noqa: ANN001
         joined = self.mark.join(text for _, text in asked)
-        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+        ids = np.array(library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
         cuts = np.flatnonzero(ids == self.mark_id)
         if len(cuts) != len(asked) - 1:  # a piece holds the separator's id after all
             for key, text in asked:
@@ -138,10 +163,11 @@ class PieceEncoder:
                 open_.append((at, keys, got, gaps))
             else:
                 out[at] = b"".join(got)
-        self._learn([k for k in new if k not in store])
+        once = self._learn([k for k in new if k not in store])
         for at, keys, got, gaps in open_:
             for i in gaps:
-                got[i] = store[keys[i]]
+                key = keys[i]
+                got[i] = once[key] if key in once else store[key]
             out[at] = self._whole(texts[at]) if None in got else b"".join(got)
         return out
 
@@ -157,6 +183,12 @@ class PieceEncoder:
         return out + self._some(texts[start:])
 
 
+def forget() -> None:
+    """Drop the pieces that the worker keeps, in steps that encode nothing."""
+    for made in _made.values():
+        made.pieces, made.older = {}, {}
+
+
 def slices(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, list[str]]]:
     """Texts of a column a few at a time, with the row each slice starts at; null counts as empty."""
     for at in range(0, len(column), rows):
