@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality classifier, exact dedup, SimHash near-dedup, benchmark decontamination, packing.
+"""The corpus pipeline: quality classifier, exact dedup, near-dedup (0.8 over five-word shingles), benchmark decontamination, packing.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each stage's rows are
 written as Parquet and read again as the next one's docs, so a stage works on all that the one before kept, and a lost
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framealign.llm import common, decontaminate, exact_dedup, huffman, packing, quality, simhash
+from framealign.llm import common, decontaminate, exact_dedup, huffman, jaccard, packing, quality
 
 #: A document goes if the probability of label 1 is below this: it is likelier junk than not.
 LEAST_SCORE = 0.5
@@ -32,9 +32,9 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component stays."""
-    found = simhash.near_duplicates(docs)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")))
+    """The document with the least doc_id of each component stays; links are similarities of 0.8 over five-word shingles."""
+    gone = jaccard.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
