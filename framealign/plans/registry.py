@@ -175,7 +175,7 @@ def residual_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def robust_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FIT.fit_pairs(M.cap_cells(roles.points(spark, sf_dir).withColumn("c", F.pmod(F.xxhash64("id"), F.lit(20))), ["pair_id", "c"], [F.col("id")]), threshold=0.75)
+    return FIT.fit_pairs(roles.points(spark, sf_dir), threshold=0.75)
 
 
 @query(_projected_sql() + ", m AS (SELECT pair_id % 2 AS run, count(*) AS n, sqrt(avg(error * error)) AS rmse, max(error) AS worst FROM r GROUP BY 1) "

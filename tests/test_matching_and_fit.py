@@ -85,3 +85,12 @@ def test_fusion_takes_the_better_score_either_way(spark):
     df = spark.createDataFrame(rows, "pair_id long, sx double, sy double, rx double, ry double, score double, run_ord int, row_ord int")
     best = lambda up: sorted((r.score, r.row_ord, r.run_ord) for r in M.fuse(df, up).collect())
     assert best(False) == [(0.2, 1, 0), (0.9, 2, 0)] and best(True) == [(0.5, 0, 0), (0.9, 2, 0)]
+
+
+def test_robust_fit_query_takes_all_points(spark):
+    from framealign.plans import registry, roles
+
+    folder = "/root/testdata/sf0.001"
+    got = {r.pair_id: r.inlier_count + r.outlier_count for r in registry.robust_fit(spark, folder).collect()}
+    want = {r.pair_id: r["count"] for r in roles.points(spark, folder).groupBy("pair_id").count().collect()}
+    assert got == want and max(want.values()) > 400
