@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def offsets(column: pa.Array) -> np.ndarray:
+    """n + 1 offsets of the values of a string or binary column, from 0."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offs = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return offs - offs[0] if len(offs) else np.zeros(1, np.int64)
+
+
 def raw_text(column: pa.Array) -> tuple[bytes, np.ndarray]:
     """All texts as one bytes object and n + 1 offsets into it; null counts as empty."""
     if column.null_count:
@@ -67,13 +74,19 @@ def cut(df: DataFrame) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    """A new place below the shared folder; removed at exit."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, for larger intermediates; removed at exit."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    path = folder(spark, what)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(path: str, spark: SparkSession) -> None:

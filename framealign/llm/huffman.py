@@ -1,15 +1,19 @@
 """Token ids in a binary format: canonical length-limited Huffman codes, decoded by table in independent blocks.
 
 Steps: texts to ids (`tokens`), an end id after each document; ids counted over all documents; code lengths of at most
-MAX_BITS by package-merge; canonical codes. Documents are written in ascending doc_id order as segments. A segment is
-one binary value: a header, its documents (doc_id and number of ids), and blocks of at most BLOCK_IDS ids. A block has
-its bit stream and the bit offset of every STRIDE-th id, so that a reader starts anywhere, and decodes all strides side
-by side: 16 bits are looked up in a table of (id, length). The codebook is the array of code lengths.
+MAX_BITS (more if there are more ids in use than such codes) by package-merge; canonical codes. Documents are written in
+ascending doc_id order as segments. A segment is one binary value: a header, its documents (doc_id and number of ids), and
+blocks of at most BLOCK_IDS ids. A block has its bit stream and the bit offset of every STRIDE-th id, so that a reader
+starts anywhere, and decodes all strides side by side: the next bits are looked up in a table of (id, length).
 
-The table of segments is the file: Spark's writer commits it, so a lost executor leaves no half-written segment.
+File. A folder with two Parquet tables: `codebook` (one row: the length of each id's code) and `segments` (segment, n_ids,
+payload). It holds all that a later session needs to decode it. Spark's writer commits the tables, the codebook first, so a
+lost executor leaves no half-written segment.
 
-Cases: null counts as empty, an empty text is its end id alone. Equal doc_ids stand in the order of their ids. Rows
-with a null doc_id come first. An empty table has no segments. Ids that no document holds get no code. A codebook of
+Order. Rows are dealt out by ranges of (doc_id, row), so that a doc_id that very many rows share, or null, is split too.
+
+Cases: null counts as empty, an empty text is its end id alone. Equal doc_ids stand in the order in which they were read.
+Rows with a null doc_id come first. An empty table has no segments. Ids that no document holds get no code. A codebook of
 one id gives it one bit. Columns other than doc_id and text are not read.
 """
 
@@ -20,17 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, forget, slices
+from .tokens import encoder, slices
 
 MAX_BITS = 16
+#: A code and the bits before it in its first byte fit 32 bits.
+MOST_BITS = 24
 STRIDE = 256
-BLOCK_IDS = 1 << 20
-#: Documents of one range of doc_ids, which one task writes in order.
-RANGE_DOCS = 8192
+BLOCK_IDS = 1 << 18
+#: Ids of one range of documents, which one task writes in order, and of a segment, about.
+RANGE_IDS = 1 << 23
+SEGMENT_IDS = 1 << 20
 END_ID = 2
 
 
@@ -44,8 +52,9 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     if len(used) < 2:
         out[used] = 1
         return out
-    if len(used) > 1 << limit:
-        raise ValueError("more ids than codes of this length")
+    limit = max(limit, (len(used) - 1).bit_length())
+    if limit > MOST_BITS:
+        raise ValueError("more ids in use than codes of 24 bits")
     order = used[np.argsort(counts[used], kind="stable")]
     leaves = counts[order].astype(np.int64)
     levels, weights = [], leaves
@@ -71,14 +80,15 @@ class Codebook:
 
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
+        self.most = most = max(MAX_BITS, int(self.lengths.max(initial=0)))
         used = np.flatnonzero(lengths)
         order = used[np.lexsort((used, lengths[used]))]
-        size = np.int64(1) << (MAX_BITS - self.lengths[order])
+        size = np.int64(1) << (most - self.lengths[order])
         first = np.cumsum(np.r_[0, size])
         self.codes = np.zeros(len(lengths), np.uint64)
-        self.codes[order] = (first[:-1] >> (MAX_BITS - self.lengths[order])).astype(np.uint64)
-        self.ids = np.zeros(1 << MAX_BITS, np.uint32)
-        self.bits = np.ones(1 << MAX_BITS, np.int64)
+        self.codes[order] = (first[:-1] >> (most - self.lengths[order])).astype(np.uint64)
+        self.ids = np.zeros(1 << most, np.uint32)
+        self.bits = np.ones(1 << most, np.uint8)
         self.ids[: first[-1]] = np.repeat(order, size)
         self.bits[: first[-1]] = np.repeat(self.lengths[order], size)
 
@@ -104,11 +114,11 @@ class Codebook:
         lanes = -(-n // STRIDE)
         p = np.frombuffer(blob, "<u4", lanes, at + 8).astype(np.int64)
         stream = np.frombuffer(blob, np.uint8, size, at + 8 + 4 * lanes).astype(np.uint32)
-        window = stream[:-2] << 16 | stream[1:-1] << 8 | stream[2:]
+        window = stream[:-3] << 24 | stream[1:-2] << 16 | stream[2:-1] << 8 | stream[3:]
         out = np.zeros((lanes, STRIDE), np.uint32)
-        last = len(window) - 1
+        last, spare, mask = len(window) - 1, 32 - self.most, np.uint32((1 << self.most) - 1)
         for step in range(min(n, STRIDE)):
-            peek = window[np.minimum(p >> 3, last)] >> (8 - (p & 7)).astype(np.uint32) & 0xFFFF
+            peek = window[np.minimum(p >> 3, last)] >> (spare - (p & 7)).astype(np.uint32) & mask
             out[:, step] = self.ids[peek]
             p += self.bits[peek]
         return out.reshape(-1)[:n], at + 8 + 4 * lanes + size
@@ -153,23 +163,23 @@ def read_segment(book: Codebook, blob: bytes) -> tuple[list[int | None], np.ndar
 # ---- steps ----
 
 
-def _tokenize(path: str, end_id: int, bounds: np.ndarray):  # noqa: ANN202
+def _tokenize(path: str, end_id: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own, row = encoder(path), TaskContext.get().partitionId() << 40
         end = np.array([end_id], own.dtype).tobytes()
         for b in batches:
             for at, texts in slices(b.column("text")):
                 ids = [x + end for x in own.encode(texts)]
                 doc = b.column("doc_id").slice(at, len(texts))
-                part = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
-                yield pa.record_batch([pa.array(part, pa.int32()), doc, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+                yield pa.record_batch([doc, pa.array(np.arange(row, row + len(texts))), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
+                row += len(texts)
+        own.forget()
 
     return run
 
 
 def _count(width: int, size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         total = np.zeros(size, np.int64)
         for b in batches:
             total += np.bincount(np.frombuffer(common.raw_text(b.column("ids"))[0], f"<u{width}"), minlength=size)
@@ -181,18 +191,17 @@ def _count(width: int, size: int):  # noqa: ANN202
 
 def _write(lengths, width: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        book, made = Codebook(lengths.value), {}
+        book, made = Codebook(lengths.value), TaskContext.get().partitionId() << 32
         for b in batches:
-            part = b.column("part").to_numpy()
-            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                data, offs = common.raw_text(b.column("ids").slice(s, e - s))
-                ids = np.frombuffer(data, f"<u{width}")
-                k = int(part[s])
-                made[k] = made.get(k, -1) + 1
-                blob = write_segment(book, b.column("doc_id").slice(s, e - s).to_pylist(), np.diff(offs) // width, ids)
-                yield pa.record_batch([pa.array([(k << 32) + made[k]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["segment", "n_ids", "payload"])
+            column = b.column("ids")
+            offs = common.offsets(column) // width
+            at = 0
+            while at < b.num_rows:
+                to = min(b.num_rows, max(at + 1, int(np.searchsorted(offs, offs[at] + SEGMENT_IDS, side="right")) - 1))
+                ids = np.frombuffer(common.raw_text(column.slice(at, to - at))[0], f"<u{width}")
+                blob = write_segment(book, b.column("doc_id").slice(at, to - at).to_pylist(), np.diff(offs[at : to + 1]), ids)
+                yield pa.record_batch([pa.array([made], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["segment", "n_ids", "payload"])
+                made, at = made + 1, to
 
     return run
 
@@ -211,31 +220,34 @@ def _read(lengths):  # noqa: ANN001, ANN202
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID) -> tuple[DataFrame, np.ndarray]:
-    """The table of segments (segment, n_ids, payload), written to the shared folder, and its code lengths."""
+def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> None:
+    """Write the file of a table's ids to a new folder; path: of the tokenizer."""
     spark = docs.sparkSession
     common.ship(spark)
     own = encoder(path)
     width, vocabulary = own.dtype.itemsize, max(own.library.get_vocab_size(), end_id + 1)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = max(1, -(-read.count() // RANGE_DOCS))
-    bounds = np.unique(np.array(read.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 1 / (8 * parts)) if parts > 1 else [], np.int64))
-    ids = common.staged(read.mapInArrow(_tokenize(path, end_id, bounds), "part int, doc_id long, ids binary"), "ids")
+    ids = common.staged(read.mapInArrow(_tokenize(path, end_id), "doc_id long, row long, ids binary"), "ids")
     counts = np.zeros(vocabulary, np.int64)
+    # at most one row per id of the vocabulary
     for row in ids.select("ids").mapInArrow(_count(width, vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row.id] = row.n
     lengths = code_lengths(counts)
-    shared = spark.sparkContext.broadcast(lengths)
-    ordered = ids.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
-    return common.staged(ordered.mapInArrow(_write(shared, width), "segment long, n_ids long, payload binary"), "segments"), lengths
+    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{folder}/codebook")
+    parts = max(1, -(-int(counts.sum()) // RANGE_IDS))
+    ordered = ids.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
+    written = ordered.select("doc_id", "ids").mapInArrow(_write(spark.sparkContext.broadcast(lengths), width), "segment long, n_ids long, payload binary")
+    written.write.option("parquet.enable.dictionary", "false").option("compression", "none").parquet(f"{folder}/segments")
 
 
-def read_tokens(segments: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from segments."""
-    shared = segments.sparkSession.sparkContext.broadcast(lengths)
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the file in a folder."""
+    common.ship(spark)
+    lengths = np.frombuffer(spark.read.parquet(f"{folder}/codebook").first()[0], np.uint8)
+    segments = spark.read.schema("segment long, n_ids long, payload binary").parquet(f"{folder}/segments")
     # one row per segment: a running sum over the table of contents, not over documents
     base = segments.select("segment", "n_ids").withColumn("base", F.sum("n_ids").over(Window.orderBy("segment")) - F.col("n_ids"))
-    rows = segments.select("segment", "payload").mapInArrow(_read(shared), "segment long, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = segments.select("segment", "payload").mapInArrow(_read(spark.sparkContext.broadcast(lengths)), "segment long, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(base, "segment").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -246,5 +258,6 @@ def vocabulary_path(name: str) -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments, lengths = write_tokens(common.table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
-    return read_tokens(segments, lengths)
+    folder = common.folder(spark, "tokens")
+    write_tokens(common.table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), folder)
+    return read_tokens(spark, folder)
