@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
+#: Bytes of one Arrow batch, about; a single row may be larger.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,11 +85,11 @@ def folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
+def staged(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder, for larger intermediates; removed at exit."""
     spark = df.sparkSession
     path = folder(spark, what)
-    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,7 +110,9 @@ def _clean() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, unless their Python path has it already."""
+    """Send this package to the executors, unless their Python path has it already; bound the batches that Python gets."""
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     paths = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(root) in paths or (is_local(spark) and Path.cwd() == root):

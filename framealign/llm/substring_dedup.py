@@ -43,8 +43,9 @@ LENGTH = 200
 GRAM = 40
 #: Anchors of one hash that one task sorts.
 MOST_MEMBERS = 32_768
-#: Bytes of text whose anchors are found at once, and anchors that are sorted at once.
-BLOCK_BYTES = 2_000_000
+#: Bytes of text that are hashed at once, of texts that are written at once, and anchors that are sorted at once.
+STRETCH = 400_000
+BLOCK_BYTES = 4_000_000
 BLOCK_ANCHORS = 8_192
 #: Rows of one number that are broadcast at most.
 MOST_BROADCAST = 500_000
@@ -60,14 +61,25 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_tables: list[np.ndarray] = [_powers(_BASE, 1), _powers(_INVERSE, 1)]
+
+
 class Prefixes:
     """Prefix polynomial hashes of a byte string; equal strings have equal hashes, wherever they stand."""
 
     def __init__(self, data: np.ndarray):
-        up = _powers(_BASE, len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.sums[1:])
-        self.down = _powers(_INVERSE, len(data))
+        n = len(data)
+        up, down = _tables
+        if len(up) <= n:
+            up, down = _powers(_BASE, n), _powers(_INVERSE, n)
+            if n <= 2 * STRETCH:  # the tables of usual sizes are kept
+                _tables[:] = up, down
+        self.sums = np.zeros(n + 1, np.uint64)
+        part = data.astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[:n]
+        np.cumsum(part, out=self.sums[1:])
+        self.down = down[: n + 1]
 
     def of(self, start: np.ndarray, size) -> np.ndarray:  # noqa: ANN001
         return (self.sums[start + size] - self.sums[start]) * self.down[start]
@@ -75,12 +87,17 @@ class Prefixes:
     def all(self, size: int) -> np.ndarray:
         """Hashes of all strings of a size."""
         n = len(self.sums) - size
-        return (self.sums[size:] - self.sums[:n]) * self.down[:n] if n > 0 else np.empty(0, np.uint64)
+        if n <= 0:
+            return np.empty(0, np.uint64)
+        out = self.sums[size:] - self.sums[:n]
+        out *= self.down[:n]
+        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    for _ in range(2):
+        x = x ^ (x >> np.uint64(32))
+        x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
@@ -94,39 +111,40 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _same_document(data: np.ndarray, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows of one document by hash: whether one is the first of its kind, and whether it has an equal."""
-    order = np.argsort(windows, kind="stable")
-    hashes = windows[order]
-    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    sizes = np.diff(np.r_[starts, len(order)])
-    first_of = np.empty(len(order), np.int64)
-    first_of[order] = np.repeat(order[starts], sizes)
+def _same_document(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For some windows of one document (ascending places and hashes): whether one is the first of its kind, and whether it has an equal."""
+    n = len(at)
+    order = np.argsort(hashes, kind="stable").astype(np.int32 if n < 1 << 31 else np.int64)
+    new = np.r_[True, hashes[order[1:]] != hashes[order[:-1]]]
+    starts = np.flatnonzero(new)
+    first_of = np.empty(n, order.dtype)
+    first_of[order] = np.repeat(order[starts], np.diff(np.r_[starts, n]))
+    del order, new, starts
     # runs of windows that follow each other, like their firsts, are compared as one string
-    later = np.flatnonzero(first_of != np.arange(len(order)))
-    lag = later - first_of[later]
-    repeated = np.zeros(len(order), bool)
-    first = np.ones(len(order), bool)
+    later = np.flatnonzero(first_of != np.arange(n))
+    repeated, first = np.zeros(n, bool), np.ones(n, bool)
     if not len(later):
         return first, repeated
-    cuts = np.flatnonzero(np.r_[True, (later[1:] != later[:-1] + 1) | (lag[1:] != lag[:-1])])
+    place = at[later]
+    lag = place - at[first_of[later]]
+    cuts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (lag[1:] != lag[:-1])])
     for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(later)], strict=True):
-        a, b, shift = int(later[s]), int(later[e - 1]) + 1, int(lag[s])
+        a, b, shift = int(place[s]), int(place[e - 1]) + 1, int(lag[s])
         if not (data[a : b + length - 1] == data[a - shift : b - shift + length - 1]).all():
-            return _slowly(data, length)
-        repeated[a:b] = repeated[a - shift : b - shift] = True
-        first[a:b] = False
+            return _slowly(data, at, length)
+    repeated[later] = True
+    repeated[first_of[later]] = True
+    first[later] = False
     return first, repeated
 
 
-def _slowly(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _slowly(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     raw, seen = data.tobytes(), {}
-    n = len(raw) - length + 1
-    first, repeated = np.ones(n, bool), np.zeros(n, bool)
-    for k in range(n):
-        at = seen.setdefault(raw[k : k + length], k)
-        if at != k:
-            first[k], repeated[k], repeated[at] = False, True, True
+    first, repeated = np.ones(len(at), bool), np.zeros(len(at), bool)
+    for k, p in enumerate(at.tolist()):
+        was = seen.setdefault(raw[p : p + length], k)
+        if was != k:
+            first[k], repeated[k], repeated[was] = False, True, True
     return first, repeated
 
 
@@ -135,45 +153,94 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[0::2], turn[1::2]
 
 
+def _least(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of some bytes, the place of its least gram; and the hashes of all grams."""
+    grams = mixed(Prefixes(data).all(gram))
+    keys = grams & ~np.uint64(_PLACE)
+    keys |= np.arange(len(grams), dtype=np.uint64)
+    least = sliding_min(keys, length - gram + 1)
+    least &= np.uint64(_PLACE)
+    return least.astype(np.int64), grams
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at ascending places, a stretch at a time."""
+    out = np.empty(len(at), np.uint64)
+    k = 0
+    while k < len(at):
+        a = int(at[k])
+        to = int(np.searchsorted(at, a + STRETCH, side="left"))
+        out[k:to] = Prefixes(data[a : int(at[to - 1]) + length]).of(at[k:to] - a, length)
+        k = to
+    return out
+
+
+def _repeats_inside(data: np.ndarray, places: np.ndarray, hashes: np.ndarray, begins: np.ndarray, windows: int, length: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which anchors of a text have a window that is the first of its kind in it, and the spans of windows that repeat in it.
+
+    begins: the first window of each anchor. Only windows of anchors whose hash repeats can repeat.
+    """
+    _, kind, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(n[kind] > 1)
+    sizes = np.diff(np.r_[begins, windows])[again]
+    ends = np.cumsum(sizes)
+    at = np.repeat(begins[again] - ends + sizes, sizes) + np.arange(int(ends[-1]))
+    first, repeated = _same_document(data, at, _window_hashes(data, at, length), length)
+    kept = np.ones(len(places), bool)
+    kept[again] = np.logical_or.reduceat(first, ends - sizes)
+    held = at[repeated]
+    turn = np.flatnonzero(np.r_[True, held[1:] != held[:-1] + 1]) if len(held) else np.empty(0, np.int64)
+    last = np.r_[turn[1:] - 1, len(held) - 1] if len(held) else turn
+    return kept, [(int(s), int(e) + length) for s, e in zip(held[turn], held[last], strict=True)]
+
+
 def find_anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
-    """(hashes, places, spans that repeat within the text) of each of some texts, which are hashed as one string."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    firsts = np.r_[0, np.cumsum(sizes)]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    width = length - gram + 1
+    """(hashes, places, spans that repeat within the text) of each of some texts.
+
+    Texts are hashed together, STRETCH bytes at a time; a longer one in stretches that overlap by a window.
+    """
     empty = (np.empty(0, np.uint64), np.empty(0, np.int64), [])
-    if len(data) < length:
-        yield from (empty for _ in texts)
-        return
-    prefixes = Prefixes(data)
-    grams = mixed(prefixes.all(gram))
-    # texts that are longer than the places a key holds are cut into stretches that overlap by a window
-    step = _PLACE - length
-    windows = len(data) - length + 1
-    least = np.empty(windows, np.int64)
-    for s in range(0, windows, step):
-        e = min(windows, s + step)
-        part = grams[s : e + width - 1]
-        keys = (part & ~np.uint64(_PLACE)) | np.arange(len(part), dtype=np.uint64)
-        least[s:e] = s + (sliding_min(keys, width) & np.uint64(_PLACE)).astype(np.int64)
-    for k in range(len(texts)):
-        a, b = int(firsts[k]), int(firsts[k + 1])
-        if b - a < length:
-            yield empty
-            continue
-        own = least[a : b - length + 1]
-        places = own[np.r_[True, own[1:] != own[:-1]]]
-        hashes = grams[places]
-        spans: list[tuple[int, int]] = []
-        if len(np.unique(hashes)) < len(hashes):
-            text = data[a:b]
-            first, repeated = _same_document(text, prefixes.of(np.arange(a, b - length + 1), length), length)
-            if repeated.any():
-                spans = [(int(s), int(e) + length - 1) for s, e in zip(*runs(repeated), strict=True)]
-                kept = own[first]
-                places = kept[np.r_[True, kept[1:] != kept[:-1]]]
+    at = 0
+    while at < len(texts):
+        to, size = at + 1, len(texts[at])
+        while to < len(texts) and size + len(texts[to]) <= STRETCH:
+            size += len(texts[to])
+            to += 1
+        joined = texts[at] if to == at + 1 else b"".join(texts[at:to])
+        data = np.frombuffer(joined, np.uint8)
+        least = grams = None
+        if length <= size <= 2 * STRETCH:
+            least, grams = _least(data, length, gram)
+        a = 0
+        for text in texts[at:to]:
+            b = a + len(text)
+            windows = b - a - length + 1
+            if windows < 1:
+                yield empty
+                a = b
+                continue
+            if least is not None:
+                own = least[a : a + windows]
+                begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                places = own[begins]
                 hashes = grams[places]
-        yield hashes, places - a, spans
+                places = places - a
+            else:  # the only text of its block
+                parts: list[tuple[np.ndarray, ...]] = []
+                for s in range(0, windows, STRETCH):
+                    own, some = _least(data[s : min(s + STRETCH, windows) + length - 1], length, gram)
+                    turn = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    parts.append((turn + s, own[turn] + s, some[own[turn]]))
+                begins, places, hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+                new = np.r_[True, places[1:] != places[:-1]]
+                begins, places, hashes = begins[new], places[new], hashes[new]
+            spans: list[tuple[int, int]] = []
+            if len(set(hashes.tolist())) < len(hashes):
+                kept, spans = _repeats_inside(data[a:b], places, hashes, begins, windows, length)
+                hashes, places = hashes[kept], places[kept]
+            yield hashes, places, spans
+            a = b
+        at = to
 
 
 # ---- sorting ----
