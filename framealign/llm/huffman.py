@@ -227,7 +227,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = END_ID)
     own = encoder(path)
     width, vocabulary = own.dtype.itemsize, max(own.library.get_vocab_size(), end_id + 1)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = common.staged(read.mapInArrow(_tokenize(path, end_id), "doc_id long, row long, ids binary"), "ids")
+    ids = common.staged(read.mapInArrow(_tokenize(path, end_id), "doc_id long, row long, ids binary"), "ids", "zstd")
     counts = np.zeros(vocabulary, np.int64)
     # at most one row per id of the vocabulary
     for row in ids.select("ids").mapInArrow(_count(width, vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
