@@ -145,12 +145,83 @@ def _text(column: str) -> Column:
     return F.coalesce(F.expr(f"to_json(to_variant_object(named_struct('x', {column})))"), F.lit('{"x":null}')).substr(F.lit(6), F.lit(1 << 30)).substr(F.lit(1), F.length(F.coalesce(F.expr(f"to_json(to_variant_object(named_struct('x', {column})))"), F.lit('{"x":null}'))) - 6)
 
 
+def tool_turns(talks: DataFrame) -> DataFrame:
+    """Talks of users and an assistant as talks with tool calls, by fixed rules, so that a table without calls exercises the method.
+
+    With n the characters of a text, w its first run of ASCII letters and t its turn: a user's turn becomes the call c<t> of
+    search, fetch, calculate, store or an unknown tool (n mod 5); its main argument is w, or refers to the call c<t+2>
+    (n mod 3 = 0) or c<t-2> (n mod 3 = 1), so that some calls need later ones and some need each other. Odd n give search a
+    limit of the wrong type, n mod 7 = 0 leaves fetch without its url. An assistant's turn becomes the result of c<t-1>.
+    All other rows stay as they are. Keys and white space are not canonical here.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = talks.withColumn("_text", text).withColumn("_n", F.length("_text")).withColumn("_t", F.col("turn").cast("long"))
+    main = "case when _n % 3 = 0 then concat('$c', _t + 2) when _n % 3 = 1 then concat('$c', _t - 2) else regexp_extract(_text, '[A-Za-z]+', 0) end"
+    arguments = f"""case _n % 5
+        when 0 then concat('{{"query": "', {main}, '", "limit": ', if(_n % 2 = 0, string(_n), '"many"'), '}}')
+        when 1 then if(_n % 7 = 0, '{{"headers": {{}}}}', concat('{{"url": "', {main}, '", "headers": {{"n": ', _n, '}}}}'))
+        when 2 then concat('{{"precision": ', _n % 10, ', "expression": "', {main}, '"}}')
+        when 3 then concat('{{"value": {{"b": ', _n, ', "a": [1, 2]}}, "key": "', {main}, '", "force": ', string(_n % 2 = 0), '}}')
+        else concat('{{"x": "', {main}, '"}}') end"""
+    content = "substring(to_json(named_struct('x', _text)), 6, length(to_json(named_struct('x', _text))) - 6)"
+    call = f"""concat('{{"tool_calls": [{{"name": "', element_at(array('search', 'fetch', 'calculate', 'store', 'other'), _n % 5 + 1), '", "id": "c', _t, '", "arguments": ', {arguments}, '}}], "content": ', {content}, '}}')"""
+    result = f"""concat('{{"tool_call_id": "c', _t - 1, '", "content": ', {content}, '}}')"""
+    shaped = F.expr(f"case when _t is not null and role = 'user' then {call} when _t is not null and role = 'assistant' then {result} else _text end")
+    return named.select("conv_id", "turn", "role", shaped.alias("text"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(common.table(spark, sf_dir, "conversations"))
+    return format_chats(tool_turns(common.table(spark, sf_dir, "conversations")))
 
 
 OP6_SQL = """
-SELECT conv_id, turn, turn AS place, CAST(0 AS INTEGER) AS depth, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_valid, false AS cyclic,
-       '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
-FROM conversations
+WITH RECURSIVE d AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+calls AS (
+  SELECT conv_id, turn, role, text, n, 'c' || turn AS id, ['search', 'fetch', 'calculate', 'store', 'other'][n % 5 + 1] AS name,
+         CASE n % 3 WHEN 0 THEN '$c' || (turn + 2) WHEN 1 THEN '$c' || (turn - 2) ELSE regexp_extract(text, '[A-Za-z]+') END AS main
+  FROM d WHERE role = 'user'),
+written AS (
+  SELECT *, CASE name
+    WHEN 'search' THEN '{"limit":' || CASE WHEN n % 2 = 0 THEN CAST(n AS VARCHAR) ELSE '"many"' END || ',"query":"' || main || '"}'
+    WHEN 'fetch' THEN CASE WHEN n % 7 = 0 THEN '{"headers":{}}' ELSE '{"headers":{"n":' || n || '},"url":"' || main || '"}' END
+    WHEN 'calculate' THEN '{"expression":"' || main || '","precision":' || (n % 10) || '}'
+    WHEN 'store' THEN '{"force":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || ',"key":"' || main || '","value":{"a":[1,2],"b":' || n || '}}'
+    ELSE '{"x":"' || main || '"}' END AS arguments
+  FROM calls),
+schemas(name, key, kinds, required) AS (VALUES
+  ('search', 'query', ['VARCHAR'], true), ('search', 'limit', ['UBIGINT', 'BIGINT'], false),
+  ('fetch', 'url', ['VARCHAR'], true), ('fetch', 'headers', ['OBJECT'], false),
+  ('calculate', 'expression', ['VARCHAR'], true), ('calculate', 'precision', ['UBIGINT', 'BIGINT'], false),
+  ('store', 'key', ['VARCHAR'], true), ('store', 'value', ['OBJECT'], true), ('store', 'tags', ['ARRAY'], false),
+  ('store', 'force', ['BOOLEAN'], false), ('store', 'weight', ['UBIGINT', 'BIGINT', 'DOUBLE'], false)),
+checked AS (
+  SELECT w.conv_id, w.turn, count(s.key) > 0 AND bool_and(s.key IS NULL OR (json_extract(w.arguments, '$.' || s.key) IS NULL AND NOT s.required)
+         OR coalesce(list_contains(s.kinds, json_type(json_extract(w.arguments, '$.' || s.key))), false)) AS valid
+  FROM written w LEFT JOIN schemas s ON s.name = w.name GROUP BY w.conv_id, w.turn),
+results AS (SELECT conv_id, turn, 'c' || (turn - 1) AS id FROM d WHERE role = 'assistant'),
+linked AS (SELECT w.*, c.valid, (SELECT min(r.turn) FROM results r WHERE r.conv_id = w.conv_id AND r.id = w.id) AS result_turn
+           FROM written w JOIN checked c ON c.conv_id = w.conv_id AND c.turn = w.turn),
+needs AS (
+  SELECT conv_id, result_turn AS turn, turn AS need FROM linked WHERE result_turn IS NOT NULL
+  UNION SELECT a.conv_id, a.turn, b.result_turn FROM linked a JOIN linked b ON b.conv_id = a.conv_id AND contains(a.arguments, '"$' || b.id || '"') WHERE b.result_turn IS NOT NULL),
+paths AS (
+  SELECT conv_id, need AS a, turn AS m, 1 AS k FROM needs WHERE need <> turn
+  UNION SELECT p.conv_id, p.a, n.turn, p.k + 1 FROM paths p JOIN needs n ON n.conv_id = p.conv_id AND n.need = p.m AND n.need <> n.turn
+        WHERE p.k < (SELECT count(*) FROM d WHERE d.conv_id = p.conv_id)),
+rings AS (SELECT DISTINCT conv_id, a FROM paths WHERE a = m),
+cyclic AS (SELECT conv_id, a AS m FROM rings UNION SELECT p.conv_id, p.m FROM paths p JOIN rings r ON r.conv_id = p.conv_id AND r.a = p.a),
+places AS (
+  SELECT d.conv_id, d.turn, max({'p': coalesce(p.a, d.turn), 'd': coalesce(p.k, 0)}) AS best
+  FROM d LEFT JOIN paths p ON p.conv_id = d.conv_id AND p.m = d.turn AND p.a >= d.turn GROUP BY d.conv_id, d.turn)
+SELECT d.conv_id AS conv_id, d.turn AS turn, CASE WHEN c.m IS NULL THEN x.best.p ELSE d.turn END AS place, CAST(CASE WHEN c.m IS NULL THEN x.best.d ELSE 0 END AS INTEGER) AS depth,
+       CAST(CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_calls, CAST(CASE WHEN l.result_turn IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_linked,
+       CAST(CASE WHEN l.valid THEN 1 ELSE 0 END AS BIGINT) AS n_valid, c.m IS NOT NULL AS cyclic,
+       '{"content":' || CAST(to_json(d.text) AS VARCHAR) || CASE
+         WHEN d.role = 'user' THEN ',"role":"user","tool_calls":[{"arguments":' || l.arguments || ',"id":"' || l.id || '","name":"' || l.name || '","result_turn":' || coalesce(CAST(l.result_turn AS VARCHAR), 'null')
+              || ',"valid":' || CASE WHEN l.valid THEN 'true' ELSE 'false' END || '}]}'
+         WHEN d.role = 'assistant' THEN ',"linked":' || CASE WHEN EXISTS (SELECT 1 FROM linked q WHERE q.conv_id = d.conv_id AND q.id = 'c' || (d.turn - 1)) THEN 'true' ELSE 'false' END
+              || ',"role":"assistant","tool_call_id":"c' || (d.turn - 1) || '"}'
+         ELSE ',"role":' || coalesce(CAST(to_json(d.role) AS VARCHAR), 'null') || '}' END AS json
+FROM d LEFT JOIN linked l ON l.conv_id = d.conv_id AND l.turn = d.turn LEFT JOIN cyclic c ON c.conv_id = d.conv_id AND c.m = d.turn
+JOIN places x ON x.conv_id = d.conv_id AND x.turn = d.turn
 """

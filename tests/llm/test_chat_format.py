@@ -71,3 +71,30 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string")
     plan = C.format_chats(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_query_against_its_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(7)
+    rows = []
+    for conv in range(60):
+        turn = 0
+        for k in range(rng.randrange(2, 9)):
+            role = ("system" if k == 0 and rng.random() < 0.3 else "user" if (k + conv) % 2 else "assistant") if rng.random() < 0.9 else "user"
+            rows.append((conv, turn, role, "".join(rng.choice('ab cé"\\\n.') for _ in range(rng.randrange(1, 40)))))
+            turn += 1
+    rows.append((99, 0, "user", None))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    found = C.op6_chat_formatting(spark, str(tmp_path))
+    want = db.execute(C.OP6_SQL)
+    names = [d[0] for d in want.description]
+    got = found.select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) == len(rows)
+    # the rows do reach linking, ordering and validation
+    assert any(r.cyclic for r in got) and any(r.depth > 0 and r.place > r.turn for r in got) and any(not r.cyclic for r in got)
+    assert {(r.n_calls, r.n_linked, r.n_valid) for r in got} >= {(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1)}
