@@ -25,8 +25,8 @@ def brute(rows):
 
 
 def test_against_brute_force(spark):
-    df = spark.createDataFrame([(*r, "junk", 1) for r in AWKWARD], "doc_id long, text string, digest string, winner int")
-    got = sorted(map(tuple, X.dedup_table(df).collect()), key=repr)
+    df = spark.createDataFrame([(*r, "junk", 1) for r in AWKWARD], "doc_id long, text string, digest string, row int")
+    got = sorted(map(tuple, X.dedup_table(df).drop("row", "keep_row").collect()), key=repr)
     assert got == brute(AWKWARD)
 
 
@@ -39,10 +39,10 @@ def test_perfect_hash_is_minimal_and_rejects_strangers(n):
     rng = np.random.default_rng(n)
     keys = np.unique(rng.integers(0, 256, (n, 32), dtype=np.uint8), axis=0)
     ids = np.arange(len(keys), dtype=np.int64)
-    b = X.Bucket(X.build_bucket(keys, ids, ids + 1))
+    b = X.Bucket(X.build_bucket(keys, ids, ids + 2, ids + 1))
     slot = b.find(keys)
     assert sorted(slot) == list(range(len(keys)))
-    assert (b.winners[slot] == ids).all() and (b.counts[slot] == ids + 1).all()
+    assert (b.winners[slot] == ids).all() and (b.counts[slot] == ids + 1).all() and (b.rows[slot] == ids + 2).all()
     assert (b.find(rng.integers(0, 256, (1000, 32), dtype=np.uint8)) == -1).all()
 
 
@@ -51,3 +51,55 @@ def test_history_wins_over_a_larger_id_in_the_batch(spark):
     new = X.digests(spark.createDataFrame([(7, "A"), (8, "c"), (9, "C")], "doc_id long, text string"))
     got = {(r.doc_id, r.keep_id, r.group_size) for r in X.exact_dedup(new, old).collect()}
     assert got == {(1, 1, 2), (7, 1, 2), (8, 9, 2), (9, 9, 2), (2, 2, 1)}
+
+
+def test_one_row_of_each_text_is_the_kept_one(spark):
+    df = spark.createDataFrame(AWKWARD, "doc_id long, text string")
+    rows = X.dedup_table(df).collect()
+    assert len({r.row for r in rows}) == len(rows)
+    kept = [r for r in rows if r.row == r.keep_row]
+    assert len(kept) == len({r.text_sha256 for r in rows}) and all(r.kept for r in kept)
+
+
+def test_history_without_a_number_takes_the_batch_s(spark):
+    old = X.digests(spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string"))
+    new = X.digests(spark.createDataFrame([(7, "A"), (8, "a")], "doc_id long, text string"))
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in X.exact_dedup(new, old).collect()} == {(None, 8, 4), (7, 8, 4), (8, 8, 4)}
+
+
+def test_the_result_comes_from_the_look_up(spark, monkeypatch):
+    rows = [(i, f"text {i % 40}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, X.dedup_table(df).drop("row", "keep_row").collect()), key=repr) == brute(rows)
+
+    def without_index(asked, index):
+        return X._look_up(asked, index.slice(0, 0))
+
+    def wrong_slot(asked, index):  # as if the perfect hash answered with the next slot
+        find = X.Bucket.find
+        X.Bucket.find = lambda self, keys: np.where(find(self, keys) >= 0, (find(self, keys) + 1) % self.n, -1)
+        try:
+            return X._look_up(asked, index)
+        finally:
+            X.Bucket.find = find
+
+    def nobody(asked, index):
+        find = X.Bucket.find
+        X.Bucket.find = lambda self, keys: np.full(len(keys), -1, np.int64)
+        try:
+            return X._look_up(asked, index)
+        finally:
+            X.Bucket.find = find
+
+    for broken in (without_index, wrong_slot, nobody):
+        made = {"X": X, "np": np}
+        with monkeypatch.context() as m:
+            m.setattr(X, "_look_up", _by_value(broken, made))
+            assert sorted(map(tuple, X.dedup_table(df).drop("row", "keep_row").collect()), key=repr) != brute(rows)
+
+
+def _by_value(function, names):
+    """The function as one that workers get with its code, not by its name in a test module they can't import."""
+    import types
+
+    return types.FunctionType(function.__code__, {**names, "__name__": "__main__"}, function.__name__, function.__defaults__, function.__closure__)
