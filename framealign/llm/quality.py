@@ -2,7 +2,7 @@
 
 Word vectors. Words (split at white space, lower-cased, without punctuation around them) are hashed to BUCKETS places.
 Each place has a sparse ternary index vector, drawn once from a fixed seed. Over all documents, the context vector of a
-word adds up the index vectors of its neighbours (two to either side) and of the shapes of its neighbours; sums are whole
+word adds up the index vectors of its neighbours (two to either side) and of the shapes of the two to its right; sums are whole
 numbers, so they don't depend on how rows are dealt out. Tasks add up their own matrix, and Spark adds those up by place.
 The matrix has a fixed size (BUCKETS x DIMS), so it can be collected and broadcast whatever the input.
 
@@ -10,8 +10,8 @@ Document vectors. The mean of the unit context vectors of its words, weighted do
 mean of the index vectors of its shape tokens (case, punctuation and digits of each word, and a token for a word that
 repeats the one before); the logarithm of its length.
 
-Network. Two layers in numpy, trained on at most `most_rows` labelled documents, of those that aren't held out, least
-hash first. A part of these is set aside: it picks the number of epochs, and the temperature that divides the last layer's output. A
+Network. Two layers in numpy, trained on at most `most_rows` pairs of document and label, of those that aren't held out,
+least hash first. A part of these is set aside: it picks the number of epochs, and the temperature that divides the last layer's output. A
 score is the calibrated probability of label 1; doc_id, lang, source and labels are no inputs.
 
 Cases: null counts as empty; an empty text has a zero vector and gets a score. Labels that are null are left out, a
@@ -34,7 +34,7 @@ from . import common
 DIMS = 32
 NONZERO = 4
 BUCKETS = 1 << 14
-SHAPES = 64
+SHAPES = 65
 REPEAT = SHAPES - 1
 REACH = 2
 #: Bound of the sample of labelled rows that the network is trained on.
@@ -66,7 +66,7 @@ def shape_of(word: bytes) -> int:
     tail = word[len(word.rstrip(_PUNCT)) :]
     end = 0 if not tail else 1 if tail in (b".", b",", b";", b":", b"?", b"!") else 2 if len(tail) > 1 and len(set(tail)) == 1 else 3
     symbol = (tail[-1] % 3 if end > 1 and tail else 0) if end != 1 else 0
-    return ((case * 4 + end) * 2 + any(48 <= c <= 57 for c in word)) % 31 + 31 * (symbol > 0)
+    return ((case * 4 + end) * 2 + any(48 <= c <= 57 for c in word)) + 32 * (symbol > 0)
 
 
 class Words(dict):
@@ -247,9 +247,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     vectors = word_vectors(read)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality is not null").filter(~held_out())
     there = known.join(read.select("doc_id").distinct(), "doc_id", "left_semi")
-    sample = there.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most_rows)
-    # at most most_rows rows of two numbers, so the broadcast has a fixed bound
-    rows = read.join(F.broadcast(sample), "doc_id").mapInArrow(_sampled(spark.sparkContext.broadcast(vectors)), "doc_id long, quality int, vector binary").collect()
+    order = F.xxhash64("doc_id"), "doc_id", "quality"
+    sample = there.orderBy(*order).limit(most_rows)
+    # at most most_rows rows of two numbers, so the broadcast has a fixed bound; a doc_id may be there many times, so the limit holds for what comes back too
+    found = read.join(F.broadcast(sample), "doc_id").mapInArrow(_sampled(spark.sparkContext.broadcast(vectors)), "doc_id long, quality int, vector binary")
+    rows = found.orderBy(*order, "vector").limit(most_rows).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.vector)))
     x = np.array([np.frombuffer(r.vector, np.float32) for r in rows], np.float64).reshape(-1, FEATURES)
     network = Network(x, np.array([float(r.quality > 0) for r in rows])) if rows else Network(np.zeros((1, FEATURES)), np.array([0.5]))

@@ -61,3 +61,29 @@ def test_no_labels_and_empty_tables(spark):
 def test_word_vectors_do_not_depend_on_partitions(spark):
     docs, _ = frames(spark, corpus(60)[0], [(1, 1)])
     assert (Q.word_vectors(docs.repartition(1)) == Q.word_vectors(docs.repartition(4))).all()
+
+
+def test_repeated_doc_ids_ties_and_a_bound(spark):
+    rows, labels = corpus(120)
+    docs, known = frames(spark, rows + rows[:50] + [(0, "alpha beta")] * 30, labels + [(i, 1 - y) for i, y in labels[:20]] + labels[:5])
+    for most in (40, 10_000):
+        got = Q.score_documents(docs, Q.fit(docs, known, most)).collect()
+        assert len(got) == len(rows) + 80 and all(0 <= r.score <= 1 for r in got)
+    again = Q.score_documents(docs.repartition(5), Q.fit(docs.repartition(5), known, most)).collect()
+    one, two = (np.array(sorted((r.doc_id, r.score) for r in x)) for x in (got, again))
+    assert np.allclose(one, two, rtol=0, atol=1e-9)
+
+
+def test_scores_are_calibrated_probabilities():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 4))
+    y = (rng.random(6000) < 1 / (1 + np.exp(-1.5 * x[:, 0]))).astype(float)
+    p = Q.Network(x[:3000], y[:3000]).score(x[3000:])
+    for low in (0.1, 0.3, 0.5, 0.7):
+        some = (p >= low) & (p < low + 0.2)
+        assert abs(y[3000:][some].mean() - p[some].mean()) < 0.1
+
+
+def test_shapes_differ():
+    words = [b"word", b"Word", b"WORD", b"word.", b"word!!", b"word##", b"w0rd", b"&&", b"Word0,"]
+    assert len({Q.shape_of(w) for w in words}) == len(words) and max(map(Q.shape_of, words)) < Q.REPEAT
