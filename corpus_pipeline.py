@@ -4,7 +4,8 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir) and return
 written as Parquet and read again as the next one's docs, so a stage works on all that the one before kept, and a lost
 executor costs no more than a stage's tasks. All but the last return the columns of `documents`.
 
-Rows with a null doc_id can't be labelled or linked by id; they pass the filters like rows of their own.
+Filters decide by row, not by doc_id: rows that share a doc_id, or have none, are documents of their own. A row's number is
+its place in the stage's input, which both sides of a stage's join read from the same files.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framealign.llm import common, decontaminate, exact_dedup, huffman, jaccard, packing, quality
+from framealign.llm import common, decontaminate, exact_dedup, huffman, packing, quality, simhash
 
 #: A document goes if the probability of label 1 is below this: it is likelier junk than not.
 LEAST_SCORE = 0.5
 
 
-def _only(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in kept_ids (doc_id, all different) or null."""
-    return docs.join(kept_ids, docs["doc_id"].eqNullSafe(kept_ids["kept_id"]), "left_semi")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that numbers the rows, and its name, which no other column has."""
+    name = "_row"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +32,20 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup.dedup_table(docs).filter("kept").select(F.col("doc_id").alias("kept_id")))
+    """Of equal texts the row with the largest doc_id stays, the last of several with it."""
+    rows, name = _numbered(docs)
+    kept = exact_dedup.dedup_table(rows, name).filter("row = keep_row").select(F.col("row").alias("kept_row"))
+    return rows.join(kept, rows[name] == kept["kept_row"], "left_semi").drop(name)
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component stays; links are similarities of 0.8 over five-word shingles."""
-    gone = jaccard.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """The row with the least doc_id of each component stays (rows without one come last); links are similarities of 0.8 over five-word shingles."""
+    rows, name = _numbered(docs)
+    found = simhash.similar_documents(rows, name)
+    named = rows.select(F.col(name).alias("row"), F.col("doc_id").alias("id")).join(found, "row")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("component", F.col("first.row").alias("kept"))
+    gone = named.join(first, "component").filter("row <> kept").select(F.col("row").alias("gone_row"))
+    return rows.join(gone, rows[name] == gone["gone_row"], "left_anti").drop(name)
 
 
 def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,11 +179,19 @@ def _edges(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return common.cut(pairs.join(one, "u").join(other, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, _PAIR).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, component_id of the documents that have a near-duplicate."""
+def _apart_by(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose two documents aren't in one component yet."""
+    one = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
+    other = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
+    return pairs.join(one, "u", "left").join(other, "v", "left").filter("not (root_u <=> root_v) or root_u is null").select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFrame:
+    """doc_id, component_id of the documents that have a near-duplicate; close: pairs (u, v) of ids that are looked at first."""
     spark = docs.sparkSession
     common.ship(spark)
     read = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = _edges(close, read) if close is not None else None
     sample = read.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled, "key long")
     counted = common.cut(sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     rows = SAMPLE * (counted.agg(F.sum("n")).first()[0] or 0) * (LEAST[1] - LEAST[0]) // LEAST[1]
@@ -195,7 +203,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     filed = read.mapInArrow(_prefixes(frequent[order], rank[order]), "key long, doc_id long, size int, place int").repartition(parts, "key")
     met = common.cut(filed.mapInArrow(_meet, f"{_PAIR}, {_GROUP}"))
-    edges = _edges(met.filter("u is not null").select("u", "v"), read)
+    pairs = met.filter("u is not null").select("u", "v")
+    if known is None:
+        edges = _edges(pairs, read)
+    else:
+        edges = common.cut(known.unionByName(_edges(_apart_by(pairs, components(known)), read)))
     roots = components(edges)
     crowded = met.filter("ids is not null").select("ids", "sizes", "places").distinct().withColumn("at", F.monotonically_increasing_id())
     crowded = common.cut(crowded.select("at", F.explode(F.arrays_zip("ids", "sizes", "places")).alias("m")).select("at", F.col("m.ids").alias("doc_id"), F.col("m.sizes").alias("size"), F.col("m.places").alias("place")))

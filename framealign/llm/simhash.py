@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, jaccard
 from .components import components
 
 MAX_BITS = 3
@@ -35,15 +35,15 @@ SHINGLE = 3
 SEED = 42
 
 
-def fingerprint(text: bytes) -> int:
-    """Signed 64-bit fingerprint of a UTF-8 text."""
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """Signed 64-bit fingerprint of a UTF-8 text, over shingles of `size` words."""
     words = text.translate(common.LOWER_AZ).split()
     if not words:
         return 0
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         shingles: list = [b" ".join(words)]
     else:
-        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)))
+        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
     n = len(shingles)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
     ones = np.zeros(64, np.int64)
@@ -52,18 +52,21 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data, offs = common.raw_text(b.column("text"))
-        out = [fingerprint(data[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "fp"])
+def _fingerprints(size: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = common.raw_text(b.column("text"))
+            out = [fingerprint(data[s:e], size) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "fp"])
 
+    return run
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
     common.ship(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return read.mapInArrow(_fingerprints(size), "doc_id long, fp long")
 
 
 def _filed(classes: DataFrame) -> DataFrame:
@@ -79,8 +82,11 @@ def _filed(classes: DataFrame) -> DataFrame:
     return asked.select(key.alias("key"), "fp", "id", (F.col("at") == F.col("value")).alias("own"))
 
 
-def _stars(fps: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges (member, least id of its component) among the rows of one key; each row is compared once it is reached."""
+def _stars(fps: np.ndarray, ids: np.ndarray, direct: bool) -> tuple[list[int], list[int]]:
+    """Edges among the rows of one key, each of which is compared once it is reached.
+
+    direct: an edge joins two rows that are near each other; else a member and the least id of its component.
+    """
     fps, first = np.unique(fps, return_index=True)
     ids = ids[first]
     u: list[int] = []
@@ -89,13 +95,17 @@ def _stars(fps: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
     while len(rest):
         reached, queue, rest = [int(rest[0])], [int(rest[0])], rest[1:]
         while queue and len(rest):
-            near = np.bitwise_count(fps[rest] ^ fps[queue.pop()]) <= MAX_BITS
+            at = queue.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[at]) <= MAX_BITS
             if near.any():
                 new = rest[near].tolist()
                 reached += new
                 queue += new
                 rest = rest[~near]
-        if len(reached) > 1:
+                if direct:
+                    u += ids[new].tolist()
+                    v += [int(ids[at])] * len(new)
+        if len(reached) > 1 and not direct:
             members = ids[reached]
             least = members.min()
             u += members[members != least].tolist()
@@ -103,10 +113,7 @@ def _stars(fps: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
     return u, v
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a key may go on in the next batch."""
-    held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)]
-
+def _links(direct: bool):  # noqa: ANN202
     def edges(key: np.ndarray, fp: np.ndarray, doc: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         u: list[int] = []
         v: list[int] = []
@@ -114,40 +121,69 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.diff(np.r_[starts, len(key)])
         filed = np.add.reduceat(own.astype(np.int64), starts)
         for s, c in zip(starts[(counts > 1) & (filed > 0)].tolist(), counts[(counts > 1) & (filed > 0)].tolist(), strict=True):
-            a, b = _stars(fp[s : s + c], doc[s : s + c])
+            a, b = _stars(fp[s : s + c], doc[s : s + c], direct)
             u += a
             v += b
         if u:
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    for b in batches:
-        if not b.num_rows:
-            continue
-        new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)]
-        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        if last:
-            yield from edges(*(x[:last] for x in held))
-            held = [x[last:] for x in held]
-    if len(held[0]):
-        yield from edges(*held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; a key may go on in the next batch."""
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield from edges(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        if len(held[0]):
+            yield from edges(*held)
+
+    return run
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """fp, id (the least), n of the rows (doc_id, fp) with equal fingerprints."""
+    return common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+
+
+def _near(classes: DataFrame, direct: bool) -> DataFrame:
+    """u, v: ids of classes that multi-index hashing finds at MAX_BITS or fewer differing bits (see `_stars`)."""
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * 34 // 4_000_000))
+    filed = _filed(classes.filter("id is not null")).repartition(parts, "key").sortWithinPartitions("key")
+    return filed.mapInArrow(_links(direct), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     rows = common.cut(fingerprints(docs))
-    classes = common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
-    spark = docs.sparkSession
-    found = classes.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found * 34 // 4_000_000))
-    filed = _filed(classes.filter("id is not null")).repartition(parts, "key").sortWithinPartitions("key")
-    roots = components(filed.mapInArrow(_links, "u long, v long"))
+    classes = _classes(rows)
+    roots = components(_near(classes, False))
     linked = classes.join(roots, classes["id"] == roots["node"], "left")
     joined = linked.filter("n > 1 or root is not null").select("fp", F.coalesce("root", "id").alias("component"))
     out = rows.join(joined, "fp", "left")
     return out.select("doc_id", "fp", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def similar_documents(docs: DataFrame, row: str) -> DataFrame:
+    """row, component of the documents with a near-duplicate: a similarity of 0.8 or more over sets of five-word shingles.
+
+    row: the column that numbers the rows; component: the least row of those reachable. Fingerprints over five-word
+    shingles and multi-index hashing find the close pairs, whose whole texts are then compared. A similarity of 0.8 may
+    stand at twenty bits and more, which no ball of a size that can be enumerated reaches, so `jaccard` finds the pairs
+    that this leaves open, exactly.
+    """
+    read = docs.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.cut(fingerprints(read, jaccard.SHINGLE))
+    classes = _classes(rows)
+    equal = rows.join(classes.filter("n > 1"), "fp").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
+    found = jaccard.near_duplicates(read, _near(classes, True).unionByName(equal))
+    return found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ from framealign.llm import quality
 
 from test_decontaminate import brute as leaks
 from test_exact_dedup import brute as copies
-from test_simhash import brute as near
+from test_jaccard import brute as near
 
 
 @pytest.fixture
@@ -58,7 +58,7 @@ def test_stages_against_brute_force(spark, tables):
         elif k == 1:
             want = [r[0] for r in copies(rows) if r[3]]
         elif k == 2:
-            want = [r[0] for r in near(rows) if r[0] == r[2]]
+            want = [d for d, c in near(rows).items() if d == c]
         else:
             want = [r[0] for r in leaks(rows, items) if not r[2]]
         assert got == sorted(want) and len(got) < len(rows)
@@ -67,3 +67,40 @@ def test_stages_against_brute_force(spark, tables):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in kept.collect()}
     whole = P.run(spark, folder).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in pieces)
+
+
+def test_stages_decide_by_row(spark):
+    docs = spark.createDataFrame(
+        [(7, "twice", 1), (7, "twice", 1), (5, "copy", 2), (5, "another one", 2), (9, "copy", 3), (None, "copy", 4), (None, "alone", 5), (None, "Alone", 5), (None, None, 6), (8, "", 7)],
+        "doc_id long, text string, _row int",
+    )
+    kept = P.exact_dedup_filter(spark, docs, "")
+    assert kept.columns == docs.columns
+    texts = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr)
+    assert texts == sorted([(7, "twice"), (5, "another one"), (9, "copy"), (None, "alone"), (8, "")], key=repr)
+    words = " ".join(f"w{i}" for i in range(100))
+    docs = spark.createDataFrame([(3, words, 1), (3, words + " x", 2), (None, "y " + words, 3), (None, "other text", 4), (3, "third", 5)], "doc_id long, text string, _row int")
+    assert sorted(r._row for r in P.near_dedup_filter(spark, docs, "").collect()) == [1, 4, 5]
+
+
+def test_empty_tables_go_through_every_stage(spark, tmp_path):
+    for name, columns in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_extra_columns_and_odd_rows_go_through_every_stage(spark, tables):
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    from pyspark.sql import functions as F
+
+    odd = docs.limit(60).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, 7).otherwise(F.col("doc_id")))
+    for extra in ("row", "digest", "fp", "u", "key", "kept_row", "score", "ids"):
+        odd = odd.withColumn(extra, F.lit("x"))
+    rows = odd.collect()
+    for _, stage in P.STAGES[:-1]:
+        docs = spark.createDataFrame(rows, odd.schema)
+        out = stage(spark, docs, folder)
+        assert out.schema.names == odd.schema.names
+        rows = out.collect()
+    assert rows and P.STAGES[-1][1](spark, spark.createDataFrame(rows, odd.schema), folder).count() >= len(rows)

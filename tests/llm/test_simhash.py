@@ -62,8 +62,10 @@ def test_against_brute_force(spark):
 
 def test_chain_of_links_is_one_component(spark):
     fps = [0, 0b111, 0b111111, 0b111111111, 0xFFFFFF << 40]
-    u, v = S._stars(np.array(fps, np.uint64), np.array([50, 40, 30, 20, 10]))
+    u, v = S._stars(np.array(fps, np.uint64), np.array([50, 40, 30, 20, 10]), False)
     assert sorted(zip(u, v)) == [(30, 20), (40, 20), (50, 20)]
+    u, v = S._stars(np.array(fps, np.uint64), np.array([50, 40, 30, 20, 10]), True)
+    assert sorted(tuple(sorted(e)) for e in zip(u, v)) == [(20, 30), (30, 40), (40, 50)]
 
 
 def test_every_pair_within_three_bits_is_found(spark):
@@ -81,7 +83,7 @@ def test_every_pair_within_three_bits_is_found(spark):
 
     classes = spark.createDataFrame(signed, "id long, fp long")
     filed = S._filed(classes).repartition(3, "key").sortWithinPartitions("key")
-    got = {r.node: r.root for r in components(filed.mapInArrow(S._links, "u long, v long")).collect()}
+    got = {r.node: r.root for r in components(filed.mapInArrow(S._links(False), "u long, v long")).collect()}
     assert all(got[i] == i - i % 2 for i, _ in rows)
 
 
