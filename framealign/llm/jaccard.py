@@ -7,8 +7,9 @@ Search. All documents order their shingles alike, rare ones first. Two sets of n
 share one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1 in that order, so a document is filed under just these
 (prefix filter), and no pair is missed. Which shingles are frequent comes from a sample; it changes the order, so the
 work, and never the result. Lengths and the place of the first shared shingle rule out most pairs, the others are
-compared on their whole texts. Of a key with many documents first only neighbours by length and the pairs with the
-least id are compared; then the pairs that aren't in one component yet.
+compared on their whole texts: first one pair of each document with each component that it may join, then those that are
+still in different ones. Of a key with many documents only neighbours by length and the pairs with the least id are taken
+at first; then the pairs that aren't in one component yet.
 
 Cases: rows with a null doc_id are left out. Rows of one doc_id are one document. Columns other than doc_id and text
 are not read.
@@ -134,13 +135,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(doc[a[good]], doc[b[good]])
     for g in groups:
         kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array([x], k) for x, k in zip(g, kinds, strict=True))], names=["u", "v", "ids", "sizes", "places"])
+        yield pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(3)), *(pa.array([x], k) for x, k in zip(g, kinds, strict=True))], names=["u", "v", "n", "ids", "sizes", "places"])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    found = np.unique(np.c_[np.maximum(a, b), np.minimum(a, b)], axis=0)
+    """Different pairs, larger id first, and how many keys have each."""
+    found, n = np.unique(np.c_[np.maximum(a, b), np.minimum(a, b)], axis=0, return_counts=True)
     none = [pa.nulls(len(found), pa.list_(t)) for t in (pa.int64(), pa.int32(), pa.int32())]
-    return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1]), *none], names=["u", "v", "ids", "sizes", "places"])
+    return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(n, pa.int64()), *none], names=["u", "v", "n", "ids", "sizes", "places"])
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +181,19 @@ def _edges(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return common.cut(pairs.join(one, "u").join(other, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, _PAIR).distinct())
 
 
-def _apart_by(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose two documents aren't in one component yet."""
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v, n) whose two documents aren't in one component yet, with root_u and root_v."""
     one = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
     other = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
-    return pairs.join(one, "u", "left").join(other, "v", "left").filter("not (root_u <=> root_v) or root_u is null").select("u", "v")
+    named = pairs.join(one, "u", "left").join(other, "v", "left")
+    return named.select("u", "v", "n", F.coalesce("root_u", "u").alias("root_u"), F.coalesce("root_v", "v").alias("root_v")).filter("root_u <> root_v")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """u, v: of the pairs of each document with each component, the one that shares most keys."""
+    forward = pairs.groupBy("u", "root_v").agg(F.max(F.struct("n", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+    backward = pairs.groupBy("v", "root_u").agg(F.max(F.struct("n", "u")).alias("x")).select(F.col("x.u").alias("u"), "v")
+    return forward.unionByName(backward)
 
 
 def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFrame:
@@ -202,12 +212,17 @@ def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFram
     rank[np.lexsort((frequent, n))] = np.arange(1, len(n) + 1)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     filed = read.mapInArrow(_prefixes(frequent[order], rank[order]), "key long, doc_id long, size int, place int").repartition(parts, "key")
-    met = common.cut(filed.mapInArrow(_meet, f"{_PAIR}, {_GROUP}"))
-    pairs = met.filter("u is not null").select("u", "v")
-    if known is None:
-        edges = _edges(pairs, read)
-    else:
-        edges = common.cut(known.unionByName(_edges(_apart_by(pairs, components(known)), read)))
+    met = common.cut(filed.mapInArrow(_meet, f"{_PAIR}, n long, {_GROUP}"))
+    # Pairs of a large group are many. Those that the close ones have linked are left out; of the others, each document is
+    # compared first with one of each component that it may belong to, and then with all that aren't linked by now.
+    pairs = common.cut(met.filter("u is not null").groupBy("u", "v").agg(F.sum("n").alias("n")))
+    open_ = _across(pairs, components(known)) if known is not None else _across(pairs, pairs.limit(0).select(F.col("u").alias("node"), F.col("v").alias("root")))
+    open_ = common.cut(open_)
+    edges = _edges(_likeliest(open_), read)
+    if known is not None:
+        edges = common.cut(known.unionByName(edges))
+    rest = _across(open_.select("u", "v", "n"), components(edges)).select("u", "v")
+    edges = common.cut(edges.unionByName(_edges(rest, read)))
     roots = components(edges)
     crowded = met.filter("ids is not null").select("ids", "sizes", "places").distinct().withColumn("at", F.monotonically_increasing_id())
     crowded = common.cut(crowded.select("at", F.explode(F.arrays_zip("ids", "sizes", "places")).alias("m")).select("at", F.col("m.ids").alias("doc_id"), F.col("m.sizes").alias("size"), F.col("m.places").alias("place")))

@@ -82,11 +82,8 @@ def _filed(classes: DataFrame) -> DataFrame:
     return asked.select(key.alias("key"), "fp", "id", (F.col("at") == F.col("value")).alias("own"))
 
 
-def _stars(fps: np.ndarray, ids: np.ndarray, direct: bool) -> tuple[list[int], list[int]]:
-    """Edges among the rows of one key, each of which is compared once it is reached.
-
-    direct: an edge joins two rows that are near each other; else a member and the least id of its component.
-    """
+def _stars(fps: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges (member, least id of its component) among the rows of one key; each row is compared once it is reached."""
     fps, first = np.unique(fps, return_index=True)
     ids = ids[first]
     u: list[int] = []
@@ -95,17 +92,13 @@ def _stars(fps: np.ndarray, ids: np.ndarray, direct: bool) -> tuple[list[int], l
     while len(rest):
         reached, queue, rest = [int(rest[0])], [int(rest[0])], rest[1:]
         while queue and len(rest):
-            at = queue.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[at]) <= MAX_BITS
+            near = np.bitwise_count(fps[rest] ^ fps[queue.pop()]) <= MAX_BITS
             if near.any():
                 new = rest[near].tolist()
                 reached += new
                 queue += new
                 rest = rest[~near]
-                if direct:
-                    u += ids[new].tolist()
-                    v += [int(ids[at])] * len(new)
-        if len(reached) > 1 and not direct:
+        if len(reached) > 1:
             members = ids[reached]
             least = members.min()
             u += members[members != least].tolist()
@@ -113,7 +106,10 @@ def _stars(fps: np.ndarray, ids: np.ndarray, direct: bool) -> tuple[list[int], l
     return u, v
 
 
-def _links(direct: bool):  # noqa: ANN202
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key; a key may go on in the next batch."""
+    held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)]
+
     def edges(key: np.ndarray, fp: np.ndarray, doc: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         u: list[int] = []
         v: list[int] = []
@@ -121,28 +117,23 @@ def _links(direct: bool):  # noqa: ANN202
         counts = np.diff(np.r_[starts, len(key)])
         filed = np.add.reduceat(own.astype(np.int64), starts)
         for s, c in zip(starts[(counts > 1) & (filed > 0)].tolist(), counts[(counts > 1) & (filed > 0)].tolist(), strict=True):
-            a, b = _stars(fp[s : s + c], doc[s : s + c], direct)
+            a, b = _stars(fp[s : s + c], doc[s : s + c])
             u += a
             v += b
         if u:
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; a key may go on in the next batch."""
-        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)]
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                yield from edges(*(x[:last] for x in held))
-                held = [x[last:] for x in held]
-        if len(held[0]):
-            yield from edges(*held)
-
-    return run
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if last:
+            yield from edges(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+    if len(held[0]):
+        yield from edges(*held)
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -150,18 +141,18 @@ def _classes(rows: DataFrame) -> DataFrame:
     return common.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
 
 
-def _near(classes: DataFrame, direct: bool) -> DataFrame:
-    """u, v: ids of classes that multi-index hashing finds at MAX_BITS or fewer differing bits (see `_stars`)."""
+def _near(classes: DataFrame) -> DataFrame:
+    """u, v: stars of classes that multi-index hashing finds at MAX_BITS or fewer differing bits."""
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * 34 // 4_000_000))
     filed = _filed(classes.filter("id is not null")).repartition(parts, "key").sortWithinPartitions("key")
-    return filed.mapInArrow(_links(direct), "u long, v long")
+    return filed.mapInArrow(_links, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     rows = common.cut(fingerprints(docs))
     classes = _classes(rows)
-    roots = components(_near(classes, False))
+    roots = components(_near(classes))
     linked = classes.join(roots, classes["id"] == roots["node"], "left")
     joined = linked.filter("n > 1 or root is not null").select("fp", F.coalesce("root", "id").alias("component"))
     out = rows.join(joined, "fp", "left")
@@ -172,15 +163,18 @@ def similar_documents(docs: DataFrame, row: str) -> DataFrame:
     """row, component of the documents with a near-duplicate: a similarity of 0.8 or more over sets of five-word shingles.
 
     row: the column that numbers the rows; component: the least row of those reachable. Fingerprints over five-word
-    shingles and multi-index hashing find the close pairs, whose whole texts are then compared. A similarity of 0.8 may
+    shingles and multi-index hashing find close ones, whose whole texts are then compared. A similarity of 0.8 may
     stand at twenty bits and more, which no ball of a size that can be enumerated reaches, so `jaccard` finds the pairs
     that this leaves open, exactly.
     """
     read = docs.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = common.cut(fingerprints(read, jaccard.SHINGLE))
     classes = _classes(rows)
-    equal = rows.join(classes.filter("n > 1"), "fp").filter("doc_id <> id").select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    found = jaccard.near_duplicates(read, _near(classes, True).unionByName(equal))
+    roots = components(_near(classes))
+    linked = classes.join(roots, classes["id"] == roots["node"], "left").filter("n > 1 or root is not null")
+    # one pair per document at most: itself and the first of those that the fingerprints link it to
+    close = rows.join(linked.select("fp", F.coalesce("root", "id").alias("v")), "fp").filter("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+    found = jaccard.near_duplicates(read, close)
     return found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
 
 
