@@ -101,6 +101,18 @@ def sanity_checks() -> Column:
     return F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("name"), F.when(ok, "PASS").otherwise("FAIL").alias("status")) for k, (name, ok) in enumerate(zip(CHECKS, tests, strict=True))])
 
 
+def contract(rows, file_size: str = "length"):  # noqa: ANN001, ANN201
+    """rows with the summary of their raster contract: dimensions, payload, size status, reader, resolved and what is lacking."""
+    c = F.col
+    missing = lacking(c("lines"), c("samples"), c("dtype"), c("image_offset"))
+    resolved = F.size(missing) == 0
+    size = F.when(c(file_size).isNotNull(), size_status(c(file_size), c("lines"), c("samples"), c("sample_bits"), c("image_offset"), c("record_bytes"))).otherwise("UNKNOWN")
+    return rows.withColumns({
+        "dimensions": F.when((c("lines") > 0) & (c("samples") > 0), F.concat_ws(" x ", c("lines").cast("string"), c("samples").cast("string"))), "expected_payload_bytes": payload(c("lines"), c("samples"), c("sample_bits")),
+        "size_status": size, "pointer_unit": F.coalesce(c("image_pointer_unit"), F.when(c("image_pointer").isNotNull(), "RECORDS")), "reader": F.when(resolved, "raw_raster"), "resolved": resolved, "missing": F.when(resolved, F.array().cast("array<string>")).otherwise(missing),
+    })
+
+
 def readiness(kind: Column, size: Column, missing: Column, reads_ok: Column) -> Column:
     """PENDING_METADATA, READY, PARTIAL, MISMATCH, FAILED or UNSUPPORTED."""
     binary = kind.isin("LRO_PDS3_BINARY", "CHANDRAYAAN_PDS4_BINARY", "SCIENTIFIC_BINARY")

@@ -64,6 +64,54 @@ def status_display(status: Column) -> Column:
     )
 
 
+#: Label and detail of each state of a metadata record, footprint or pair.
+STATES = {
+    "NOT_PROVIDED": ("Not provided", "There is no metadata yet."), "PARSED_FROM_PRODUCT": ("From the product", "Read from the product's own label."), "UPLOADED_LABEL": ("From a label", "Read from a separate label file."),
+    "CATALOG_METADATA": ("From the catalog", "Taken from a catalog record."), "MANUALLY_ENTERED": ("Entered by hand", "Typed in."), "INCOMPLETE": ("Incomplete", "Required fields are missing."), "DEMO": ("Demo", "A fixture, not a product."),
+    "INVALID": ("Invalid", "The metadata can't be read."), "AVAILABLE": ("Available", "All four corners are known."), "UNAVAILABLE": ("Unavailable", "Corners are missing."), "PENDING": ("Pending", "Metadata is needed first."),
+    "VALID": ("Valid", "The footprints overlap."), "REJECTED": ("Rejected", "The footprints don't overlap."), "INSUFFICIENT_OVERLAP": ("Too little overlap", "The overlap is below the minimum."),
+}
+
+
+def status_record(status: Column) -> Column:
+    """struct<status, label, detail, display> of a state; an unknown one is its own label."""
+    label, detail = (F.create_map(*[F.lit(x) for k, v in STATES.items() for x in (k, v[n])]) for n in (0, 1))
+    return F.struct(status.alias("status"), F.coalesce(F.try_element_at(label, status), status).alias("label"), F.coalesce(F.try_element_at(detail, status), F.lit("")).alias("detail"), status_display(status).alias("display"))
+
+
+def pair_reason(status: Column, source: Column, reference: Column, percent_smaller: Column, least: Column, area: Column) -> Column:
+    """Why a pair has its state, with the figures that decide it."""
+    lacking = F.concat_ws(" and ", F.when(source != "AVAILABLE", "source footprint"), F.when(reference != "AVAILABLE", "reference footprint"))
+    share = F.coalesce(percent_smaller, F.lit(0.0))
+    return (
+        F.when((status == "PENDING") & (lacking != ""), F.concat(F.lit("waiting for the "), lacking)).when(status == "REJECTED", "the footprints don't overlap; nothing was matched")
+        .when(status == "INSUFFICIENT_OVERLAP", F.format_string("overlap is %.3f%% of the smaller footprint, at least %.3f%% is needed", share, F.coalesce(least, F.lit(0.1))))
+        .when(status == "VALID", F.format_string("overlap is %.3f%% of the smaller footprint, %.6f square degrees", share, F.coalesce(area, F.lit(0.0)))).otherwise("the overlap isn't evaluated yet")
+    )
+
+
+def footprint_text(prefix: str = "") -> Column:
+    """The four corners as one text, a dash for each that is missing."""
+    one = lambda c: F.concat(F.lit(f"{c.upper()}: "), F.coalesce(corner_text(F.col(f"{prefix}{c}_lat"), F.col(f"{prefix}{c}_lon")), F.lit(MISSING)))
+    return F.concat_ws("; ", *[one(c) for c in ("ul", "ur", "ll", "lr")])
+
+
+def validity_text(valid: Column, warned: Column) -> Column:
+    return F.when(~F.coalesce(valid, F.lit(False)), "invalid").when(F.coalesce(warned, F.lit(False)), "valid, optional fields are missing").otherwise("valid")
+
+
+def elevation_text(source: Column, reference: Column) -> Column:
+    """Difference of sun elevations in degrees as a text; it says so if one is missing."""
+    difference = elevation_difference(source, reference)
+    return F.when(difference.isNull(), "sun angles are pending").otherwise(F.format_string("%.2f°", difference))
+
+
+def stage_record(ord_: Column, name: Column, status: Column, method: Column, parameters: Column, metric: Column, seconds: Column, error: Column) -> Column:
+    """A row of a stage trace; parameters and metric are structs or maps and become JSON."""
+    number = F.lpad(ord_.cast("string"), 2, "0")
+    return F.struct(number.alias("stage_id"), name.alias("name"), status.alias("status"), method.alias("processing_method"), F.to_json(parameters).alias("parameters"), F.to_json(metric).alias("result_metric"), F.bround(seconds, 4).alias("processing_time_seconds"), error.alias("error_message"))
+
+
 def elevation_difference(source: Column, reference: Column) -> Column:
     """Difference of sun elevations, null if one is missing."""
     return F.abs(source - reference)

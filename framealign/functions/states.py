@@ -69,3 +69,18 @@ def ready(*conditions: Column) -> Column:
     for c in conditions:
         out = out & F.coalesce(c, F.lit(False))
     return out
+
+
+def scientific_ready(side: str = "{}_{}") -> Column:
+    """The gate of a run over a row with source_ and reference_ columns: file, status, decoding, projection; and id_status, pair_status."""
+    one = lambda who: (
+        F.col(side.format(who, "file")).isNotNull() & ~F.col(side.format(who, "status")).isin("INCOMPLETE", "NOT_PROVIDED")
+        & (F.col(side.format(who, "decoding")) == "READY") & (F.col(side.format(who, "projection")) == "VALID")
+    )
+    return ready(one("source"), one("reference"), F.coalesce(F.col("id_status"), F.lit("")) != "MISMATCH", F.col("pair_status") == "VALID")
+
+
+def image_only_ready() -> Column:
+    """The gate without metadata: both files, and lines for a reference that is a raw binary."""
+    binary = F.col("reference_type").isin("LRO_PDS3_BINARY", "CHANDRAYAAN_PDS4_BINARY", "SCIENTIFIC_BINARY")
+    return ready(F.col("source_file").isNotNull(), F.col("reference_file").isNotNull(), ~F.coalesce(binary, F.lit(False)) | (F.coalesce(F.col("reference_lines"), F.lit(0)) > 0))

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,47 +32,83 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
 
 
-def two_nearest(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """pair_id, q, t1, d1, d2 of each query with at least two targets in its pair; ties go to the lesser id.
+def _met(queries: DataFrame, targets: DataFrame, directions: tuple[int, ...]) -> DataFrame:
+    """pair_id, way, q, t, d: for each block of targets (way 0) or of queries (way 1) the two nearest of its rows to each row of the other side.
 
-    Queries are spread by (pair, block of queries) and meet the targets of their pair in blocks, and only the best two of each
-    block go on, so neither a pair with very many keypoints nor all pairs of rows ever sit in one task.
+    Both sides of a pair are cut into blocks, and each block of queries meets each block of targets once, so neither a pair with
+    very many keypoints nor all pairs of rows ever sit in one task.
     """
     q = queries.select("pair_id", F.col("kp_id").alias("q"), F.col("descriptor").alias("a"))
     t = targets.select("pair_id", F.col("kp_id").alias("t"), F.col("descriptor").alias("b"))
-    blocks = t.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).select("pair_id", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    t = t.join(blocks, "pair_id").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")).drop("blocks")
-    q = q.join(blocks, "pair_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    # the queries of a pair are cut into groups too; each group meets each block of targets once
-    counts = queries.groupBy("pair_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    q = q.join(counts, "pair_id").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).drop("parts")
-    t = t.join(counts, "pair_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    rows = q.select("pair_id", F.lit(1).alias("nq"), F.lit(0).alias("nt")).unionByName(t.select("pair_id", F.lit(0).alias("nq"), F.lit(1).alias("nt")))
+    cuts = rows.groupBy("pair_id").agg(F.ceil(F.sum("nq") / BLOCK).cast("int").alias("parts"), F.ceil(F.sum("nt") / BLOCK).cast("int").alias("blocks")).filter("parts > 0 and blocks > 0")
+    q = q.join(cuts, "pair_id").select(F.col("pair_id").alias("pair_id"), "q", "a", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    t = t.join(cuts, "pair_id").select(F.col("pair_id").alias("pair_id"), "t", "b", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     keys = "pair_id", "block", "part"
-    kind = dict(queries.dtypes)
-    schema = f"pair_id {kind['pair_id']}, q {kind['kp_id']}, t {dict(targets.dtypes)['kp_id']}, d double"
-    near = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(_two_best, schema)
-    best = near.groupBy("pair_id", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "t"))), 1, 2).alias("x"))  # two per block of targets
-    return best.filter("size(x) = 2").select("pair_id", "q", F.col("x")[0]["t"].alias("t1"), F.col("x")[0]["d"].alias("d1"), F.col("x")[1]["d"].alias("d2"))
-
-
-def _two_best(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-    """The two nearest rows of t for each row of q, squared distances summed in doubles in the order of the components."""
-    if q.empty or t.empty:
-        return pd.DataFrame({"pair_id": [], "q": [], "t": [], "d": []})
-    t = t.sort_values("t")
-    a, b, ids = np.array(q["a"].tolist(), np.float64), np.array(t["b"].tolist(), np.float64), t["t"].to_numpy()
-    out = []
-    for s in range(0, len(a), 256):
-        part = a[s : s + 256]
-        total = np.zeros((len(part), len(b)))
+    kinds, others = dict(queries.dtypes), dict(targets.dtypes)
+    schema = f"pair_id {kinds['pair_id']}, way int, q {kinds['kp_id']}, t {others['kp_id']}, d double"
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(_best_of(directions), schema)
+
+
+def _two_of(near: DataFrame, of: list[str], other: str) -> DataFrame:
+    """The columns `of`, t1, d1, d2 from the best of the blocks; two per block."""
+    best = near.groupBy(*of).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", F.col(other).alias("t")))), 1, 2).alias("x"))
+    return best.filter("size(x) = 2").select(*of, F.col("x")[0]["t"].alias("t1"), F.col("x")[0]["d"].alias("d1"), F.col("x")[1]["d"].alias("d2"))
+
+
+def two_nearest(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """pair_id, q, t1, d1, d2 of each query with at least two targets in its pair; ties go to the lesser id."""
+    return _two_of(_met(queries, targets, (0,)), ["pair_id", "q"], "t")
+
+
+def _best_of(directions: tuple[int, ...]):  # noqa: ANN202
+    def best(q: pa.Table, t: pa.Table) -> pa.Table:
+        ids = [q.column("q").combine_chunks(), t.column("t").combine_chunks()]
+        vectors = [_matrix(q.column("a")), _matrix(t.column("b"))]
+        parts = []
+        for way in directions:
+            if len(q) and len(t):
+                rows, near, d = two_least(vectors[way], vectors[1 - way], pc.rank(ids[1 - way], tiebreaker="first").to_numpy())
+                pair = [rows, near] if way == 0 else [near, rows]
+                parts.append(pa.table([pa.array(np.full(len(d), way), pa.int32()), ids[0].take(pa.array(pair[0])), ids[1].take(pa.array(pair[1])), pa.array(d)], names=["way", "q", "t", "d"]))
+        if not parts:
+            parts.append(pa.table([pa.array([], pa.int32()), ids[0].slice(0, 0), ids[1].slice(0, 0), pa.array([], pa.float64())], names=["way", "q", "t", "d"]))
+        out = pa.concat_tables(parts)
+        pair_id = (q if len(q) else t).column("pair_id")[0]
+        return out.add_column(0, "pair_id", pa.array([pair_id.as_py()] * len(out), pair_id.type))
+
+    return best
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def two_least(a: np.ndarray, b: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a, their two nearest rows of b and the distances; ties by `order` of b's rows.
+
+    One matrix product gives squared distances up to rounding; all rows of b that may be among the two nearest by its error
+    are then compared by sums in the order of the components.
+    """
+    norms = (b * b).sum(axis=1)
+    out: list[tuple[np.ndarray, ...]] = []
+    for s in range(0, len(a), 512):
+        part = a[s : s + 512]
+        own = (part * part).sum(axis=1)
+        rough = own[:, None] + norms[None, :] - 2.0 * (part @ b.T)
+        slack = 1e-12 * a.shape[1] * (own + norms.max())
+        second = np.partition(rough, min(1, len(b) - 1), axis=1)[:, min(1, len(b) - 1)]
+        rows, near = np.nonzero(rough <= (second + 2 * slack)[:, None])
+        exact = np.zeros(len(rows))
         for k in range(a.shape[1]):
-            total += (part[:, k, None] - b[None, :, k]) ** 2
-        order = np.argsort(total, axis=1, kind="stable")[:, :2]
-        rows = np.repeat(np.arange(len(part)), order.shape[1])
-        out.append(pd.DataFrame({"q": q["q"].to_numpy()[s + rows], "t": ids[order.ravel()], "d": np.sqrt(total[rows, order.ravel()])}))
-    found = pd.concat(out)
-    found.insert(0, "pair_id", q["pair_id"].iloc[0])
-    return found
+            exact += (part[rows, k] - b[near, k]) ** 2
+        by = np.lexsort((order[near], exact, rows))
+        rows, near, exact = rows[by], near[by], exact[by]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        two = place < 2
+        out.append((rows[two] + s, near[two], np.sqrt(exact[two])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def ratio_test(nearest: DataFrame, threshold: float = RATIO) -> DataFrame:
@@ -79,14 +117,15 @@ def ratio_test(nearest: DataFrame, threshold: float = RATIO) -> DataFrame:
     return nearest.withColumn("ratio", ratio).filter(F.col("ratio") < threshold)
 
 
-def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """Forward matches that the backward direction confirms: pair_id, q, t, d1, ratio."""
-    back = backward.select("pair_id", F.col("q").alias("t"), F.col("t1").alias("q"))
-    return forward.select("pair_id", "q", F.col("t1").alias("t"), "d1", "ratio").join(back, ["pair_id", "q", "t"])
-
-
 def match(queries: DataFrame, targets: DataFrame, threshold: float = RATIO) -> DataFrame:
-    return mutual(ratio_test(two_nearest(queries, targets), threshold), ratio_test(two_nearest(targets, queries), threshold))
+    """Mutual matches that pass the ratio test both ways: pair_id, q, t, d1, ratio. One meeting of the blocks serves both ways."""
+    met = _met(queries, targets, (0, 1))
+    forward = F.col("way") == 0
+    asked = met.select("pair_id", "way", F.when(forward, F.col("q")).otherwise(F.col("t")).alias("id"), F.when(forward, F.col("t")).otherwise(F.col("q")).alias("other"), "d")
+    passed = ratio_test(_two_of(asked, ["pair_id", "way", "id"], "other"), threshold)
+    ends = passed.select("pair_id", "way", F.when(forward, F.col("id")).otherwise(F.col("t1")).alias("q"), F.when(forward, F.col("t1")).otherwise(F.col("id")).alias("t"), "d1", "ratio")
+    both = ends.groupBy("pair_id", "q", "t").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(forward, F.col("d1"))).alias("d1"), F.max(F.when(forward, F.col("ratio"))).alias("ratio"))
+    return both.filter("n = 2").drop("n")
 
 
 def union_runs(*runs: tuple[str, DataFrame]) -> DataFrame:

@@ -77,6 +77,70 @@ def eroded(pixels: DataFrame, size: int = 7) -> DataFrame:
     return pixels.join(hit, list(KEY), "left").withColumn("valid", F.col("valid") & F.col("near").isNull()).drop("near")
 
 
+def display_stats(pixels: DataFrame) -> DataFrame:
+    """Per product: lines, samples, least, largest and mean value of what a preview shows (no-numbers left out; zeros for an empty one)."""
+    v = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("double"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return pixels.groupBy("product_id").agg((F.max("line") + 1).alias("lines"), (F.max("sample") + 1).alias("samples"), zero(F.min(v)).alias("least"), zero(F.max(v)).alias("largest"), zero(F.avg(v)).alias("mean"))
+
+
+def on_mask(matches: DataFrame, mask: DataFrame, x: str, y: str, into: str) -> DataFrame:
+    """matches with `into`: whether the pixel at (x, y), rounded and clipped to the mask, is valid; mask: pair_id, line, sample, valid.
+
+    The point meets its pixel in an equi-join; pairs without a mask count as valid everywhere.
+    """
+    ends = mask.groupBy("pair_id").agg(F.max("line").alias("_ml"), F.max("sample").alias("_ms"))
+    clip = lambda c, most: F.greatest(F.lit(0), F.least(F.col(most), F.bround(F.col(c), 0).cast("int")))
+    placed = matches.join(ends, "pair_id", "left").withColumns({"_l": clip(y, "_ml"), "_s": clip(x, "_ms")})
+    pixel = mask.select("pair_id", F.col("line").alias("_l"), F.col("sample").alias("_s"), F.col("valid").alias("_ok"))
+    out = placed.join(pixel, ["pair_id", "_l", "_s"], "left")
+    return out.withColumn(into, F.when(F.col("_ml").isNull(), True).otherwise(F.coalesce("_ok", F.lit(False)))).drop("_l", "_s", "_ml", "_ms", "_ok")
+
+
+def _lanczos(t: Column, lobes: int = 4) -> Column:
+    a = F.abs(t)
+    x = F.lit(np.pi) * t
+    return F.when(a < 1e-12, 1.0).when(a < lobes, lobes * F.sin(x) * F.sin(x / lobes) / (x * x)).otherwise(0.0)
+
+
+#: Reach of a kernel in source pixels, and its weight at a distance.
+RESIZE = {"nearest": (1, None), "linear": (1, lambda t: F.greatest(F.lit(0.0), 1.0 - F.abs(t))), "lanczos": (4, _lanczos)}
+
+
+def resize(pixels: DataFrame, height: int, width: int, kind: str = "linear") -> DataFrame:
+    """Images in another size (product_id, line, sample, value, valid): area (mean of the covered pixels, shares counted), nearest, linear or lanczos.
+
+    Each output pixel asks for the source pixels that its kernel reaches, clipped to the image; weights are renewed. The requests
+    meet the source by pixel, so neither image is held in one task. A pixel is valid if the nearest source pixel is.
+    """
+    if kind not in ("area", *RESIZE):
+        raise ValueError(f"unknown kind of resize {kind}")
+    size = pixels.groupBy("product_id").agg((F.max("line") + 1).alias("h"), (F.max("sample") + 1).alias("w"))
+    at = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = size.withColumn("line", at(height)).withColumn("sample", at(width))
+
+    def asked(out: str, extent: str, n: int, name: str) -> Column:
+        k = F.col(extent) / n
+        if kind == "area":
+            low, high = F.col(out) * k, (F.col(out) + 1) * k
+            first, last = F.floor(low), F.greatest(F.ceil(high) - 1, F.floor(low))
+            weight = lambda p: F.greatest(F.lit(0.0), F.least(high, p + 1) - F.greatest(low, p.cast("double")))
+        else:
+            reach, shape = RESIZE[kind]
+            centre = (F.col(out) + 0.5) * k - 0.5
+            near = F.least(F.col(extent) - 1, F.floor((F.col(out) + 0.5) * k))
+            first, last = (near, near) if shape is None else (F.floor(centre) - (reach - 1), F.floor(centre) + reach)
+            weight = lambda p: F.lit(1.0) if shape is None else shape(centre - p)
+        return F.explode(F.transform(F.sequence(first.cast("int"), last.cast("int")), lambda p: F.struct(F.greatest(F.lit(0), F.least(F.col(extent) - 1, p)).cast("int").alias(name), weight(p).alias("k"))))
+
+    lines = grid.withColumn("a", asked("line", "h", height, "p")).select("product_id", "line", "sample", "h", "w", F.col("a.p").alias("cl"), F.col("a.k").alias("ka"))
+    both = lines.withColumn("b", asked("sample", "w", width, "p")).select("product_id", "line", "sample", "h", "w", "cl", F.col("b.p").alias("cs"), (F.col("ka") * F.col("b.k")).alias("k")).filter("k <> 0")
+    source = pixels.select("product_id", F.col("line").alias("cl"), F.col("sample").alias("cs"), F.col("value").cast("double").alias("value"), "valid")
+    nearest = (F.col("cl") == F.least(F.col("h") - 1, F.floor((F.col("line") + 0.5) * F.col("h") / height))) & (F.col("cs") == F.least(F.col("w") - 1, F.floor((F.col("sample") + 0.5) * F.col("w") / width)))
+    got = both.join(source, ["product_id", "cl", "cs"])
+    return got.groupBy(*KEY).agg((F.sum(F.col("k") * F.col("value")) / F.sum("k")).alias("value"), F.coalesce(F.max(F.when(nearest, F.col("valid"))), F.lit(False)).alias("valid"))
+
+
 def area_mean(pixels: DataFrame, factor: int) -> DataFrame:
     """Blocks of factor x factor pixels as their mean over valid ones."""
     return pixels.groupBy("product_id", F.floor(F.col("line") / factor).cast("int").alias("line"), F.floor(F.col("sample") / factor).cast("int").alias("sample")).agg(
@@ -151,26 +215,36 @@ def tiled(pixels: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarr
     return sent.groupBy("product_id", "ty", "tx").applyInPandas(run, schema)
 
 
-def equalised(image: np.ndarray, limit: float = 2.0, grid: int = 8) -> np.ndarray:
-    """Contrast-limited adaptive equalisation of an 8-bit image: a clipped histogram per field of a grid, maps blended between fields."""
-    h, w = image.shape
-    fy, fx = max(1, -(-h // grid)), max(1, -(-w // grid))
-    ny, nx = -(-h // fy), -(-w // fx)
-    maps = np.zeros((ny, nx, 256))
-    for i in range(ny):
-        for j in range(nx):
-            part = image[i * fy : (i + 1) * fy, j * fx : (j + 1) * fx].ravel()
-            hist = np.bincount(part, minlength=256).astype(float)
-            most = max(1.0, limit * len(part) / 256)
-            over = np.maximum(hist - most, 0).sum()
-            maps[i, j] = np.cumsum(np.minimum(hist, most) + over / 256) * 255 / len(part)
-    y, x = (np.arange(h) + 0.5) / fy - 0.5, (np.arange(w) + 0.5) / fx - 0.5
-    i0, j0 = np.clip(np.floor(y).astype(int), 0, ny - 1), np.clip(np.floor(x).astype(int), 0, nx - 1)
-    i1, j1 = np.minimum(i0 + 1, ny - 1), np.minimum(j0 + 1, nx - 1)
-    ty, tx = np.clip(y - i0, 0, 1)[:, None], np.clip(x - j0, 0, 1)[None, :]
-    at = lambda i, j: maps[i[:, None], j[None, :], image]
-    out = (1 - ty) * ((1 - tx) * at(i0, j0) + tx * at(i0, j1)) + ty * ((1 - tx) * at(i1, j0) + tx * at(i1, j1))
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+def equalise(pixels: DataFrame, limit: float = 2.0, grid: int = 8) -> DataFrame:
+    """Contrast-limited adaptive equalisation of 8-bit values: product_id, line, sample, value.
+
+    A clipped histogram per field of a grid over the whole image, and maps blended between the fields around a pixel. The
+    histograms are aggregates (grid x grid x 256 numbers a product); pixels ask for the four maps by their value and are summed up
+    again, so an image is never held whole. Values that are null, not numbers or out of range are clipped, null counts as 0.
+    """
+    v = F.coalesce(F.when(~F.isnan(F.col("value").cast("double")), F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("value").cast("double")))), F.lit(0.0)).cast("int")
+    size = pixels.groupBy("product_id").agg(F.max("line").alias("_ml"), F.max("sample").alias("_ms")).select("product_id", "_ml", "_ms", F.floor((F.col("_ml") + grid) / grid).alias("fy"), F.floor((F.col("_ms") + grid) / grid).alias("fx"))
+    last = size.select("product_id", "fy", "fx", F.floor(F.col("_ml") / F.col("fy")).cast("int").alias("my"), F.floor(F.col("_ms") / F.col("fx")).cast("int").alias("mx"))
+    placed = pixels.select(*KEY, v.alias("v")).join(last, "product_id")
+    field = placed.select("product_id", F.floor(F.col("line") / F.col("fy")).cast("int").alias("i"), F.floor(F.col("sample") / F.col("fx")).cast("int").alias("j"), "v")
+    counted = field.groupBy("product_id", "i", "j", "v").agg(F.count(F.lit(1)).alias("c"))
+    # a field has 256 counts at most
+    held = counted.groupBy("product_id", "i", "j").agg(F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("h"), F.sum("c").alias("n"))
+    most = F.greatest(F.lit(1.0), F.col("n") * limit / 256)
+    bins = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.try_element_at("h", k), F.lit(0)).cast("double"))
+    shaped = held.withColumns({"most": most, "bins": bins}).withColumn("extra", F.aggregate("bins", F.lit(0.0), lambda s, c: s + F.greatest(c - F.col("most"), F.lit(0.0))) / 256)
+    clipped = F.transform("bins", lambda c: F.least(c, F.col("most")) + F.col("extra"))
+    shaped = shaped.withColumn("clipped", clipped)
+    upto = F.transform(F.sequence(F.lit(1), F.lit(256)), lambda k: F.aggregate(F.slice("clipped", F.lit(1), k), F.lit(0.0), lambda s, c: s + c) * 255 / F.col("n"))
+    maps = shaped.select("product_id", "i", "j", F.posexplode(upto).alias("v", "mapped"))
+    y, x = (F.col("line") + 0.5) / F.col("fy") - 0.5, (F.col("sample") + 0.5) / F.col("fx") - 0.5
+    at = placed.withColumns({"y": y, "x": x}).withColumns({"i0": F.least(F.col("my"), F.greatest(F.lit(0), F.floor("y").cast("int"))), "j0": F.least(F.col("mx"), F.greatest(F.lit(0), F.floor("x").cast("int")))})
+    share = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    at = at.withColumns({"ty": share(F.col("y") - F.col("i0")), "tx": share(F.col("x") - F.col("j0"))})
+    corner = lambda dy, dx: F.struct(F.least(F.col("my"), F.col("i0") + dy).alias("i"), F.least(F.col("mx"), F.col("j0") + dx).alias("j"), ((F.col("ty") if dy else 1 - F.col("ty")) * (F.col("tx") if dx else 1 - F.col("tx"))).alias("k"))
+    asked = at.select(*KEY, "v", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("c")).select(*KEY, "v", "c.*")
+    total = asked.join(maps, ["product_id", "i", "j", "v"]).groupBy(*KEY).agg(F.sum(F.col("k") * F.col("mapped")).alias("total"))
+    return total.select(*KEY, F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(255.0), "total")), 6), 0).cast("int").alias("value"))
 
 
 def warp(pixels: DataFrame, h: np.ndarray, height: int, width: int, field: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:

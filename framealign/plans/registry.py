@@ -19,7 +19,8 @@ from ..operators import pixels as P
 from ..operators import spectral as H
 from ..sources import catalog as C
 from ..sources import labels as L
-from . import roles
+from ..sources import store as K
+from . import correspond, roles
 
 FLAGSHIP = "match_knn2_ratio_mutual"
 QUERIES: dict = {}
@@ -106,12 +107,24 @@ def cell_cap_single_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cap_cells(_events(spark, sf_dir), ["row", "col"], [F.col("value"), F.col("event_id")]).select("event_id", "row", "col", F.col("rn").cast("long").alias("rn"))
 
 
-@query()
+def _two_way_cell(x: str, w: str, y: str, h: str) -> str:
+    return f"({_CELL.format(v=x, w=w)} * 10 + {_CELL.format(v=y, w=h)})"
+
+
+@query(f"""WITH RECURSIVE {roles.MATCHES}, m AS (SELECT pair_id, row_ord, score, {_two_way_cell('sx', '51.0', 'sy', '11.0')} AS s_cell, {_two_way_cell('rx', '8.0', 'ry', '9.0')} AS r_cell, row_number() OVER (PARTITION BY pair_id ORDER BY score, row_ord) AS rn FROM matches),
+walk AS (SELECT pair_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS row_ord, false AS kept, list_transform(range(100), lambda x: 0) AS s, list_transform(range(100), lambda x: 0) AS r FROM (SELECT DISTINCT pair_id FROM m)
+ UNION ALL SELECT w.pair_id, m.rn, m.row_ord, w.s[m.s_cell + 1] < 3 AND w.r[m.r_cell + 1] < 3,
+  CASE WHEN w.s[m.s_cell + 1] < 3 AND w.r[m.r_cell + 1] < 3 THEN list_transform(w.s, lambda v, i: v + CASE WHEN i = m.s_cell + 1 THEN 1 ELSE 0 END) ELSE w.s END,
+  CASE WHEN w.s[m.s_cell + 1] < 3 AND w.r[m.r_cell + 1] < 3 THEN list_transform(w.r, lambda v, i: v + CASE WHEN i = m.r_cell + 1 THEN 1 ELSE 0 END) ELSE w.r END
+ FROM walk w JOIN m ON m.pair_id = w.pair_id AND m.rn = w.rn + 1),
+k AS (SELECT pair_id, rn FROM walk WHERE kept), c AS (SELECT pair_id, count(*) AS survivors FROM k GROUP BY pair_id)
+SELECT m.pair_id AS pair_id, m.row_ord AS row_ord, round(score, 2) AS score, CAST(s_cell AS INTEGER) AS s_cell, CAST(r_cell AS INTEGER) AS r_cell, survivors, CASE WHEN survivors >= 8 THEN 'OK' ELSE 'FAILED' END AS status
+FROM m JOIN k ON k.pair_id = m.pair_id AND k.rn = m.rn JOIN c ON c.pair_id = m.pair_id""")
 def cell_cap_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = roles.matches(spark, sf_dir)
     cell = lambda x, w, y, h: M.grid_cell(F.col(x), F.lit(w)) * 10 + M.grid_cell(F.col(y), F.lit(h))
     celled = m.select("pair_id", "row_ord", "score", cell("sx", 51.0, "sy", 11.0).alias("s_cell"), cell("rx", 8.0, "ry", 9.0).alias("r_cell"))
-    return M.greedy_cells(celled, 3)
+    return rounded(M.greedy_cells(celled, 3), 2, "score")
 
 
 # ---- evaluation ----
@@ -168,9 +181,24 @@ def _field_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FIT.normal_sums(p, ["pair_id"], terms, {"dx": F.col("rx") - F.col("sx"), "dy": F.col("ry") - F.col("sy")})
 
 
-@query()
+def _solved_sql() -> str:
+    """Elimination without pivots (the sums are positive definite): step k takes row k off all others."""
+    names = {"m": [(i, j) for i in range(6) for j in range(6)], "dx": [(i,) for i in range(6)], "dy": [(i,) for i in range(6)]}
+    call = lambda t, at: t + "_" + "_".join(map(str, at))
+    cells = [(t, at) for t, places in names.items() for at in places]
+    ridge = lambda i, j: " + 0.05" if i == j > 2 else ""
+    first = ", ".join((f"sum(({_TERMS[at[0]]}) * ({_TERMS[at[1]]})){ridge(*at)}" if t == "m" else f"sum(({_TERMS[at[0]]}) * {t})") + f" AS {call(t, at)}" for t, at in cells)
+    out = f"WITH {roles.POINTS}, t AS (SELECT *, sx / 64.0 AS u, sy / 128.0 AS v, rx - sx AS dx, ry - sy AS dy FROM points), e0 AS (SELECT pair_id, count(*) AS n, {first} FROM t GROUP BY pair_id)"
+    for k in range(6):
+        rows = [call(t, at) if at[0] == k else f"{call(t, at)} - m_{at[0]}_{k} / m_{k}_{k} * {call(t, (k, *at[1:]))}" for t, at in cells]
+        out += f", e{k + 1} AS (SELECT pair_id, n, " + ", ".join(f"{r} AS {call(t, at)}" for r, (t, at) in zip(rows, cells, strict=True)) + f" FROM e{k})"
+    return out + " SELECT pair_id, " + ", ".join(f"round(CASE WHEN n >= 12 THEN {t}_{i} / m_{i}_{i} END, 5) AS {t}_{i}" for t in ("dx", "dy") for i in range(6)) + " FROM e6"
+
+
+@query(_solved_sql())
 def residual_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FIT.solve_field(_field_sums(spark, sf_dir), ["pair_id"], ["dx", "dy"])
+    solved = FIT.solve_field(_field_sums(spark, sf_dir), ["pair_id"], ["dx", "dy"])
+    return solved.select("pair_id", *[F.round(F.col(t)[i], 5).alias(f"{t}_{i}") for t in ("dx", "dy") for i in range(6)])
 
 
 @query()
@@ -197,6 +225,62 @@ def stage_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.visible_stages(stages).select("pair_id", "stage_id", "ord", "name", F.round("total_seconds", 4).alias("total_seconds"))
 
 
+def _run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Line items as raw matches under a known affine map, one in five far off; a pair per 100 orders, some behind a closed gate or with few matches."""
+    line = roles.table(spark, sf_dir, "lineitem")
+    pair = F.floor(F.col("l_orderkey") / 100).cast("long")
+    sx, sy = (F.col("l_partkey") * 7 % 1000).cast("double"), ((F.col("l_suppkey") * 13 + F.col("l_linenumber") * 50 + F.col("l_orderkey") * 3) % 800).cast("double")
+    off = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 5 == 0, 90.0 + F.col("l_orderkey") % 50).otherwise(0.0)
+    m = line.select(pair.alias("pair_id"), F.lit("intensity").alias("method"), F.lit(0).alias("run_ord"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("row_ord"), sx.alias("sx"), sy.alias("sy"), off.alias("off"), F.col("l_extendedprice").cast("double").alias("score"))
+    m = m.filter("pair_id % 7 <> 3 or row_ord % 1000 < 20").withColumns({"rx": 1.0 * F.col("sx") - 0.0625 * F.col("sy") + 60 + F.col("off"), "ry": 0.03125 * F.col("sx") + 0.9375 * F.col("sy") + 10 - F.col("off")}).drop("off")
+    pairs = m.select("pair_id").distinct().select(
+        "pair_id", (F.col("pair_id") * 2).alias("source_id"), (F.col("pair_id") * 2 + 1).alias("reference_id"), F.lit("OHRC").alias("s_sensor"), F.when(F.col("pair_id") % 2 == 0, "OHRC").otherwise("TMC").alias("r_sensor"),
+        F.lit(1000).alias("s_width"), F.lit(800).alias("s_height"), F.lit(1100).alias("r_width"), F.lit(850).alias("r_height"), F.lit(2.0).alias("s_scale"), F.lit(4.0).alias("r_scale"), F.when(F.col("pair_id") % 11 == 0, F.col("pair_id") % 22 == 0).alias("gate_passed"),
+    )
+    gated = pairs.filter("coalesce(gate_passed, true)").select("pair_id")
+    return correspond.run(pairs, m.join(gated, "pair_id", "left_semi"), correspond.Settings(model="Affine"))
+
+
+_RUN = f"""WITH RECURSIVE line AS (SELECT CAST(floor(l_orderkey / 100.0) AS BIGINT) AS pair_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS row_ord, CAST(l_partkey * 7 % 1000 AS DOUBLE) AS sx, CAST((l_suppkey * 13 + l_linenumber * 50 + l_orderkey * 3) % 800 AS DOUBLE) AS sy,
+ CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN 90.0::DOUBLE + l_orderkey % 50 ELSE 0.0::DOUBLE END AS off, CAST(l_extendedprice AS DOUBLE) AS score FROM lineitem),
+few AS (SELECT *, sx - 0.0625::DOUBLE * sy + 60 + off AS rx, 0.03125::DOUBLE * sx + 0.9375::DOUBLE * sy + 10 - off AS ry FROM line WHERE pair_id % 7 <> 3 OR row_ord % 1000 < 20),
+pairs AS (SELECT DISTINCT pair_id, pair_id % 11 <> 0 OR pair_id % 22 = 0 AS gate FROM few), raw AS (SELECT s.* FROM few s JOIN pairs p ON p.pair_id = s.pair_id WHERE gate),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, round_even(sx, 1), round_even(sy, 1), round_even(rx, 1), round_even(ry, 1) ORDER BY score, row_ord) AS first FROM raw) WHERE first = 1),
+m AS (SELECT pair_id, row_ord, sx, sy, rx, ry, {_two_way_cell('sy', '800.0', 'sx', '1000.0')} AS s_cell, {_two_way_cell('ry', '850.0', 'rx', '1100.0')} AS r_cell, off, row_number() OVER (PARTITION BY pair_id ORDER BY score, row_ord) AS rn FROM f),
+walk AS (SELECT pair_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS row_ord, false AS kept, list_transform(range(100), lambda x: 0) AS s, list_transform(range(100), lambda x: 0) AS r FROM (SELECT DISTINCT pair_id FROM m)
+ UNION ALL SELECT w.pair_id, m.rn, m.row_ord, w.s[m.s_cell + 1] < 20 AND w.r[m.r_cell + 1] < 20,
+  CASE WHEN w.s[m.s_cell + 1] < 20 AND w.r[m.r_cell + 1] < 20 THEN list_transform(w.s, lambda v, i: v + CASE WHEN i = m.s_cell + 1 THEN 1 ELSE 0 END) ELSE w.s END,
+  CASE WHEN w.s[m.s_cell + 1] < 20 AND w.r[m.r_cell + 1] < 20 THEN list_transform(w.r, lambda v, i: v + CASE WHEN i = m.r_cell + 1 THEN 1 ELSE 0 END) ELSE w.r END
+ FROM walk w JOIN m ON m.pair_id = w.pair_id AND m.rn = w.rn + 1),
+k AS (SELECT m.*, count(*) OVER (PARTITION BY m.pair_id) AS match_count FROM m JOIN walk w ON w.pair_id = m.pair_id AND w.rn = m.rn AND kept),
+e AS (SELECT pair_id, min(rx) AS x0, max(rx) AS x1, min(ry) AS y0, max(ry) AS y1 FROM k WHERE match_count >= 8 GROUP BY pair_id),
+c AS (SELECT k.*, least(4, CAST(trunc((rx - x0) / greatest(x1 - x0, 1e-9) * 5) AS INTEGER)) + 5 * least(4, CAST(trunc((ry - y0) / greatest(y1 - y0, 1e-9) * 5) AS INTEGER)) AS cell FROM k JOIN e ON e.pair_id = k.pair_id),
+g AS (SELECT pair_id, cell, row_number() OVER (PARTITION BY pair_id ORDER BY cell) AS rk, count(*) OVER (PARTITION BY pair_id) AS n FROM (SELECT DISTINCT pair_id, cell FROM c)),
+h AS (SELECT c.*, rk > n - greatest(1, round_even(n * 0.25, 0)) AS holdout FROM c JOIN g ON g.pair_id = c.pair_id AND g.cell = c.cell),
+t AS (SELECT pair_id, max(match_count) AS match_count, count(*) FILTER (WHERE NOT holdout AND off = 0) AS inliers, count(*) FILTER (WHERE NOT holdout AND off > 0) AS outliers, count(*) FILTER (WHERE holdout) AS held,
+  sqrt(avg(2 * off * off) FILTER (WHERE holdout)) AS holdout_rmse, count(DISTINCT s_cell) / 100.0 AS coverage FROM h GROUP BY pair_id),
+a AS (SELECT p.pair_id, p.gate, (SELECT count(*) FROM raw WHERE raw.pair_id = p.pair_id) AS raw_matches, (SELECT count(*) FROM k WHERE k.pair_id = p.pair_id) AS fused, t.* EXCLUDE (pair_id) FROM pairs p LEFT JOIN t ON t.pair_id = p.pair_id)
+"""
+
+
+@query(_RUN + """SELECT pair_id, pair_id * 2 AS source_id, CASE WHEN pair_id % 2 = 0 THEN 'same' ELSE 'different' END AS route, CASE WHEN gate AND (pair_id % 2 = 0 OR raw_matches >= 4) AND coalesce(match_count, 0) >= 8 AND coalesce(inliers, 0) >= 8 THEN 'success' ELSE 'failed' END AS status,
+ CASE WHEN NOT gate THEN 'Geographic Gate' WHEN pair_id % 2 = 1 AND raw_matches < 4 THEN 'Feature Matching' WHEN coalesce(match_count, 0) < 8 THEN 'Confidence Filtering' WHEN inliers < 8 THEN 'Geometric Verification' END AS failed_stage,
+ raw_matches, CAST(coalesce(match_count, 0) AS BIGINT) AS match_count, CASE WHEN inliers >= 8 THEN inliers END AS inlier_count, CASE WHEN inliers >= 8 THEN outliers END AS outlier_count, CASE WHEN inliers >= 8 THEN held END AS holdout_points,
+ CASE WHEN inliers >= 8 THEN 0.0::DOUBLE END AS fit_rmse, CASE WHEN inliers >= 8 THEN round(holdout_rmse, 3) END AS holdout_rmse, round(coverage, 4) AS spatial_coverage, coalesce(inliers >= 20, false) AS residual_field FROM a""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = _run(spark, sf_dir)["report"]
+    fitted = lambda c: F.when(F.col("inlier_count") >= 8, F.col(c)).alias(c)
+    return report.select(
+        "pair_id", "source_id", "route", "status", "failed_stage", "raw_matches", F.col("match_count").cast("long").alias("match_count"), fitted("inlier_count"), fitted("outlier_count"), fitted("holdout_points"),
+        F.abs(F.round("fit_rmse", 3)).alias("fit_rmse"), F.round("holdout_rmse", 3).alias("holdout_rmse"), F.round("spatial_coverage", 4).alias("spatial_coverage"), "residual_field",
+    )
+
+
+@query()
+def run_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["stages"]
+
+
 # ---- spectral ----
 
 _STATS = "s AS (SELECT product_id, band, count(value) FILTER (WHERE valid) AS n, quantile_cont(value, 0.01) FILTER (WHERE valid) AS p01, quantile_cont(value, 0.99) FILTER (WHERE valid) AS p99, median(value) FILTER (WHERE valid) AS median, avg(value) FILTER (WHERE valid) AS mean, stddev_pop(value) FILTER (WHERE valid) AS std FROM cube GROUP BY ALL)"
@@ -246,21 +330,47 @@ def band_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT i.i AS i, j.j AS j, round(covar_samp(CAST(embedding[i.i + 1] AS DOUBLE), CAST(embedding[j.j + 1] AS DOUBLE)), 9) AS cov FROM embeddings, (SELECT CAST(range AS INTEGER) AS i FROM range(8)) i, (SELECT CAST(range AS INTEGER) AS j FROM range(8)) j WHERE i.i <= j.j GROUP BY 1, 2")
 def spectral_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(H.covariance(roles.table(spark, sf_dir, "embeddings"), "embedding", 8), 9, "cov")
+    e = roles.table(spark, sf_dir, "embeddings").select(F.lit(0).alias("product_id"), F.slice("embedding", 1, 8).alias("spectrum"))
+    return rounded(H.covariance(e, "spectrum").drop("product_id"), 9, "cov")
+
+
+@query("SELECT label, i.i AS i, j.j AS j, round(covar_samp(CAST(embedding[i.i + 1] AS DOUBLE), CAST(embedding[j.j + 1] AS DOUBLE)), 9) AS cov FROM embeddings, (SELECT CAST(range AS INTEGER) AS i FROM range(4)) i, (SELECT CAST(range AS INTEGER) AS j FROM range(4)) j WHERE i.i <= j.j GROUP BY ALL HAVING count(*) > 1")
+def covariance_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = roles.table(spark, sf_dir, "embeddings").select("label", F.slice("embedding", 1, 4).alias("spectrum"))
+    return rounded(H.covariance(e, "spectrum", "label"), 9, "cov")
 
 
 @query()
 def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = roles.table(spark, sf_dir, "embeddings")
-    means, loadings, _ = H.principal_components(e, "embedding", 16)
-    return H.project_components(e.select("vec_id", "embedding"), "embedding", np.pad(means, (0, 0)), loadings).drop("embedding")
+    """Embeddings as spectra of a product per label."""
+    e = roles.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("product_id"), F.slice("embedding", 1, 16).alias("spectrum"))
+    return H.project_components(e, "spectrum", H.principal_components(e, "spectrum")).drop("spectrum")
 
 
-@query()
-def cube_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the cube that have its first three bands, cleaned."""
     dense = _cube(spark, sf_dir).filter("band <= 3")
     full = dense.groupBy(*H.PIXEL).agg(F.count(F.lit(1)).alias("n")).filter("n = 3").drop("n")
-    return H.representation(H.clean(dense.join(full, list(H.PIXEL), "left_semi").drop("valid")), 3)
+    return H.clean(dense.join(full, list(H.PIXEL), "left_semi").drop("valid"))
+
+
+@query()
+def cube_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.representation(_full(spark, sf_dir), 3)
+
+
+_BAND = "WITH {cube}, k AS (SELECT product_id, line, sample FROM cube WHERE band <= 3 GROUP BY ALL HAVING count(*) = 3), f AS (SELECT c.* FROM cube c JOIN k ON k.product_id = c.product_id AND k.line = c.line AND k.sample = c.sample WHERE band = 2)"
+
+
+@query(_BAND.format(cube=roles.CUBE) + """, m AS (SELECT product_id, median(value) FILTER (WHERE valid) AS median FROM f GROUP BY ALL), s AS (SELECT product_id, quantile_cont(value, 0.01) FILTER (WHERE valid) AS lo, quantile_cont(value, 0.99) FILTER (WHERE valid) AS hi FROM f GROUP BY ALL)
+SELECT f.product_id AS product_id, line, sample, CAST(trunc(CASE WHEN valid AND hi - lo > 1e-7 THEN greatest(0.0, least(1.0, (value - lo) / (hi - lo))) ELSE 0.0 END * 255) AS INTEGER) AS value, valid FROM f JOIN s ON s.product_id = f.product_id""")
+def selected_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.representation(_full(spark, sf_dir), 3, "selected_band", 2)
+
+
+@query(_BAND.format(cube=roles.CUBE) + " SELECT product_id, line, sample, CASE WHEN valid THEN CAST(trunc(greatest(0.0, least(255.0, value))) AS INTEGER) ELSE 0 END AS value, valid FROM f")
+def fallback_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.representation(_full(spark, sf_dir), 3, "unknown mode", 2)
 
 
 # ---- pixels ----
@@ -303,7 +413,12 @@ def resize_area_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.area_mean(_dense(spark, sf_dir), 4), 6, "value")
 
 
-@query()
+def _half_sql(name: str) -> str:
+    return f"""SELECT a.product_id AS product_id, a.line // 2 AS line, a.sample // 2 AS sample, sum(k[b.line - a.line + 3] * k[b.sample - a.sample + 3] * b.value) / sum(k[b.line - a.line + 3] * k[b.sample - a.sample + 3]) AS value
+ FROM {name} a JOIN {name} b ON b.line BETWEEN a.line - 2 AND a.line + 2 AND b.sample BETWEEN a.sample - 2 AND a.sample + 2, (SELECT [0.0625::DOUBLE, 0.25, 0.375, 0.25, 0.0625] AS k) WHERE a.line % 2 = 0 AND a.sample % 2 = 0 GROUP BY ALL"""
+
+
+@query(f"WITH {roles.IMAGE}, l1 AS ({_half_sql('image')}), l2 AS ({_half_sql('l1')}) SELECT CAST(level AS INTEGER) AS level, product_id, line, sample, round(value, 6) AS value FROM (SELECT 0 AS level, product_id, line, sample, value FROM image UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2)")
 def gaussian_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.pyramid(_dense(spark, sf_dir)), 6, "value")
 
@@ -326,15 +441,37 @@ def checkerboard_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.checkerboard(*_pair(spark, sf_dir), 16)
 
 
-@query()
-def perspective_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.warp(_dense(spark, sf_dir), np.array([[1.0, 0.05, 2.0], [-0.03, 1.0, 1.0], [0.0001, 0.0, 1.0]]), 64, 64), 6, "value")
+_WARP = np.array([[1.0, 0.05, 2.0], [-0.03, 1.0, 1.0], [0.0001, 0.0, 1.0]])
 
 
-@query()
+def _warp_sql() -> str:
+    h = [repr(float(v)) for v in np.linalg.inv(_WARP).ravel()]
+    return f"""WITH {roles.IMAGE}, grid AS (SELECT CAST(range // 64 AS INTEGER) AS line, CAST(range % 64 AS INTEGER) AS sample FROM range(4096)),
+w AS (SELECT *, {h[6]}::DOUBLE * sample + {h[7]}::DOUBLE * line + {h[8]}::DOUBLE AS w FROM grid),
+p AS (SELECT line, sample, ({h[0]}::DOUBLE * sample + {h[1]}::DOUBLE * line + {h[2]}::DOUBLE) / w AS sx, ({h[3]}::DOUBLE * sample + {h[4]}::DOUBLE * line + {h[5]}::DOUBLE) / w AS sy FROM w),
+c AS (SELECT line, sample, CAST(floor(sy) AS INTEGER) + dy AS cl, CAST(floor(sx) AS INTEGER) + dx AS cs, (1 - abs(sy - floor(sy) - dy)) * (1 - abs(sx - floor(sx) - dx)) AS k FROM p, (SELECT 0 AS dy UNION ALL SELECT 1), (SELECT 0 AS dx UNION ALL SELECT 1)),
+g AS (SELECT i.product_id AS product_id, c.line AS line, c.sample AS sample, sum(k * value) AS value, sum(k) AS k, bool_and(valid) AS valid FROM c JOIN image i ON i.line = c.cl AND i.sample = c.cs WHERE k > 0 GROUP BY ALL)
+SELECT product_id, line, sample, round(value, 6) AS value, valid AND k > 1 - 1e-9 AS valid FROM g"""
+
+
+@query(_warp_sql())
+def perspective_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.warp(_dense(spark, sf_dir), _WARP, 64, 64), 6, "value")
+
+
+@query(f"""WITH {roles.IMAGE}, z AS (SELECT product_id, line, sample, CAST(value AS INTEGER) AS v FROM image), e AS (SELECT product_id, (max(line) + 8) // 8 AS fy, (max(sample) + 8) // 8 AS fx, max(line) AS ml, max(sample) AS ms FROM z GROUP BY product_id),
+f AS (SELECT z.*, fy, fx, ml // fy AS my, ms // fx AS mx, line // fy AS i, sample // fx AS j FROM z JOIN e ON e.product_id = z.product_id),
+n AS (SELECT product_id, i, j, count(*) AS n, greatest(1.0, 2.0 * count(*) / 256) AS most FROM f GROUP BY ALL), h AS (SELECT product_id, i, j, v, count(*) AS c FROM f GROUP BY ALL),
+o AS (SELECT h.product_id, h.i, h.j, sum(greatest(c - most, 0)) / 256 AS extra FROM h JOIN n ON n.product_id = h.product_id AND n.i = h.i AND n.j = h.j GROUP BY ALL),
+m AS (SELECT n.product_id, n.i, n.j, CAST(x.v AS INTEGER) AS v, sum(least(coalesce(c, 0), most) + extra) OVER (PARTITION BY n.product_id, n.i, n.j ORDER BY x.v) * 255 / n AS mapped
+ FROM n JOIN o ON o.product_id = n.product_id AND o.i = n.i AND o.j = n.j, (SELECT range AS v FROM range(256)) x LEFT JOIN h ON h.product_id = n.product_id AND h.i = n.i AND h.j = n.j AND h.v = x.v),
+y AS (SELECT *, (line + 0.5::DOUBLE) / fy - 0.5 AS y, (sample + 0.5::DOUBLE) / fx - 0.5 AS x FROM f),
+q AS (SELECT *, least(my, greatest(0, CAST(floor(y) AS INTEGER))) AS i0, least(mx, greatest(0, CAST(floor(x) AS INTEGER))) AS j0 FROM y),
+t AS (SELECT *, least(1.0, greatest(0.0, y - i0)) AS ty, least(1.0, greatest(0.0, x - j0)) AS tx FROM q),
+a AS (SELECT product_id, line, sample, v, least(my, i0 + dy) AS i, least(mx, j0 + dx) AS j, CASE dy WHEN 0 THEN 1 - ty ELSE ty END * CASE dx WHEN 0 THEN 1 - tx ELSE tx END AS k FROM t, (SELECT 0 AS dy UNION ALL SELECT 1), (SELECT 0 AS dx UNION ALL SELECT 1))
+SELECT a.product_id AS product_id, a.line AS line, a.sample AS sample, CAST(round_even(round(greatest(0.0, least(255.0, sum(k * mapped))), 6), 0) AS INTEGER) AS value FROM a JOIN m ON m.product_id = a.product_id AND m.i = a.i AND m.j = a.j AND m.v = a.v GROUP BY ALL""")
 def adaptive_equalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kernel = lambda values, valid: P.equalised(np.clip(np.nan_to_num(values), 0, 255).astype(np.uint8)).astype(float)
-    return P.tiled(_dense(spark, sf_dir), kernel, 0)
+    return P.equalise(_dense(spark, sf_dir))
 
 
 # ---- footprints ----
@@ -447,7 +584,7 @@ def _xml_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS path, 'urn:' || o_orderkey AS product_id, 'Calibrated' AS processing_level, CAST(o_orderkey % 90 + 10 AS DOUBLE) AS altitude_km, CAST(o_orderkey % 500 + 1 AS INTEGER) AS lines, CAST(64 AS INTEGER) AS samples, CAST(0.25 AS DOUBLE) AS gsd_m_per_pixel FROM orders")
 def xml_tag_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.parse_xml_labels(_xml_labels(spark, sf_dir)).select("path", "product_id", "processing_level", "altitude_km", "lines", "samples", "gsd_m_per_pixel")
+    return L.parse_xml_labels(_xml_labels(spark, sf_dir), spark.sparkContext.defaultParallelism).select("path", "product_id", "processing_level", "altitude_km", "lines", "samples", "gsd_m_per_pixel")
 
 
 _MISSING = "list_filter([" + ", ".join(
@@ -497,12 +634,18 @@ def provider_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.resolve({"label": (1, label), "catalog_file": (2, other)}).select("product_id", "title", "provider")
 
 
-@query("""WITH i AS (SELECT n_name || '_north.img' AS image, lower(n_name || '_north') AS si FROM nation), l AS (SELECT n_name || '.lbl' AS label, lower(n_name) AS sl FROM nation UNION ALL SELECT 'old_' || n_name || '_north_2.xml', lower('old_' || n_name || '_north_2') FROM nation WHERE n_nationkey % 2 = 0)
-SELECT DISTINCT image, label FROM i JOIN l ON si = sl OR contains(si, sl) OR contains(sl, si)""")
+@query("""WITH i AS (SELECT n_name || '_north.img' AS image, lower(n_name || '_north') AS si, upper(n_name || '_north') AS ii FROM nation UNION ALL SELECT 'q' || n_nationkey || '.img', 'q' || n_nationkey, 'Q' || n_nationkey FROM nation),
+l AS (SELECT n_name || '.lbl' AS label, lower(n_name) AS sl, NULL AS pid FROM nation UNION ALL SELECT 'old_' || n_name || '_north_2.xml', lower('old_' || n_name || '_north_2'), NULL FROM nation WHERE n_nationkey % 2 = 0
+ UNION ALL SELECT substr(n_name, 1, 2) || '.lbl', lower(substr(n_name, 1, 2)), NULL FROM nation UNION ALL SELECT 'zz' || n_nationkey || 'zz.xml', 'zz' || n_nationkey || 'zz', 'Q' || (n_nationkey + 1) FROM nation)
+SELECT DISTINCT image, label FROM i JOIN l ON si = sl OR contains(si, sl) OR contains(sl, si) OR ii = pid""")
 def label_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = roles.table(spark, sf_dir, "nation")
-    images = n.select(F.concat("n_name", F.lit("_north.img")).alias("name"))
-    labels = n.select(F.concat("n_name", F.lit(".lbl")).alias("name")).unionByName(n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("old_"), "n_name", F.lit("_north_2.xml")).alias("name")))
+    key = F.col("n_nationkey").cast("string")
+    images = n.select(F.concat("n_name", F.lit("_north.img")).alias("name")).unionByName(n.select(F.concat(F.lit("q"), key, F.lit(".img")).alias("name")))
+    none = F.lit(None).cast("string").alias("product_id")
+    labels = n.select(F.concat("n_name", F.lit(".lbl")).alias("name"), none).unionByName(n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("old_"), "n_name", F.lit("_north_2.xml")).alias("name"), none))
+    labels = labels.unionByName(n.select(F.concat(F.substring("n_name", 1, 2), F.lit(".lbl")).alias("name"), none))
+    labels = labels.unionByName(n.select(F.concat(F.lit("zz"), key, F.lit("zz.xml")).alias("name"), F.concat(F.lit("q"), (F.col("n_nationkey") + 1).cast("string"), F.lit(".lbl")).alias("product_id")))
     return C.associate(images, labels)
 
 
@@ -588,7 +731,86 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def subpixel_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth pixel by place is a corner to refine (the operator's own points)."""
+    """The source ends of all matches are the corners to refine."""
     i = roles.image(spark, sf_dir)
-    corners = i.filter("line % 10 = 0 and sample % 10 = 0").select("product_id", (F.col("line") * 64 + F.col("sample")).cast("long").alias("id"), F.col("sample").cast("double").alias("x"), F.col("line").cast("double").alias("y"))
+    corners = roles.points(spark, sf_dir).select(F.lit(0).cast("long").alias("product_id"), "id", F.col("sx").alias("x"), F.col("sy").alias("y"))
     return rounded(P.refined(i, corners), 6, "tx", "ty")
+
+
+# ---- gates, reasons, contracts, look-ups ----
+
+_GATE = """g AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 17 <> 0 THEN 's' END AS source_file, CASE WHEN o_orderkey % 19 <> 0 THEN 'r' END AS reference_file, CASE o_orderkey % 5 WHEN 0 THEN 'INCOMPLETE' WHEN 1 THEN 'UPLOADED_LABEL' WHEN 2 THEN 'DEMO' WHEN 3 THEN 'NOT_PROVIDED' ELSE 'CATALOG_METADATA' END AS source_status,
+ CASE WHEN o_orderkey % 13 = 0 THEN 'INCOMPLETE' ELSE 'UPLOADED_LABEL' END AS reference_status, CASE WHEN o_orderkey % 7 = 0 THEN 'PARTIAL' WHEN o_orderkey % 7 = 1 THEN NULL ELSE 'READY' END AS source_decoding, 'READY' AS reference_decoding, CASE WHEN o_orderkey % 11 = 0 THEN 'NOT_PROVIDED' ELSE 'VALID' END AS source_projection, 'VALID' AS reference_projection,
+ CASE o_orderkey % 4 WHEN 0 THEN 'VERIFIED' WHEN 1 THEN 'MISMATCH' END AS id_status, CASE WHEN o_orderkey % 3 = 0 THEN 'PENDING' ELSE 'VALID' END AS pair_status, CASE o_orderkey % 6 WHEN 0 THEN 'LRO_PDS3_BINARY' WHEN 1 THEN 'SCIENTIFIC_BINARY' WHEN 2 THEN NULL ELSE 'GEOTIFF' END AS reference_type, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 9 - 1 END AS reference_lines FROM orders)"""
+
+
+@query(f"""WITH {_GATE} SELECT id, source_file IS NOT NULL AND reference_file IS NOT NULL AND source_status NOT IN ('INCOMPLETE', 'NOT_PROVIDED') AND reference_status NOT IN ('INCOMPLETE', 'NOT_PROVIDED') AND coalesce(source_decoding = 'READY', false)
+ AND reference_decoding = 'READY' AND source_projection = 'VALID' AND reference_projection = 'VALID' AND coalesce(id_status, '') <> 'MISMATCH' AND pair_status = 'VALID' AS scientific_ready,
+ source_file IS NOT NULL AND reference_file IS NOT NULL AND (coalesce(reference_type, '') NOT IN ('LRO_PDS3_BINARY', 'SCIENTIFIC_BINARY') OR coalesce(reference_lines, 0) > 0) AS image_only_ready FROM g""")
+def run_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda n, *names: F.element_at(F.array(*[F.lit(x) for x in names]), (k % n + 1).cast("int"))
+    rows = roles.table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 17 != 0, "s").alias("source_file"), F.when(k % 19 != 0, "r").alias("reference_file"), pick(5, "INCOMPLETE", "UPLOADED_LABEL", "DEMO", "NOT_PROVIDED", "CATALOG_METADATA").alias("source_status"), F.when(k % 13 == 0, "INCOMPLETE").otherwise("UPLOADED_LABEL").alias("reference_status"),
+        pick(7, "PARTIAL", None, *["READY"] * 5).alias("source_decoding"), F.lit("READY").alias("reference_decoding"), F.when(k % 11 == 0, "NOT_PROVIDED").otherwise("VALID").alias("source_projection"), F.lit("VALID").alias("reference_projection"), pick(4, "VERIFIED", "MISMATCH", None, None).alias("id_status"),
+        F.when(k % 3 == 0, "PENDING").otherwise("VALID").alias("pair_status"), pick(6, "LRO_PDS3_BINARY", "SCIENTIFIC_BINARY", None, *["GEOTIFF"] * 3).alias("reference_type"), F.when(k % 9 > 0, k % 9 - 1).alias("reference_lines"),
+    )
+    return rows.select("id", S.scientific_ready().alias("scientific_ready"), S.image_only_ready().alias("image_only_ready"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS id, ['VALID', 'REJECTED', 'INSUFFICIENT_OVERLAP', 'PENDING'][o_orderkey % 4 + 1] AS status, CASE WHEN o_orderkey % 8 = 3 THEN 'PENDING' ELSE 'AVAILABLE' END AS s, CASE WHEN o_orderkey % 16 = 3 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS r, (o_orderkey % 997) / 7.0::DOUBLE AS pct, (o_orderkey % 89) / 13.0::DOUBLE AS area FROM orders)
+SELECT id, CASE WHEN status = 'PENDING' AND (s <> 'AVAILABLE' OR r <> 'AVAILABLE') THEN 'waiting for the ' || concat_ws(' and ', CASE WHEN s <> 'AVAILABLE' THEN 'source footprint' END, CASE WHEN r <> 'AVAILABLE' THEN 'reference footprint' END)
+ WHEN status = 'REJECTED' THEN 'the footprints don''t overlap; nothing was matched' WHEN status = 'INSUFFICIENT_OVERLAP' THEN printf('overlap is %.3f%% of the smaller footprint, at least %.3f%% is needed', pct, 0.1::DOUBLE)
+ WHEN status = 'VALID' THEN printf('overlap is %.3f%% of the smaller footprint, %.6f square degrees', pct, area) ELSE 'the overlap isn''t evaluated yet' END AS reason,
+ CASE status WHEN 'VALID' THEN 'Valid' WHEN 'REJECTED' THEN 'Rejected' WHEN 'INSUFFICIENT_OVERLAP' THEN 'Too little overlap' ELSE 'Pending' END AS label, CASE status WHEN 'VALID' THEN 'ok' WHEN 'PENDING' THEN 'warning' ELSE 'error' END AS display FROM s""")
+def pair_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("VALID", "REJECTED", "INSUFFICIENT_OVERLAP", "PENDING")]), (k % 4 + 1).cast("int"))
+    ends = F.when(k % 8 == 3, "PENDING").otherwise("AVAILABLE"), F.when(k % 16 == 3, "UNAVAILABLE").otherwise("AVAILABLE")
+    reason = T.pair_reason(status, *ends, (k % 997) / 7.0, F.lit(0.1), (k % 89) / 13.0)
+    record = T.status_record(status)
+    return roles.table(spark, sf_dir, "orders").select(k.alias("id"), reason.alias("reason"), record["label"].alias("label"), record["display"].alias("display"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 10 > 0 THEN p_size END AS lines, CAST(p_partkey % 7 * 10 AS INTEGER) AS samples, CASE WHEN p_partkey % 4 = 0 THEN 16 ELSE 8 END AS bits, CASE WHEN p_partkey % 9 > 0 THEN 'uint8' END AS dtype, CASE WHEN p_partkey % 11 > 0 THEN p_partkey % 3 * 100 END AS off FROM part),
+w AS (SELECT *, CASE WHEN lines > 0 AND samples > 0 THEN CAST(lines AS BIGINT) * samples * bits // 8 END AS want FROM c), z AS (SELECT *, coalesce(want, 50) + coalesce(off, 0) + (id % 3 - 1) AS size FROM w)
+SELECT id, CASE WHEN lines > 0 AND samples > 0 THEN lines || ' x ' || samples END AS dimensions, want AS expected_payload_bytes, CASE WHEN want IS NULL THEN 'UNKNOWN' WHEN id % 3 = 1 THEN 'VERIFIED' WHEN id % 3 = 0 THEN 'MISMATCH' ELSE 'PARTIAL' END AS size_status,
+ concat_ws(',', CASE WHEN want IS NULL THEN 'dimensions' END, CASE WHEN dtype IS NULL THEN 'sample_type' END, CASE WHEN off IS NULL THEN 'image_offset' END) AS missing, want IS NOT NULL AND dtype IS NOT NULL AND off IS NOT NULL AS resolved,
+ CASE WHEN want IS NULL OR dtype IS NULL OR off IS NULL THEN 'PENDING_METADATA' WHEN id % 3 = 0 THEN 'MISMATCH' WHEN id % 5 = 0 THEN 'FAILED' WHEN id % 3 = 2 THEN 'PARTIAL' ELSE 'READY' END AS readiness FROM z""")
+def raster_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = roles.table(spark, sf_dir, "part").select(
+        k.alias("id"), F.when(k % 10 > 0, F.col("p_size")).alias("lines"), (k % 7 * 10).cast("int").alias("samples"), F.when(k % 4 == 0, 16).otherwise(8).alias("sample_bits"), F.when(k % 9 > 0, "uint8").alias("dtype"), F.when(k % 11 > 0, k % 3 * 100).alias("image_offset"),
+        F.lit(None).cast("int").alias("record_bytes"), F.lit(None).cast("int").alias("image_pointer"), F.lit(None).cast("string").alias("image_pointer_unit"),
+    )
+    sized = rows.withColumn("length", F.coalesce(R.payload(F.col("lines"), F.col("samples"), F.col("sample_bits")), F.lit(50)) + F.coalesce(F.col("image_offset"), F.lit(0)) + (F.col("id") % 3 - 1))
+    ready = R.readiness(F.lit("SCIENTIFIC_BINARY"), F.col("size_status"), F.col("missing"), F.col("id") % 5 != 0)
+    return R.contract(sized).select("id", "dimensions", "expected_payload_bytes", "size_status", F.array_join("missing", ",").alias("missing"), "resolved", ready.alias("readiness"))
+
+
+@query(f"WITH {roles.IMAGE} SELECT product_id, max(line) + 1 AS lines, max(sample) + 1 AS samples, min(value) AS least, max(value) AS largest, round(avg(value), 6) AS mean FROM image GROUP BY product_id")
+def display_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.display_stats(_dense(spark, sf_dir)), 6, "mean")
+
+
+@query(f"""WITH {roles.POINTS}, {roles.IMAGE}, k AS (SELECT CAST(line % 3 AS BIGINT) AS pair_id, CAST(line // 3 AS INTEGER) AS line, sample, valid FROM image), e AS (SELECT pair_id, max(line) AS ml, max(sample) AS ms FROM k GROUP BY pair_id),
+p AS (SELECT p.pair_id, p.id, e.pair_id IS NULL AS free, greatest(0, least(ml, CAST(round_even(sy, 0) AS INTEGER))) AS l, greatest(0, least(ms, CAST(round_even(sx * 1.5, 0) AS INTEGER))) AS s FROM points p LEFT JOIN e ON e.pair_id = p.pair_id)
+SELECT p.pair_id AS pair_id, id, free OR coalesce(valid, false) AS s_valid FROM p LEFT JOIN k ON k.pair_id = p.pair_id AND k.line = l AND k.sample = s""")
+def mask_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = roles.image(spark, sf_dir).select((F.col("line") % 3).cast("long").alias("pair_id"), F.floor(F.col("line") / 3).cast("int").alias("line"), "sample", "valid")
+    points = roles.points(spark, sf_dir).withColumn("sx", F.col("sx") * 1.5)
+    return P.on_mask(points, mask, "sx", "sy", "s_valid").select("pair_id", "id", "s_valid")
+
+
+@query("""SELECT n_name AS path, CAST(n_nationkey + 1 AS INTEGER) AS lines, CAST(n_nationkey * 2 AS INTEGER) AS samples, CASE WHEN n_nationkey % 2 = 0 THEN 3 END AS bands, CAST(800.5 + n_nationkey AS DOUBLE) AS wavelength_min, CAST(1000.0 + n_nationkey AS DOUBLE) AS wavelength_max FROM nation""")
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    text = F.concat(F.lit("ENVI\nsamples = "), k * 2, F.lit("\nLines   = "), k + 1, F.when(k % 2 == 0, "\nbands = 3").otherwise(""), F.lit("\nwavelength = {\n "), 800.5 + k, F.lit(", "), 1000.0 + k, F.lit(",\n "), 900.25 + k, F.lit("}\n"))
+    return L.parse_headers(roles.table(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), text.alias("text"))).drop("wavelengths")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500")
+def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 of a table in its order; the limit is the feature."""
+    o = roles.table(spark, sf_dir, "orders").withColumn("rank", -F.col("o_totalprice"))
+    return K.preview(o, ["rank", "o_orderkey"]).select("o_orderkey", "o_totalprice")

@@ -35,6 +35,19 @@ def resolve(providers: dict[str, tuple[int, DataFrame]]) -> DataFrame:
     return every.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
+def from_json(texts: DataFrame, schema: str) -> DataFrame:
+    """product_id and the fields of a schema from catalog JSON (path, text); text that doesn't parse gives nulls. Lists give a row per record."""
+    record = F.from_json("text", f"struct<{schema}>")
+    many = F.from_json("text", f"array<struct<{schema}>>")
+    rows = texts.withColumn("records", F.when(F.ltrim("text").startswith("["), many).otherwise(F.array(record)))
+    return rows.select("path", F.explode_outer("records").alias("r")).select("path", "r.*")
+
+
+def manual_row(form: DataFrame) -> DataFrame:
+    """Manual entries with the sun's elevation as 90 less the incidence where that is given."""
+    return form.withColumn("sun_elevation_deg", 90.0 - F.col("solar_incidence_deg").cast("double"))
+
+
 def merge_manual(parsed: DataFrame, manual: DataFrame, fields: list[str]) -> DataFrame:
     """Parsed rows with manual values that aren't blank put over them."""
     m = manual.select("product_id", *[F.col(c).alias(f"m_{c}") for c in fields])
@@ -46,15 +59,28 @@ def stem(name: Column) -> Column:
     return F.lower(F.regexp_replace(X.base_name(name), r"\.[^.]*$", ""))
 
 
+#: Letters of a stem by which the longer one is looked up.
+GRAM = 4
+
+
 def associate(images: DataFrame, labels: DataFrame) -> DataFrame:
-    """image, label whose stems are equal or one within the other; labels are few beside images, and are broadcast if small enough.
+    """image, label whose stems are equal or one within the other, or where the image's id is the label's parsed product id.
 
-    Equal stems meet in an equi-join; containment is asked of words of the stems first, so no cross product is formed where stems have words.
+    labels: name, and product_id if the labels were parsed. A stem lies within another only if its first GRAM letters (all, if it
+    has fewer) do, so the two meet in an equi-join on these and no cross product is formed. Empty stems meet by id only.
     """
-    i = images.select(F.col("name").alias("image"), stem(F.col("name")).alias("si"))
-    j = labels.select(F.col("name").alias("label"), stem(F.col("name")).alias("sl"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda k: c.substr(k, F.lit(4))))
-    # the shorter stem's first four letters are among the four-letter strings of the longer one
-    left = i.withColumn("g", F.explode(grams(F.col("si")))).join(j.withColumn("g", F.substring("sl", 1, 4)), "g").filter(F.expr("instr(si, sl)") > 0)
-    right = j.withColumn("g", F.explode(grams(F.col("sl")))).join(i.withColumn("g", F.substring("si", 1, 4)), "g").filter(F.expr("instr(sl, si)") > 0)
-    return left.select("image", "label").unionByName(right.select("image", "label")).distinct()
+    i = images.select(F.col("name").alias("image"), stem(F.col("name")).alias("si")).filter("image is not null")
+    j = labels.select(F.col("name").alias("label"), stem(F.col("name")).alias("sl")).filter("label is not null")
+
+    def within(longer: DataFrame, long: str, shorter: DataFrame, short: str) -> DataFrame:
+        size = F.length(long)
+        each = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda k: F.col(long).substr(k, n))).otherwise(F.array().cast("array<string>"))))
+        keyed = longer.withColumn("g", F.explode(F.array_distinct(each)))
+        return keyed.join(shorter.withColumn("g", F.substring(short, 1, GRAM)), "g").filter(F.expr(f"instr({long}, {short}) > 0")).select("image", "label")
+
+    found = within(i, "si", j.filter("sl <> ''"), "sl").unionByName(within(j, "sl", i.filter("si <> ''"), "si"))
+    if "product_id" in labels.columns:
+        ids = labels.select(F.col("name").alias("label"), X.product_id(F.col("product_id")).alias("pid")).filter("label is not null and pid is not null")
+        named = images.select(F.col("name").alias("image"), X.product_id(F.col("name")).alias("pid")).filter("image is not null")
+        found = found.unionByName(named.join(ids, "pid").select("image", "label"))
+    return found.distinct()

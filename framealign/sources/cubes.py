@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import struct
+import xml.etree.ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,11 +56,49 @@ def inspect(files: DataFrame) -> DataFrame:
 
 
 def parse_cube_labels(files: DataFrame) -> DataFrame:
-    """XML labels of cubes: the general fields, and the sensor by the instrument's name."""
-    return L.parse_xml_labels(files).select("path", "product_id", "instrument", "sensor_type", "lines", "samples", "gsd_m_per_pixel", "error_message")
+    """XML labels of cubes: the general fields, bands, lines and samples of the axes of 3-D or 2-D arrays, and the sensor by the instrument's name."""
+
+    @F.pandas_udf("bands int, lines int, samples int, instrument string")
+    def axes(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([array_axes(t) for t in text], columns=["bands", "lines", "samples", "instrument"]).astype({"bands": "Int32", "lines": "Int32", "samples": "Int32"})
+
+    found = files.select("path", axes("text").alias("a")).select("path", F.col("a.bands").alias("bands"), F.col("a.lines").alias("al"), F.col("a.samples").alias("asm"), F.col("a.instrument").alias("ai"))
+    general = L.parse_xml_labels(files).join(found, "path").withColumns({"lines": F.coalesce("al", "lines"), "samples": F.coalesce("asm", "samples"), "instrument": F.coalesce("ai", "instrument"), "sensor_type": F.when(F.col("ai").isNotNull(), "IIRS").otherwise(F.col("sensor_type"))})
+    return general.select("path", "product_id", "instrument", "sensor_type", "bands", "lines", "samples", "gsd_m_per_pixel", "error_message")
+
+
+def array_axes(text: str | None) -> tuple[int | None, int | None, int | None, str | None]:
+    """bands, lines, samples of the arrays of a label, and the first name of an imaging infrared spectrometer in it."""
+    try:
+        root = ET.fromstring(text or "")
+    except ET.ParseError:
+        return None, None, None, None
+    local = lambda e: e.tag.rsplit("}", 1)[-1] if isinstance(e.tag, str) else ""
+    found: dict[str, int] = {}
+    name = None
+    for e in root.iter():
+        said = (e.text or "").strip()
+        if name is None and local(e).lower() in ("name", "instrument") and any(x in said.lower() for x in ("iirs", "imaging infrared spectrometer")):
+            name = said
+        if not local(e).startswith(("Array_3D", "Array_2D")):
+            continue
+        for axis in (a for a in e.iter() if local(a) == "Axis_Array"):
+            held = {local(c): (c.text or "").strip() for c in axis.iter()}
+            called, count = held.get("axis_name", "").lower(), held.get("elements", "")
+            kind = next((k for k, words in (("bands", ("band", "spectr")), ("lines", ("line",)), ("samples", ("sample",))) if any(w in called for w in words)), None)
+            if kind and count.isdigit():
+                found[kind] = int(count)
+    return found.get("bands"), found.get("lines"), found.get("samples"), name
+
+
+# The two products of the demo pair.
+DEMO = (
+    ("ch2_ohr_ncp_20190906T2241285714_d_img_gds", "Chandrayaan-2", "OHRC", "OHRC", "2019-09-06T22:41:28.5714Z", 0.24, 80000, 12000, -70.85, 22.75, -70.86, 23.45, -71.46, 23.40, -71.45, 22.70, 65.4, 14.8, 75.2, 100.2, "DEMO"),
+    ("M1534362340LE", "Lunar Reconnaissance Orbiter", "LROC NAC", "LROC_NAC", "2021-03-12T14:15:30.000Z", 1.8669, 52224, 5064, -70.60, 22.40, -70.62, 23.80, -71.72, 23.75, -71.70, 22.35, 72.1, 18.5, 71.5, 50.4, "DEMO"),
+)
 
 
 def demo_pair(spark: SparkSession) -> DataFrame:
-    """Two boxes near the south pole that overlap: a fixture, marked as such."""
-    rows = [("demo_source", "OHRC", 0.25, -89.2, -89.0, 220.0, 230.0, "DEMO"), ("demo_reference", "LROC_NAC", 1.0, -89.3, -88.9, 215.0, 235.0, "DEMO")]
-    return spark.createDataFrame(rows, "product_id string, sensor_type string, gsd_m_per_pixel double, min_a double, max_a double, min_b double, max_b double, metadata_source string")
+    """The demo pair's source and reference as metadata rows, marked as such."""
+    corners = ", ".join(f"{c}_{a} double" for c in L.CORNERS for a in ("lat", "lon"))
+    return spark.createDataFrame(DEMO, f"product_id string, mission string, instrument string, sensor_type string, start_time string, gsd_m_per_pixel double, lines int, samples int, {corners}, sun_azimuth_deg double, sun_elevation_deg double, solar_incidence_deg double, altitude_km double, metadata_source string")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,12 +42,23 @@ def keyword(text: Column, key: str) -> Column:
     return X.blank_to_null(bare)
 
 
-def keyword_number(text: Column, key: str) -> Column:
-    return F.when(keyword(text, key).isNotNull(), X.blank_to_null(F.regexp_extract(keyword(text, key), _NUMBER, 0))).cast("double")
+_LINE = r"(?im)^\s*([^\s=]+)\s*=(?=\s*(.+?)\s*$)"
 
 
-def keyword_int(text: Column, key: str) -> Column:
-    return X.blank_to_null(F.regexp_extract(keyword(text, key), r"\d+", 0)).cast("int")
+def _lines(labels: DataFrame) -> DataFrame:
+    """labels with the keys (upper case) and values of all `KEY = VALUE` lines, found in one pass; values as in `keyword`."""
+    text = F.substring(F.col("text"), 1, HEAD)
+    bare = lambda v: F.regexp_replace(F.regexp_replace(F.trim(v), "^[\"']+|[\"']+$", ""), "<.*?>", "")
+    return labels.select(
+        "path", text.alias("_text"), F.transform(F.regexp_extract_all(text, F.lit(_LINE), F.lit(1)), F.upper).alias("_keys"),
+        F.transform(F.regexp_extract_all(text, F.lit(_LINE), F.lit(2)), bare).alias("_values"),
+    )
+
+
+def _value(key: str) -> Column:
+    """Value of the first line of a key in `_lines`, null if there is none."""
+    at = F.array_position("_keys", F.lit(key))
+    return X.blank_to_null(F.when(at > 0, F.try_element_at(F.col("_values"), at.cast("int"))))
 
 
 def _first(*columns: Column) -> Column:
@@ -55,8 +67,9 @@ def _first(*columns: Column) -> Column:
 
 def parse_keyword_labels(labels: DataFrame) -> DataFrame:
     """The metadata row of each keyword label."""
-    t = F.substring(F.col("text"), 1, HEAD)
-    num, whole, word = (lambda k: keyword_number(t, k)), (lambda k: keyword_int(t, k)), (lambda k: keyword(t, k))
+    labels, t, word = _lines(labels), F.col("_text"), _value
+    num = lambda k: X.blank_to_null(F.regexp_extract(word(k), _NUMBER, 0)).cast("double")
+    whole = lambda k: X.blank_to_null(F.regexp_extract(word(k), r"\d+", 0)).cast("int")
     positive = lambda c: F.when(c != 0, c)
     pointer = F.regexp_replace(F.regexp_extract(t, r"(?im)^\s*\^IMAGE\s*=\s*([^\r\n]+)", 1), r"\"[^\"]*\"", "")
     raw_unit = F.upper(X.blank_to_null(F.regexp_extract(pointer, r"<\s*([^>]+)>", 1)))
@@ -111,6 +124,7 @@ SPELLINGS = {
 }
 
 
+@lru_cache(maxsize=10_000)
 def _snake(name: str) -> str:
     bare = name.rsplit("}", 1)[-1]
     return re.sub(r"[^A-Za-z0-9]+", "_", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", bare)).strip("_").lower()
@@ -130,9 +144,13 @@ def parse_xml(text: str | None) -> dict:
         return out | {"error_message": f"not XML: {e}"}
     nodes = [(_snake(e.tag), e) for e in root.iter() if isinstance(e.tag, str)]
     value = lambda e: (e.text or "").strip() or None
+    firsts: dict[str, tuple[int, str]] = {}  # place and value of the first element of each name that has one
+    for at, (n, e) in enumerate(nodes):
+        if n not in firsts and (v := value(e)):
+            firsts[n] = (at, v)
 
     def first(*names: str) -> str | None:
-        return next((v for n, e in nodes if n in names and (v := value(e))), None)
+        return min((firsts[n] for n in names if n in firsts), default=(0, None))[1]
 
     for field, names in SPELLINGS.items():
         found = first(*names)
@@ -147,8 +165,7 @@ def parse_xml(text: str | None) -> dict:
         return next((value(c) for c in e.iter() if isinstance(c.tag, str) and _snake(c.tag) == name and c is not e), None)
 
     for n, e in nodes:
-        kind = (e.attrib.get("type") or child(e, "type") or "").lower()
-        if n == "observing_system_component" and kind == "instrument":
+        if n == "observing_system_component" and (e.attrib.get("type") or child(e, "type") or "").lower() == "instrument":
             out["instrument"] = out["instrument"] or child(e, "name")
         elif n == "investigation_area":
             out["mission"] = out["mission"] or child(e, "name")
@@ -194,7 +211,7 @@ def _corners(out: dict, nodes: list, first) -> None:  # noqa: ANN001
 
 
 def _resolution(out: dict, first) -> None:  # noqa: ANN001
-    """Explicit tag, pixel sizes, a phrase in a comment, then optics."""
+    """Explicit tag, pixel sizes, a phrase in a comment, optics, then a projected extent over the dimensions."""
     x, y = _float(first("pixel_resolution_x", "pixel_size_x", "x_pixel_size")), _float(first("pixel_resolution_y", "pixel_size_y", "y_pixel_size"))
     sizes = [v for v in (x, y) if v]
     phrase = re.search(r"(\d+(?:\.\d+)?)\s*(?:m|meter|metre)s?\b[^.]{0,20}resolution", " ".join(filter(None, (first("comment"), first("description"))))) if first("comment", "description") else None
@@ -202,13 +219,22 @@ def _resolution(out: dict, first) -> None:  # noqa: ANN001
     if out["altitude_km"] and out["focal_length_mm"] and out["detector_pixel_width_um"]:
         optics = out["altitude_km"] * out["detector_pixel_width_um"] / out["focal_length_mm"]
         optics = round(optics, 2) if 0.01 <= optics <= 1000 else None
-    for source, v in (("tag", _float(first(*SPELLINGS["gsd"]))), ("pixel_size", sum(sizes) / len(sizes) if sizes else None), ("comment", float(phrase[1]) if phrase else None), ("optics", optics)):
+    ends = [_float(first(*names)) for names in (("x_min", "minimum_x", "westing_min"), ("x_max", "maximum_x", "westing_max"), ("y_min", "minimum_y", "southing_min"), ("y_max", "maximum_y", "southing_max"))]
+    extent = None
+    if out["lines"] and out["samples"] and all(v is not None for v in ends):
+        per = abs(ends[1] - ends[0]) / out["samples"], abs(ends[3] - ends[2]) / out["lines"]
+        extent = sum(per) / 2 if min(per) > 0 else None
+    for source, v in (("tag", _float(first(*SPELLINGS["gsd"]))), ("pixel_size", sum(sizes) / len(sizes) if sizes else None), ("comment", float(phrase[1]) if phrase else None), ("optics", optics), ("extent", extent)):
         if v:
             out["gsd_m_per_pixel"], out["gsd_source"] = v, source
             return
 
 
-def parse_xml_labels(labels: DataFrame) -> DataFrame:
+def parse_xml_labels(labels: DataFrame, spread: int | None = None) -> DataFrame:
+    """The metadata row of each XML label; spread: tasks over which to deal out labels that come in few partitions."""
+    if spread:
+        labels = labels.repartition(spread)
+
     @F.pandas_udf(XML_SCHEMA)
     def parsed(text: pd.Series) -> pd.DataFrame:
         rows = pd.DataFrame([parse_xml(t) for t in text], columns=XML_SCHEMA.fieldNames())
@@ -222,7 +248,26 @@ def parse_xml_labels(labels: DataFrame) -> DataFrame:
 
 
 def footprint_text(c: Column) -> Column:
-    """First four pairs of numbers of a free text, null if it has fewer than eight."""
+    """Four pairs of numbers of a text: a JSON list of pairs (fewer than four give null), else the first eight numbers; null if it has fewer."""
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    listed = F.from_json(c, "array<array<double>>")
+    good = F.filter(F.slice(listed, 1, 4), lambda x: F.size(x) >= 2)
     numbers = F.transform(F.regexp_extract_all(c, F.lit(r"([-+]?\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(numbers[2 * i].alias("a"), numbers[2 * i + 1].alias("b")))
-    return F.when(F.size(numbers) >= 8, pairs)
+    free = F.when(F.size(numbers) >= 8, F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: pair(numbers[2 * i], numbers[2 * i + 1])))
+    as_json = F.trim(c).rlike(r"(?s)^\[\s*\[.*\]$") & listed.isNotNull()
+    return F.when(as_json, F.when(F.size(good) == 4, F.transform(good, lambda x: pair(x[0], x[1])))).otherwise(free)
+
+
+def footprint_of(corners: Column) -> Column:
+    """The same four pairs of a struct with upper_left, upper_right, lower_left, lower_right (each an array of two); null if one is missing."""
+    names = ("upper_left", "upper_right", "lower_left", "lower_right")
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & F.coalesce(F.size(corners[n]) >= 2, F.lit(False))
+    return F.when(ok, F.array(*[F.struct(corners[n][0].cast("double").alias("a"), corners[n][1].cast("double").alias("b")) for n in names]))
+
+
+def empty_metadata(spark: SparkSession) -> DataFrame:
+    """One row without metadata: all fields null, sensor Unknown, not valid."""
+    nothing = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in XML_SCHEMA.fields])
+    return nothing.withColumns({"sensor_type": F.lit("Unknown"), "valid": F.lit(False), "validation_errors": F.array(F.lit("no metadata"))})

@@ -11,6 +11,17 @@ def save_experiment(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pair_id").parquet(path)
 
 
+def save_run(parts: dict[str, DataFrame], path: str) -> None:
+    """The parts of runs (metadata, config, metrics ...; each with pair_id) as JSON, each under its own folder and a folder per pair."""
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("pair_id").json(f"{path}/{name}")
+
+
+def load_run(spark: SparkSession, path: str, name: str, schema: str, pair_id) -> DataFrame:  # noqa: ANN001
+    """One part of a pair's run; only its folder is read."""
+    return spark.read.schema(schema).json(f"{path}/{name}").filter(F.col("pair_id") == pair_id)
+
+
 def list_experiments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("pair_id").distinct().orderBy("pair_id")
 

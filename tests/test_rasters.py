@@ -65,7 +65,7 @@ def test_pixel_kernels(spark):
     assert np.allclose(shift[1:14, 3:17], (a[:13, :14] + a[:13, 1:15]) / 2, equal_nan=True)
     same = P.tiled(df, lambda v, ok: v * 2, 3, tile=5)
     assert np.allclose(dense(same, 14, 17), a * 2) and same.count() == a.size
-    assert P.equalised(np.zeros((20, 20), np.uint8)).max() <= 255 and P.stretch(image(spark, np.ones((20, 20)))).first().status == "FAILED"
+    assert P.stretch(image(spark, np.ones((20, 20)))).first().status == "FAILED"
     assert P.crop(df, F.lit(2), F.lit(5), F.lit(1), F.lit(4)).count() == 9
 
 
@@ -84,18 +84,87 @@ def test_spectral(spark):
     z = H.normalise(clean, "standardize").filter("valid").groupBy("band").agg(F.avg("value"), F.stddev_pop("value")).collect()
     assert all(abs(r[1]) < 1e-9 and abs(r[2] - 1) < 1e-9 for r in z)
     vec = clean.groupBy("product_id", "line", "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "value"))), lambda x: x["value"]).alias("v"))
-    means, loadings, share = H.principal_components(vec, "v", 4, 4)
+    found = H.principal_components(vec, "v", 4)
     x = np.array([r.v for r in vec.collect()])
     values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    share = found.first().share
     assert np.allclose(share, values / values.sum()) and (np.diff(share) <= 1e-12).all()
-    pc = np.array([tuple(r)[-4:] for r in H.project_components(vec, "v", means, loadings).collect()])
+    pc = np.array([tuple(r)[-4:] for r in H.project_components(vec, "v", found, 4).collect()])
     assert np.allclose(np.cov(pc.T), np.diag(values), atol=1e-6)
-    for mode in ("automatic", "composite", "selected_band"):
+    for mode in ("automatic", "pca", "composite", "selected_band", "gradient", "something else"):
         out = H.representation(clean, 4, mode).collect()
         assert len(out) == 48 and all(0 <= r.value <= 255 for r in out)
     assert H.validate(df.withColumn("valid", H.usable(F.col("value")))).first().status == "ok"
 
 
+def test_components_are_of_each_product(spark):
+    rng = np.random.default_rng(8)
+    x = {p: rng.normal(size=(n, 3)) * scale + p for p, n, scale in ((1, 40, (5, 1, 0.1)), (2, 25, (0.1, 1, 7)), (3, 1, (1, 1, 1)))}
+    rows = [(p, k, [float(a) for a in r]) for p, held in x.items() for k, r in enumerate(held)] + [(1, 99, None)]
+    df = spark.createDataFrame(rows, "product_id long, k long, v array<double>").repartition(5)
+    cov = {(r.product_id, r.i, r.j): r.cov for r in H.covariance(df, "v").collect()}
+    assert len(cov) == 12 and all(np.isclose(cov[p, i, j], np.cov(x[p].T)[i, j]) for p, i, j in cov)
+    found = {r.product_id: r for r in H.principal_components(df, "v").collect()}
+    assert sorted(found) == [1, 2]
+    assert abs(found[1].loadings[0][0]) > 0.9 and abs(found[2].loadings[0][2]) > 0.9 and all(max(row, key=abs) > 0 for r in found.values() for row in r.loadings)
+    scored = H.project_components(df, "v", H.principal_components(df, "v")).collect()
+    assert all((r.pc1 is None) == (r.product_id == 3 or r.v is None) for r in scored)
+
+
+def equalised(image, limit=2.0, grid=8):
+    """The same operator over a whole array."""
+    h, w = image.shape
+    fy, fx = (h - 1 + grid) // grid, (w - 1 + grid) // grid
+    ny, nx = (h - 1) // fy + 1, (w - 1) // fx + 1
+    maps = np.zeros((ny, nx, 256))
+    for i in range(ny):
+        for j in range(nx):
+            part = image[i * fy : (i + 1) * fy, j * fx : (j + 1) * fx].ravel()
+            hist = np.bincount(part, minlength=256).astype(float)
+            most = max(1.0, limit * len(part) / 256)
+            maps[i, j] = np.cumsum(np.minimum(hist, most) + np.maximum(hist - most, 0).sum() / 256) * 255 / len(part)
+    out = np.zeros((h, w))
+    for y in range(h):
+        for x in range(w):
+            v, u = (y + 0.5) / fy - 0.5, (x + 0.5) / fx - 0.5
+            i, j = min(ny - 1, max(0, int(np.floor(v)))), min(nx - 1, max(0, int(np.floor(u))))
+            a, b = min(1, max(0, v - i)), min(1, max(0, u - j))
+            i1, j1 = min(ny - 1, i + 1), min(nx - 1, j + 1)
+            at = maps[:, :, image[y, x]]
+            out[y, x] = (1 - a) * ((1 - b) * at[i, j] + b * at[i, j1]) + a * ((1 - b) * at[i1, j] + b * at[i1, j1])
+    return np.rint(np.round(np.clip(out, 0, 255), 6)).astype(int)
+
+
+def test_equalise_is_over_the_whole_image(spark):
+    rng = np.random.default_rng(6)
+    a = np.clip(rng.normal(90, 20, (37, 300)) + np.arange(300)[None, :] / 4, 0, 255).astype(np.uint8)
+    rows = [(7, y, x, float(a[y, x]), True) for y in range(37) for x in range(300)]
+    got = P.equalise(spark.createDataFrame(rows, "product_id long, line int, sample int, value double, valid boolean")).collect()
+    out = np.zeros(a.shape, int)
+    for r in got:
+        out[r.line, r.sample] = r.value
+    assert len(got) == a.size and (out == equalised(a)).all()
+
+
+def test_resize_kinds(spark):
+    a = np.arange(48, dtype=float).reshape(6, 8) ** 1.5
+    df = spark.createDataFrame([(1, y, x, float(a[y, x]), (y, x) != (0, 0)) for y in range(6) for x in range(8)], "product_id long, line int, sample int, value double, valid boolean")
+
+    def run(h, w, kind):
+        out, ok = np.full((h, w), np.nan), np.zeros((h, w), bool)
+        for r in P.resize(df, h, w, kind).collect():
+            out[r.line, r.sample], ok[r.line, r.sample] = r.value, r.valid
+        return out, ok
+
+    assert np.allclose(run(3, 4, "area")[0], a.reshape(3, 2, 4, 2).mean(axis=(1, 3)))
+    assert np.allclose(run(12, 16, "nearest")[0], np.kron(a, np.ones((2, 2)))) and run(12, 16, "nearest")[1].sum() == 12 * 16 - 4
+    ys, xs = np.clip((np.arange(9) + 0.5) * 6 / 9 - 0.5, 0, 5), np.clip((np.arange(5) + 0.5) * 8 / 5 - 0.5, 0, 7)
+    rows = np.array([np.interp(xs, np.arange(8), r) for r in a])
+    assert np.allclose(run(9, 5, "linear")[0], np.array([np.interp(ys, np.arange(6), c) for c in rows.T]).T)
+    assert np.allclose(run(6, 8, "lanczos")[0], a) and not np.isnan(run(7, 9, "lanczos")[0]).any()
+    assert np.allclose(run(4, 3, "area")[0].mean(), a.mean())
+
+
 def test_store_and_refresh(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2.0), (2, 3.0)], "pair_id long, e double")
     path = str(tmp_path / "runs")
