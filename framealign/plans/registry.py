@@ -731,9 +731,10 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def subpixel_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The source ends of all matches are the corners to refine."""
+    """The different source ends of all matches are the corners to refine."""
     i = roles.image(spark, sf_dir)
-    corners = roles.points(spark, sf_dir).select(F.lit(0).cast("long").alias("product_id"), "id", F.col("sx").alias("x"), F.col("sy").alias("y"))
+    ends = roles.points(spark, sf_dir).select(F.col("sx").alias("x"), F.col("sy").alias("y")).distinct()
+    corners = ends.select(F.lit(0).cast("long").alias("product_id"), (F.col("x") * 1000 + F.col("y")).cast("long").alias("id"), "x", "y")
     return rounded(P.refined(i, corners), 6, "tx", "ty")
 
 

@@ -1,76 +1,125 @@
 """Raw rasters and numpy arrays as DataFrames: Python data sources `raw_raster` and `npy_cube`.
 
-Both split a file into ranges of lines, seek to each and give long rows (product_id, band, line, sample, value, valid). Options: path,
-lines, samples, offset, dtype, prefix, suffix (bytes around each line), stride, rows (lines per partition). Filters on line are taken
-over by the reader, so a window of an image reads its lines only. The path must be readable where tasks run.
+Both split files into ranges of lines, seek to each and give long rows (product_id, band, line, sample, value, valid). Options: path,
+lines, samples, offset, dtype, prefix, suffix (bytes around each line), stride, rows (lines per partition), product_id (of a single
+file; else the name of each). Filters on line and sample are taken over by the reader, so a window of an image reads its lines only
+and gives its samples only.
+
+A path is a local one or a URI of any file system that Arrow knows (file, hdfs, s3, gs ...), a file, a folder or a pattern of names
+(* and ?) in a folder, or several with commas between them. All tasks must reach it.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import os
 from collections.abc import Iterator
+from math import prod
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from .cubes import npy_header
+
 SCHEMA = "product_id string, band int, line int, sample int, value float, valid boolean"
 ROWS = 256
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def files_of(path: str) -> list[tuple[str, int]]:
+    """Files (as they can be opened again) and sizes of a path option."""
+    out = []
+    for one in path.split(","):
+        folder, _, name = one.rpartition("/")
+        pattern = any(c in name for c in "*?")  # in a URI these would mean something else
+        system, place = file_system((folder or ".") if pattern else one)
+        asked = folder if pattern else one
+        head = asked[: len(asked) - len(place)] if asked.endswith(place) else ""
+        info = system.get_file_info(place)
+        if info.type == fs.FileType.File:
+            out.append((one, info.size))
+            continue
+        for found in system.get_file_info(fs.FileSelector(place, allow_not_found=True)):
+            if found.type == fs.FileType.File and fnmatch.fnmatch(found.base_name, name if pattern else "*") and not found.base_name.startswith((".", "_")):
+                out.append((head + found.path, found.size))
+    if not out:
+        raise FileNotFoundError(f"no file at {path}")
+    return sorted(out)
+
+
+def read_range(path: str, start: int, size: int) -> bytes:
+    system, place = file_system(path)
+    with system.open_input_file(place) as f:
+        f.seek(start)
+        return f.read(size)
+
+
 class Lines(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
 
 
 class _Reader(DataSourceReader):
+    positive = True
+
     def __init__(self, options: dict):
-        self.path, self.stride = options["path"], max(1, int(options.get("stride", 1)))
-        self.rows = max(1, int(options.get("rows", ROWS)))
-        self.product = options.get("product_id", os.path.splitext(os.path.basename(self.path))[0].upper())
-        self.low, self.high = 0, None
+        self.files = files_of(options["path"])
+        self.stride, self.rows = max(1, int(options.get("stride", 1))), max(1, int(options.get("rows", ROWS)))
+        self.named = options.get("product_id") if len(self.files) == 1 else None
+        self.low, self.high = {"line": 0, "sample": 0}, {"line": 1 << 62, "sample": 1 << 62}
+
+    def product(self, path: str) -> str:
+        return self.named or os.path.splitext(path.rsplit("/", 1)[-1])[0].upper()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        """Line bounds narrow the ranges; every filter is still checked by Spark."""
+        """Bounds of line and sample narrow the ranges; every filter is still checked by Spark."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("line",):
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, int(f.value))
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.high = min(self.high if self.high is not None else 1 << 62, int(f.value) + 1)
-                elif isinstance(f, EqualTo):
-                    self.low, self.high = max(self.low, int(f.value)), min(self.high if self.high is not None else 1 << 62, int(f.value) + 1)
+            name = (getattr(f, "attribute", None) or ("",))[0]
+            if name in self.low:
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    self.low[name] = max(self.low[name], int(f.value))
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    self.high[name] = min(self.high[name], int(f.value) + 1)
             yield f
 
-    def lines(self) -> int:
+    def lines(self, path: str) -> int:
         raise NotImplementedError
 
-    def block(self, start: int, stop: int) -> np.ndarray:
+    def block(self, path: str, start: int, stop: int) -> np.ndarray:
         """Values (band, line, sample) of a range of lines."""
         raise NotImplementedError
 
     def partitions(self) -> list[Lines]:
-        high = min(self.lines(), self.high if self.high is not None else self.lines())
-        return [Lines(s, min(s + self.rows, high)) for s in range(self.low, high, self.rows)]
+        out = []
+        for path, _ in self.files:
+            high = min(self.lines(path), self.high["line"])
+            out += [Lines(path, s, min(s + self.rows, high)) for s in range(self.low["line"], high, self.rows)]
+        return out
 
     def read(self, part: Lines) -> Iterator[pa.RecordBatch]:
+        first = -(-self.low["sample"] // self.stride) * self.stride
         for start in range(part.start, part.stop, 32):
             stop = min(start + 32, part.stop)
             wanted = [k for k in range(start, stop) if k % self.stride == 0]
             if not wanted:
                 continue
-            values = self.block(start, stop)[:, [k - start for k in wanted], :: self.stride].astype(np.float32)
+            whole = self.block(part.path, start, stop)
+            values = whole[:, [k - start for k in wanted], first : min(self.high["sample"], whole.shape[2]) : self.stride].astype(np.float32)
             bands, n, m = values.shape
             flat = values.ravel()
             yield pa.record_batch(
-                [pa.array([self.product] * len(flat)), pa.array(np.repeat(np.arange(bands, dtype=np.int32), n * m)), pa.array(np.tile(np.repeat(np.array(wanted, np.int32), m), bands)),
-                 pa.array(np.tile(np.arange(0, m * self.stride, self.stride, dtype=np.int32), bands * n)), pa.array(flat), pa.array(np.isfinite(flat) & (flat > 0 if self.positive else True))],
+                [pa.array([self.product(part.path)] * len(flat), pa.string()), pa.array(np.repeat(np.arange(bands, dtype=np.int32), n * m)), pa.array(np.tile(np.repeat(np.array(wanted, np.int32), m), bands)),
+                 pa.array(np.tile(first + np.arange(0, m * self.stride, self.stride, dtype=np.int32), bands * n).astype(np.int32)), pa.array(flat), pa.array(np.isfinite(flat) & (flat > 0 if self.positive else True))],
                 names=["product_id", "band", "line", "sample", "value", "valid"],
             )
 
-    positive = True
-
 
 class RawReader(_Reader):
     def __init__(self, options: dict):
@@ -81,42 +130,53 @@ class RawReader(_Reader):
         self.step = self.prefix + self.samples * self.dtype.itemsize + self.suffix
         if self.count <= 0 or self.samples <= 0:
             raise ValueError("lines and samples must be positive")
-        if os.path.getsize(self.path) < self.offset + self.step * self.count - self.suffix:
-            raise ValueError("the file is shorter than its declared raster")
+        for path, size in self.files:
+            if size < self.offset + self.step * self.count - self.suffix:
+                raise ValueError(f"the file is shorter than its declared raster: {path}")
 
-    def lines(self) -> int:
+    def lines(self, path: str) -> int:
         return self.count
 
-    def block(self, start: int, stop: int) -> np.ndarray:
-        with open(self.path, "rb") as f:
-            f.seek(self.offset + start * self.step)
-            raw = f.read((stop - start) * self.step)
-        raw = raw.ljust((stop - start) * self.step, b"\0")
+    def block(self, path: str, start: int, stop: int) -> np.ndarray:
+        raw = read_range(path, self.offset + start * self.step, (stop - start) * self.step).ljust((stop - start) * self.step, b"\0")
         rows = np.frombuffer(raw, np.uint8).reshape(stop - start, self.step)[:, self.prefix : self.prefix + self.samples * self.dtype.itemsize]
         return np.ascontiguousarray(rows).view(self.dtype)[None]
 
 
 class CubeReader(_Reader):
-    """A .npy array; of three axes the smallest first or last one is the band axis."""
+    """.npy arrays; of three axes the smallest first or last one is the band axis."""
 
     positive = False
 
     def __init__(self, options: dict):
         super().__init__(options)
-        shape = np.load(self.path, mmap_mode="r").shape
-        if len(shape) not in (2, 3):
-            raise ValueError("an array of two or three axes is needed")
-        self.last = len(shape) == 3 and shape[2] < shape[0]
-        self.shape = shape
-
-    def lines(self) -> int:
-        return self.shape[0] if self.last or len(self.shape) == 2 else self.shape[1]
-
-    def block(self, start: int, stop: int) -> np.ndarray:
-        data = np.load(self.path, mmap_mode="r")
-        if data.ndim == 2:
-            return np.asarray(data[None, start:stop])
-        return np.asarray(np.moveaxis(data[start:stop], 2, 0) if self.last else data[:, start:stop])
+        self.about = {}
+        for path, _ in self.files:
+            head = read_range(path, 0, 4096)
+            kind, shape, error = npy_header(head)
+            if error or "'fortran_order': True" in head[:256].decode("latin-1"):
+                raise ValueError(f"{path}: {error or 'columns first'}")
+            if len(shape) not in (2, 3):
+                raise ValueError("an array of two or three axes is needed")
+            start = 12 + int.from_bytes(head[8:12], "little") if head[6] >= 2 else 10 + int.from_bytes(head[8:10], "little")
+            self.about[path] = np.dtype(kind), shape, start, len(shape) == 3 and shape[2] < shape[0]
+
+    def lines(self, path: str) -> int:
+        _, shape, _, last = self.about[path]
+        return shape[0] if last or len(shape) == 2 else shape[1]
+
+    def block(self, path: str, start: int, stop: int) -> np.ndarray:
+        kind, shape, at, last = self.about[path]
+
+        def rows(first: int, n: int, per: list[int]) -> np.ndarray:
+            size = prod(per) * kind.itemsize
+            return np.frombuffer(read_range(path, at + first * size, n * size), kind).reshape(n, *per)
+
+        if len(shape) == 2:
+            return rows(start, stop - start, shape[1:])[None]
+        if last:
+            return np.moveaxis(rows(start, stop - start, shape[1:]), 2, 0)
+        return np.stack([rows(band * shape[1] + start, stop - start, shape[2:]) for band in range(shape[0])])
 
 
 class RawRaster(DataSource):

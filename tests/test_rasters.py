@@ -21,6 +21,28 @@ def dense(df, h, w, col="value"):
     return out
 
 
+def test_readers_of_many_files_and_uris(spark, tmp_path):
+    rasters.register(spark)
+    cubes = {"A": np.arange(3 * 10 * 8, dtype=np.float32).reshape(3, 10, 8), "B": np.arange(12 * 9 * 2, dtype=np.int16).reshape(12, 9, 2), "C": np.arange(20.0).reshape(4, 5)}
+    for name, a in cubes.items():
+        np.save(tmp_path / f"{name.lower()}.npy", a)
+        (tmp_path / f"{name.lower()}.img").write_bytes(bytes(range(1, 25)))
+    (tmp_path / "_skipped.npy").write_bytes(b"no array")
+    for path in (f"{tmp_path}/*.npy", f"file://{tmp_path}/?.npy", ",".join(f"{tmp_path}/{n}.npy" for n in "abc")):
+        got = spark.read.format("npy_cube").options(path=path, rows=3).load().collect()
+        assert len(got) == sum(a.size for a in cubes.values())
+    for r in got:
+        a = cubes[r.product_id]
+        assert r.value == (a[r.line, r.sample] if a.ndim == 2 else a[r.line, r.sample, r.band] if r.product_id == "B" else a[r.band, r.line, r.sample])
+    window = spark.read.format("raw_raster").options(path=f"file://{tmp_path}/*.img", lines=4, samples=6, dtype="u1").load().filter("line >= 1 and line <= 2 and sample > 1 and sample < 4")
+    assert sorted((r.product_id, r.line, r.sample, r.value) for r in window.collect()) == [(p, y, x, y * 6 + x + 1) for p in "ABC" for y in (1, 2) for x in (2, 3)]
+    reader = rasters.RawReader({"path": f"{tmp_path}/a.img", "lines": "4", "samples": "6", "dtype": "u1"})
+    list(reader.pushFilters([rasters.GreaterThanOrEqual(("sample",), 2), rasters.LessThanOrEqual(("sample",), 3), rasters.EqualTo(("line",), 1)]))
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [2]
+    with pytest.raises(FileNotFoundError):
+        rasters.files_of(f"{tmp_path}/nothing*.npy")
+
+
 @pytest.mark.parametrize("dtype", ["u1", ">i2", "<f4"])
 def test_raw_reader(spark, tmp_path, dtype):
     a = (np.arange(20 * 7).reshape(20, 7) % 90).astype(dtype)
