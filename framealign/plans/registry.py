@@ -815,3 +815,75 @@ def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 500 of a table in its order; the limit is the feature."""
     o = roles.table(spark, sf_dir, "orders").withColumn("rank", -F.col("o_totalprice"))
     return K.preview(o, ["rank", "o_orderkey"]).select("o_orderkey", "o_totalprice")
+
+
+# ---- labels that need each fall-back ----
+
+
+def _fallback_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    line = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts], F.lit("\n"))
+    pick = lambda n, *texts: F.element_at(F.array(*[line(t) if isinstance(t, str) else line(*t) for t in texts]), (k % n + 1).cast("int"))
+    sides = ("UPPER_LEFT", "UPPER_RIGHT", "LOWER_RIGHT", "LOWER_LEFT")
+    named = F.concat(*[line(f"{n}_LATITUDE = -", (k % 80 + 1 + i).cast("string")) for i, n in enumerate(sides)], *[line(f"{n}_LONGITUDE = ", (k % 300 + i).cast("string"), " <DEG>") for i, n in enumerate(sides)])
+    numbered = F.concat(*[line(f"CORNER{i + 1}_LATITUDE = -", (k % 80 + 1 + i).cast("string")) for i in range(4)], *[line(f"CORNER{i + 1}_LONGITUDE = ", (k % 300 + i).cast("string")) for i in range(4)])
+    box = F.concat(line("MAXIMUM_LATITUDE = ", (k % 80 + 1).cast("string")), line("MINIMUM_LATITUDE = -", (k % 80 + 1).cast("string")), line("WESTERNMOST_LONGITUDE = 10"), line("EASTERNMOST_LONGITUDE = 20.5"))
+    corners = F.when(k % 4 == 0, F.concat(named, box)).when(k % 4 == 1, F.concat(numbered, box)).when(k % 4 == 2, box).otherwise("")
+    text = F.concat(
+        F.lit("PDS_VERSION_ID = PDS3\n"), line("PRODUCT_ID = 'P", k.cast("string"), "'"), line("product_id = \"later\""), pick(2, 'INSTRUMENT_ID = "LROC"', 'INSTRUMENT_NAME = "NARROW CAMERA"'), pick(3, "INSTRUMENT_HOST_NAME = LRO", "MISSION_NAME = M2", "NOTE = none"),
+        pick(2, "TARGET = MOON", "TARGET_NAME = MOON\nTARGET = OTHER"), line("  Record_Bytes = 100"), pick(3, "^IMAGE = 3", '^IMAGE = ("F.IMG", 5)', "^IMAGE = 1000 <BYTES>"), pick(2, "SAMPLE_TYPE = UNSIGNED_INTEGER\nSAMPLE_BITS = 16\nMSB = MSB", "SAMPLE_TYPE = IEEE_REAL\nSAMPLE_BITS = 32\nBYTE_ORDER = LSB"),
+        pick(2, "LINE_PREFIX_BYTES = 0\nLINE_PREFIX = 4", "LINE_PREFIX_BYTES = 8"), pick(3, "SCALED_PIXEL_WIDTH = 0\nRESOLUTION = 2.5 <METERS/PIXEL>", "SCALED_PIXEL_WIDTH = 1.25", "RESOLUTION = 0"), pick(2, "SUB_SOLAR_AZIMUTH = 12.5", "SOLAR_AZIMUTH = 13.5"), pick(2, "ALTITUDE = 50.5 <KM>", "SPACECRAFT_ALTITUDE = 60.5 <KM>\nALTITUDE = 1"), corners,
+    )
+    return roles.table(spark, sf_dir, "part").select(k.cast("string").alias("path"), text.alias("text"))
+
+
+_CORNER_SQL = ", ".join(
+    f"CAST(CASE k % 4 WHEN 0 THEN -(k % 80 + 1 + {i}) WHEN 1 THEN -(k % 80 + 1 + {i}) WHEN 2 THEN {'' if c[0] == 'u' else '-'}(k % 80 + 1) END AS DOUBLE) AS {c}_lat, CAST(CASE WHEN k % 4 < 2 THEN k % 300 + {i} WHEN k % 4 = 2 THEN {10 if c[1] == 'l' else 20.5} END AS DOUBLE) AS {c}_lon"
+    for i, c in enumerate(("ul", "ur", "lr", "ll"))
+)
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k FROM part) SELECT CAST(k AS VARCHAR) AS path, 'P' || k AS product_id, CASE k % 2 WHEN 0 THEN 'LROC' ELSE 'NARROW CAMERA' END AS instrument, CASE k % 3 WHEN 0 THEN 'LRO' WHEN 1 THEN 'M2' END AS mission, 'MOON' AS target, CAST(100 AS INTEGER) AS record_bytes,
+ CAST(CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 1000 END AS BIGINT) AS image_pointer, CASE WHEN k % 3 = 2 THEN 'BYTES' ELSE 'RECORDS' END AS image_pointer_unit, CAST(CASE k % 3 WHEN 0 THEN 200 WHEN 1 THEN 400 ELSE 1000 END AS BIGINT) AS image_offset, CASE k % 2 WHEN 0 THEN '>u2' ELSE '<f4' END AS dtype,
+ CAST(CASE k % 2 WHEN 0 THEN 4 ELSE 8 END AS INTEGER) AS line_prefix_bytes, CAST(CASE k % 3 WHEN 0 THEN 2.5 WHEN 1 THEN 1.25 END AS DOUBLE) AS gsd_m_per_pixel, CAST(CASE k % 2 WHEN 0 THEN 12.5 ELSE 13.5 END AS DOUBLE) AS sun_azimuth_deg, CAST(CASE k % 2 WHEN 0 THEN 50.5 ELSE 60.5 END AS DOUBLE) AS altitude_km, {_CORNER_SQL} FROM p""")
+def label_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = L.parse_keyword_labels(_fallback_labels(spark, sf_dir))
+    return out.select("path", "product_id", "instrument", "mission", "target", "record_bytes", "image_pointer", "image_pointer_unit", F.col("image_offset").cast("long").alias("image_offset"), "dtype", "line_prefix_bytes", "gsd_m_per_pixel", "sun_azimuth_deg", "altitude_km", *[f"{c}_{a}" for c in L.CORNERS for a in ("lat", "lon")])
+
+
+def _fallback_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    put = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    pick = lambda m, *texts: F.element_at(F.array(*[put(t) if isinstance(t, str) else put(*t) for t in texts]), (k % m + 1).cast("int"))
+    gsd = pick(
+        6, "<pixelResolution>0.5 m/pixel</pixelResolution><pixel_size_x>9</pixel_size_x>", "<pixel_size_x>2</pixel_size_x><pixel_size_y>4</pixel_size_y>", "<comment>Images of 7.5 meter resolution.</comment>",
+        "<spacecraft_altitude>100 km</spacecraft_altitude><focal_length>140</focal_length><detector_pixel_width>7</detector_pixel_width>", "<x_min>0</x_min><x_max>640</x_max><y_min>-100</y_min><y_max>900</y_max>", "<title>none</title>",
+    )
+    axes = pick(
+        3, "<Axis_Array><axis_name>Line</axis_name><elements>100</elements></Axis_Array><Axis_Array><axis_name>Sample</axis_name><elements>64</elements></Axis_Array>",
+        '<Axis axis_name="line" elements="100"/><Axis axis_name="sample" elements="64"/>', "<imageHeight>100</imageHeight><image_width>64</image_width>",
+    )
+    sides = ("upper_left", "upper_right", "lower_left", "lower_right")
+    named = F.concat(*[put(f"<{c}_latitude>-", (k % 80 + 1 + i).cast("string"), f"</{c}_latitude><{c}_longitude>", (k % 300 + i).cast("string"), f"</{c}_longitude>") for i, c in enumerate(sides)])
+    numbered = F.concat(*[put(f"<Corner{i + 1}>-", (k % 80 + 1 + i).cast("string"), ", ", (k % 300 + i).cast("string"), f"</Corner{i + 1}>") for i in (2, 0, 3, 1)])
+    box = put("<west_bounding_coordinate>10</west_bounding_coordinate><east_bounding_coordinate>20.5</east_bounding_coordinate><south_bounding_coordinate>-", (k % 80 + 1).cast("string"), "</south_bounding_coordinate><north_bounding_coordinate>", (k % 80 + 1).cast("string"), "</north_bounding_coordinate>")
+    corners = F.when(k % 4 == 0, F.concat(box, named)).when(k % 4 == 1, F.concat(box, numbered)).when(k % 4 == 2, box).otherwise("")
+    who = pick(2, "<Observing_System_Component><type>Instrument</type><name>orbiter high resolution camera</name></Observing_System_Component>", '<Observing_System_Component type="Spacecraft"><name>x</name></Observing_System_Component><instrumentName>terrain mapping camera</instrumentName>')
+    text = F.concat(put('<p xmlns="urn:a" xmlns:b="urn:b"><b:productId>', n, "</b:productId>"), who, put("<Investigation_Area><name>M", n, "</name></Investigation_Area><orbitNumber>"), (k % 900).cast("string"), F.lit(".9</orbitNumber>"), gsd, axes, corners, F.lit("</p>"))
+    return roles.table(spark, sf_dir, "part").select(n.alias("path"), F.when(k % 50 == 0, F.lit("<p><broken></p>")).otherwise(text).alias("text"))
+
+
+_XML_CORNERS = ", ".join(
+    f"CAST(CASE WHEN k % 50 = 0 THEN NULL WHEN k % 4 < 2 THEN -(k % 80 + 1 + {i}) WHEN k % 4 = 2 THEN {'' if c[0] == 'u' else '-'}(k % 80 + 1) END AS DOUBLE) AS {c}_lat, CAST(CASE WHEN k % 50 = 0 THEN NULL WHEN k % 4 < 2 THEN k % 300 + {i} WHEN k % 4 = 2 THEN {10 if c[1] == 'l' else 20.5} END AS DOUBLE) AS {c}_lon"
+    for c, i in (("ul", 0), ("ur", 1), ("ll", 2), ("lr", 3))
+)
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_partkey % 50 <> 0 AS ok FROM part) SELECT CAST(k AS VARCHAR) AS path, CASE WHEN ok THEN CAST(k AS VARCHAR) END AS product_id, CASE WHEN ok THEN CASE k % 2 WHEN 0 THEN 'orbiter high resolution camera' ELSE 'terrain mapping camera' END END AS instrument,
+ CASE WHEN NOT ok THEN 'Unknown' WHEN k % 2 = 0 THEN 'OHRC' ELSE 'TMC' END AS sensor_type, CASE WHEN ok THEN 'M' || k END AS mission, CASE WHEN ok THEN CAST(k % 900 AS INTEGER) END AS orbit_number, CASE WHEN ok THEN CAST(100 AS INTEGER) END AS lines, CASE WHEN ok THEN CAST(64 AS INTEGER) END AS samples,
+ CAST(CASE WHEN ok THEN CASE k % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 3 WHEN 2 THEN 7.5 WHEN 3 THEN 5 WHEN 4 THEN 10 END END AS DOUBLE) AS gsd_m_per_pixel, CASE WHEN ok THEN CASE k % 6 WHEN 0 THEN 'tag' WHEN 1 THEN 'pixel_size' WHEN 2 THEN 'comment' WHEN 3 THEN 'optics' WHEN 4 THEN 'extent' END END AS gsd_source,
+ NOT ok AS failed, {_XML_CORNERS} FROM p""")
+def xml_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = L.parse_xml_labels(_fallback_xml(spark, sf_dir))
+    return out.select("path", "product_id", "instrument", "sensor_type", "mission", "orbit_number", "lines", "samples", "gsd_m_per_pixel", "gsd_source", F.col("error_message").isNotNull().alias("failed"), *[f"{c}_{a}" for c in L.CORNERS for a in ("lat", "lon")])
