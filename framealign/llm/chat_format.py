@@ -85,27 +85,32 @@ def _needs(messages: DataFrame, calls: DataFrame) -> DataFrame:
     return answered.unionByName(referred).filter("turn <> needs").distinct()
 
 
+#: Rounds after which the placed messages are written as one table again.
+COMPACT = 8
+
+
 def _placed(needs: DataFrame) -> DataFrame:
-    """conv_id, turn, place, depth, cyclic of the messages that need others or are needed."""
+    """conv_id, turn, place, depth, cyclic of the messages that need others or are needed; one job a round."""
     nodes = needs.select("conv_id", "turn").unionByName(needs.select("conv_id", F.col("needs").alias("turn"))).distinct()
-    left = common.cut(nodes.join(needs.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi"))
-    done = common.cut(nodes.join(left, ["conv_id", "turn"], "left_anti").select("conv_id", "turn", F.col("turn").alias("place"), F.lit(0).alias("depth"), F.lit(False).alias("cyclic")))
-    waiting = left.count()
-    while waiting:
-        known = done.select("conv_id", F.col("turn").alias("needs"), F.col("place").alias("p"), F.col("depth").alias("d"))
-        open_ = needs.join(left, ["conv_id", "turn"], "left_semi").join(known, ["conv_id", "needs"], "left")
-        last = F.max(F.struct("p", "d"))
-        ready = open_.groupBy("conv_id", "turn").agg(F.count(F.when(F.col("p").isNull(), 1)).alias("missing"), last.alias("last")).filter("missing = 0")
+    shape = "conv_id", "turn", "place", "depth"
+    parts = [common.cut(nodes.join(needs.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_anti").select("conv_id", "turn", F.col("turn").alias("place"), F.lit(0).alias("depth")))]
+    while True:
+        known = parts[0]
+        for part in parts[1:]:
+            known = known.unionByName(part)
+        if len(parts) > COMPACT:
+            known = common.cut(known)
+            parts = [known]
+        # a message that isn't placed is ready if all that it needs are
+        waiting = needs.join(known.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
+        asked = waiting.join(known.select("conv_id", F.col("turn").alias("needs"), F.col("place").alias("p"), F.col("depth").alias("d")), ["conv_id", "needs"], "left")
+        ready = asked.groupBy("conv_id", "turn").agg(F.count(F.when(F.col("p").isNull(), 1)).alias("missing"), F.max(F.struct("p", "d")).alias("last")).filter("missing = 0")
         later = F.col("last.p") >= F.col("turn")
-        ready = ready.select("conv_id", "turn", F.when(later, F.col("last.p")).otherwise(F.col("turn")).alias("place"), F.when(later, F.col("last.d") + 1).otherwise(F.lit(0)).alias("depth"), F.lit(False).alias("cyclic"))
-        ready = common.cut(ready)
-        found = ready.count()
-        if not found:
-            return done.unionByName(left.select("conv_id", "turn", F.col("turn").alias("place"), F.lit(0).alias("depth"), F.lit(True).alias("cyclic")))
-        done = common.cut(done.unionByName(ready))
-        left = common.cut(left.join(ready.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti"))
-        waiting -= found
-    return done
+        ready = common.cut(ready.select("conv_id", "turn", F.when(later, F.col("last.p")).otherwise(F.col("turn")).alias("place"), F.when(later, F.col("last.d") + 1).otherwise(F.lit(0)).alias("depth")))
+        if ready.isEmpty():  # what is left stands on a cycle or after one
+            left = waiting.select("conv_id", "turn").distinct().select("conv_id", "turn", F.col("turn").alias("place"), F.lit(0).alias("depth"), F.lit(True).alias("cyclic"))
+            return known.select(*shape, F.lit(False).alias("cyclic")).unionByName(left)
+        parts.append(ready)
 
 
 def format_chats(talks: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
