@@ -7,8 +7,8 @@ Search. All documents order their shingles alike, rare ones first. Two sets of n
 share one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1 in that order, so a document is filed under just these
 (prefix filter), and no pair is missed. Which shingles are frequent comes from a sample; it changes the order, so the
 work, and never the result. Lengths and the place of the first shared shingle rule out most pairs, the others are
-compared on their whole texts: first one pair of each document with each component that it may join, then those that are
-still in different ones. Of a key with many documents only neighbours by length and the pairs with the least id are taken
+compared on their whole texts: first the likeliest pair of each document, then one of each two components, then all
+that are still in different ones. Of a key with many documents only neighbours by length and the pairs with the least id are taken
 at first; then the pairs that aren't in one component yet.
 
 Cases: rows with a null doc_id are left out. Rows of one doc_id are one document. Columns other than doc_id and text
@@ -189,11 +189,23 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return named.select("u", "v", "n", F.coalesce("root_u", "u").alias("root_u"), F.coalesce("root_v", "v").alias("root_v")).filter("root_u <> root_v")
 
 
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """u, v: of the pairs of each document with each component, the one that shares most keys."""
-    forward = pairs.groupBy("u", "root_v").agg(F.max(F.struct("n", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
-    backward = pairs.groupBy("v", "root_u").agg(F.max(F.struct("n", "u")).alias("x")).select(F.col("x.u").alias("u"), "v")
-    return forward.unionByName(backward)
+def _best_of_documents(pairs: DataFrame) -> DataFrame:
+    """u, v: of the pairs of each document the one that shares most keys; as many pairs as documents at most."""
+    ends = F.array(F.struct(F.col("u").alias("at"), F.col("v").alias("other"), F.lit(True).alias("first")), F.struct(F.col("v").alias("at"), F.col("u").alias("other"), F.lit(False).alias("first")))
+    both = pairs.select("n", F.explode(ends).alias("e")).select("n", "e.*")
+    best = both.groupBy("at").agg(F.max(F.struct("n", -F.col("other"), "first")).alias("x"))
+    at, other = F.col("at"), -F.col("x.col2")
+    return best.select(F.greatest(at, other).alias("u"), F.least(at, other).alias("v"))
+
+
+def _best_of_components(pairs: DataFrame) -> DataFrame:
+    """u, v: of the pairs of each two components the one that shares most keys."""
+    key = F.greatest("root_u", "root_v").alias("a"), F.least("root_u", "root_v").alias("b")
+    return pairs.groupBy(*key).agg(F.max(F.struct("n", "u", "v")).alias("x")).select("x.u", "x.v")
+
+
+def _all(pairs: DataFrame) -> DataFrame:
+    return pairs.select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFrame:
@@ -213,16 +225,15 @@ def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFram
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     filed = read.mapInArrow(_prefixes(frequent[order], rank[order]), "key long, doc_id long, size int, place int").repartition(parts, "key")
     met = common.cut(filed.mapInArrow(_meet, f"{_PAIR}, n long, {_GROUP}"))
-    # Pairs of a large group are many. Those that the close ones have linked are left out; of the others, each document is
-    # compared first with one of each component that it may belong to, and then with all that aren't linked by now.
+    # Pairs of a large group are many, and most needn't be compared: those whose documents are linked by then are left out each time.
     pairs = common.cut(met.filter("u is not null").groupBy("u", "v").agg(F.sum("n").alias("n")))
-    open_ = _across(pairs, components(known)) if known is not None else _across(pairs, pairs.limit(0).select(F.col("u").alias("node"), F.col("v").alias("root")))
-    open_ = common.cut(open_)
-    edges = _edges(_likeliest(open_), read)
-    if known is not None:
-        edges = common.cut(known.unionByName(edges))
-    rest = _across(open_.select("u", "v", "n"), components(edges)).select("u", "v")
-    edges = common.cut(edges.unionByName(_edges(rest, read)))
+    edges = known if known is not None else common.cut(pairs.limit(0).select("u", "v"))
+    for chosen in (_best_of_documents, _best_of_components, _all):
+        pairs = common.cut(_across(pairs, components(edges)).select("u", "v", "n", "root_u", "root_v"))
+        if pairs.isEmpty():
+            break
+        edges = common.cut(edges.unionByName(_edges(chosen(pairs), read)))
+        pairs = pairs.select("u", "v", "n")
     roots = components(edges)
     crowded = met.filter("ids is not null").select("ids", "sizes", "places").distinct().withColumn("at", F.monotonically_increasing_id())
     crowded = common.cut(crowded.select("at", F.explode(F.arrays_zip("ids", "sizes", "places")).alias("m")).select("at", F.col("m.ids").alias("doc_id"), F.col("m.sizes").alias("size"), F.col("m.places").alias("place")))
