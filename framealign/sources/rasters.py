@@ -19,7 +19,7 @@ from math import prod
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from .cubes import npy_header
@@ -210,6 +210,33 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+#: Reader of each file ending; None: known, but not decoded.
+READERS = {"npy": "npy_cube", "img": "raw_raster", "raw": "raw_raster", "dat": "raw_raster", "tif": None, "tiff": None, "png": None, "jpg": None, "jpeg": None, "webp": None, "bmp": None}
+
+
+def load(spark: SparkSession, sources: list[dict]) -> DataFrame:
+    """Pixels of files of several formats as one table; sources: options of each (path and, for raw rasters, their byte layout).
+
+    Arrays are one read; raw rasters of the same layout are one read too. A file that no reader decodes is an error.
+    """
+    register(spark)
+    reads: dict[tuple, list[str]] = {}
+    for options in sources:
+        ending = options["path"].rsplit(".", 1)[-1].lower()
+        kind = READERS.get(ending)
+        if kind is None:
+            raise ValueError(f"{options['path']}: {'not decoded' if ending in READERS else 'unknown kind of file'}")
+        layout = tuple(sorted((k, str(v)) for k, v in options.items() if k != "path"))
+        reads.setdefault((kind, layout), []).append(options["path"])
+    parts = [spark.read.format(kind).options(path=",".join(paths), **dict(layout)).load() for (kind, layout), paths in reads.items()]
+    if not parts:
+        raise ValueError("no sources")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def preview_stride(lines: int, samples: int, most: int = 2048) -> int:
     return max(1, -(-max(lines, samples) // most))
 

@@ -1,12 +1,15 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framealign.functions import raster_spec as R
 from framealign.functions import report as T
 from framealign.functions import states as S
 from framealign.operators import fitting as FIT
+from framealign.operators import pixels as P
 from framealign.plans import correspond as C
-from framealign.sources import catalog, cubes, labels, store
+from framealign.plans import working as W
+from framealign.sources import catalog, cubes, labels, rasters, store
 
 PAIRS = "pair_id long, source_id string, reference_id string, s_sensor string, r_sensor string, s_width int, s_height int, r_width int, r_height int, s_scale double, r_scale double, gate_passed boolean"
 
@@ -98,3 +101,31 @@ def test_footprints_of_all_forms(spark):
 def test_extent_gives_a_resolution():
     text = "<p><lines>100</lines><samples>50</samples><x_min>0</x_min><x_max>100</x_max><y_min>-300</y_min><y_max>0</y_max></p>"
     assert (lambda r: (r["gsd_m_per_pixel"], r["gsd_source"]))(labels.parse_xml(text)) == (2.5, "extent")
+
+
+def test_working_images_of_rasters_and_cubes(spark):
+    rng = np.random.default_rng(5)
+    a = np.clip(rng.normal(100, 30, (12, 10)), 1, 255)
+    rows = [(1, y, x, float(a[y, x]), (y, x) != (3, 4)) for y in range(12) for x in range(10)] + [(2, y, x, 7.0, True) for y in range(12) for x in range(10)]
+    out = W.standard(spark.createDataFrame(rows, "product_id long, line int, sample int, value double, valid boolean").coalesce(1), 12, 10)
+    got = out["pictures"].collect()
+    assert {r.product_id for r in got} == {1} and len(got) == 4 * 120 and all(0 <= r.value <= 255 for r in got)
+    assert {r.representation for r in got} == {"intensity", "local", "structure", "gradient"} and all(r.value == 0 for r in got if not r.valid)
+    assert {r.product_id: r.status for r in out["status"].collect()} == {1: "OK", 2: "FAILED"}
+    cube = [(p, b, y, x, float(a[y, x] * b + 40 * b) if p == 1 else -9999.0) for p in (1, 2) for b in (1, 2) for y in range(12) for x in range(10)]
+    out = W.hyperspectral(spark.createDataFrame(cube, "product_id long, band int, line int, sample int, value double").coalesce(1), 2, 12, 10, mode="selected_band")
+    got = out["pictures"].collect()
+    assert {r.product_id for r in got} == {1} and len(got) == 4 * 120 and len({r.value for r in got if r.representation == "gradient"}) > 10
+    assert W.working_size(5000, 100) == (2048, 41) and W.working_size(3, 2) == (3, 2) and W.to_original(24, 20, 12, 10) == [2.0, 0.0, 0.5, 0.0, 2.0, 0.5, 0.0, 0.0, 1.0]
+
+
+def test_files_of_several_formats_are_one_table(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.ones((2, 3)))
+    (tmp_path / "b.img").write_bytes(bytes(6))
+    (tmp_path / "c.IMG").write_bytes(bytes(6))
+    raw = {"lines": 2, "samples": 3, "dtype": "u1"}
+    got = rasters.load(spark, [{"path": str(tmp_path / "a.npy")}, {"path": str(tmp_path / "b.img"), **raw}, {"path": str(tmp_path / "c.IMG"), **raw}])
+    assert {(r.product_id, r["count"]) for r in got.groupBy("product_id").count().collect()} == {("A", 6), ("B", 6), ("C", 6)}
+    for path in ("x.tif", "x.what"):
+        with pytest.raises(ValueError):
+            rasters.load(spark, [{"path": path}])
