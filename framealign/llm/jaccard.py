@@ -145,19 +145,28 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(n, pa.int64()), *none], names=["u", "v", "n", "ids", "sizes", "places"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a key whose documents aren't in one component yet; members: structs of id, size, place, root."""
-    for batch in batches:
-        for members in batch.column("members"):
-            doc, size, place, root = (members.values.field(k).to_numpy() for k in range(4))
-            kinds, at, n = np.unique(root, return_inverse=True, return_counts=True)
-            if len(kinds) < 2:
-                continue
-            size, place = size.astype(np.int64), place.astype(np.int64)
-            for k in np.flatnonzero(at != n.argmax()).tolist():  # each document beside the largest component
-                other = np.flatnonzero((at != at[k]) & _possible(size, place, size[k], place[k]))
-                if len(other):
-                    yield _pairs(np.full(len(other), doc[k]), doc[other]).select(["u", "v"])
+def _apart(likeliest: bool) -> Callable:
+    """Pairs of a key whose documents aren't in one component yet; members: structs of id, size, place, root.
+
+    likeliest: of the pairs of a document only the one whose other document has the fewest shingles of its own before the key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("members"):
+                doc, size, place, root = (members.values.field(k).to_numpy() for k in range(4))
+                kinds, at, n = np.unique(root, return_inverse=True, return_counts=True)
+                if len(kinds) < 2:
+                    continue
+                size, place = size.astype(np.int64), place.astype(np.int64)
+                for k in np.flatnonzero(at != n.argmax()).tolist():  # each document beside the largest component
+                    other = np.flatnonzero((at != at[k]) & _possible(size, place, size[k], place[k]))
+                    if len(other):
+                        if likeliest:
+                            other = other[[int(np.lexsort((doc[other], place[other]))[0])]]
+                        yield _pairs(np.full(len(other), doc[k]), doc[other]).select(["u", "v"])
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +247,10 @@ def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFram
     crowded = met.filter("ids is not null").select("ids", "sizes", "places").distinct().withColumn("at", F.monotonically_increasing_id())
     crowded = common.cut(crowded.select("at", F.explode(F.arrays_zip("ids", "sizes", "places")).alias("m")).select("at", F.col("m.ids").alias("doc_id"), F.col("m.sizes").alias("size"), F.col("m.places").alias("place")))
     member = F.struct("doc_id", "size", "place", F.coalesce("root", "doc_id").alias("root"))
-    named = crowded.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").groupBy("at").agg(F.collect_list(member).alias("members"))
-    more = _edges(named.select("members").mapInArrow(_apart, _PAIR), read)
-    if not more.isEmpty():
-        roots = components(edges.unionByName(more))
+    for likeliest in (True, False):
+        named = crowded.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").groupBy("at").agg(F.collect_list(member).alias("members"))
+        more = _edges(named.select("members").mapInArrow(_apart(likeliest), _PAIR), read)
+        if not more.isEmpty():
+            edges = common.cut(edges.unionByName(more))
+            roots = components(edges)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
