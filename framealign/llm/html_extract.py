@@ -16,8 +16,8 @@ Outer: any other.
 
 Extraction. A page's stream is folded and aligned with its host's expression, and each of its blocks gets the label of the
 slot that it fell on. On a page with inner blocks these are the main text. On any other page the outer blocks in text slots
-are, or all outer ones if the expression has no outer text slot. A block that no slot took (see MOST_ITEMS) counts as one of
-a text slot. Character references are decoded, white space in a block is made one space, trimmed; empty blocks are left out,
+are, or all outer ones if the expression has no outer text slot. A block that no slot took counts as one of a text slot.
+Expressions keep every slot, however many there are. Character references are decoded, white space in a block is made one space, trimmed; empty blocks are left out,
 the others joined in page order by a line feed.
 
 Cases: null html counts as empty and gives an empty text; a page without markup is one block; unclosed elements close
@@ -42,11 +42,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SALTS = 32
-#: Items of an expression beyond which slots that only one page has go; these are text slots anyway.
-MOST_ITEMS = 20_000
 #: Shapes of pages whose alignment is remembered.
 MOST_SHAPES = 5_000
-#: Characters of all wrappers up to which they are sent to every task.
+#: Characters of all wrappers up to which they are sent to every task; larger ones go with the rows, once per group of a host's pages.
 MOST_BROADCAST = 4_000_000
 
 _MARKUP = re.compile(
@@ -241,8 +239,11 @@ def folded(paths: list[str]) -> list[Item]:
         items = out
 
 
-def partners(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence as pairs of places, in about as many steps as there are pairs of equal keys."""
+def partners(a: list[str], b: list[str], at: dict[str, list[int]] | None = None) -> list[tuple[int, int]]:
+    """A longest common subsequence as pairs of places, in about as many steps as there are pairs of equal keys.
+
+    at: the places of each key of a, if they are known; a long a is then read only where b has its keys.
+    """
     lead = 0
     while lead < min(len(a), len(b)) and a[lead] == b[lead]:
         lead += 1
@@ -254,7 +255,8 @@ def partners(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []  # least end of a common subsequence of each length
     links: list[tuple | None] = []
-    for i in range(lead, len(a) - tail):
+    met = range(lead, len(a) - tail) if at is None else sorted(i for key in places for i in at.get(key, ()) if lead <= i < len(a) - tail)
+    for i in met:
         for j in reversed(places.get(a[i], ())):
             n = bisect_left(ends, j)
             link = (i, j, links[n - 1] if n else None)
@@ -289,8 +291,6 @@ def aligned(a: list[Item], b: list[Item]) -> list[Item]:
             merged[-1].repeated = True
         else:
             merged.append(item)
-    if len(merged) > MOST_ITEMS:
-        merged = [x for x in merged if any(s.pages > 1 for s in x.slots())] or merged[:MOST_ITEMS]
     return merged
 
 
@@ -357,8 +357,12 @@ class Wrapper:
             if not hasattr(self, "varied"):
                 slots = [s for x in self.items for s in x.slots()]
                 self.varied = any(label(s.key) == OUTER and (s.mark is None or s.pages < 2) for s in slots)
+                self.keys = [x.key for x in self.items]
+                self.at: dict[str, list[int]] = {}
+                for k, key in enumerate(self.keys):
+                    self.at.setdefault(key, []).append(k)
             taken: list[Item | None] = [None] * len(items)
-            for x, y in partners([t.key for t in self.items], [t.key for t in items]):
+            for x, y in partners(self.keys, [t.key for t in items], self.at):
                 taken[y] = self.items[x]
             slots = [s for item, x in zip(items, taken, strict=True) for s in (x.slots() if x else [None] * sum(1 for _ in item.slots()))]
             labels = []
@@ -430,26 +434,54 @@ def _merge(t: pa.Table) -> pa.Table:
     return pa.table({"host": pa.array([t.column("host")[0].as_py()], pa.string()), "wrapper": pa.array([out.dump()], pa.string())})
 
 
+def _main_text(wrapper: Wrapper, page: str) -> str:
+    found = slots(page)
+    return "\n".join(found[k][1] for k in wrapper.main(found))
+
+
 def _extract(shared):  # noqa: ANN001, ANN202
-    """shared: broadcast wrapper of each host; without it the rows have their wrapper."""
+    """shared: broadcast wrapper of each host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, Wrapper] = {}
         for b in batches:
             out = []
-            of = b.column("host").to_pylist() if shared else b.column("wrapper").to_pylist()
-            for page, key in zip(b.column("html").to_pylist(), of, strict=True):
+            for page, key in zip(b.column("html").to_pylist(), b.column("host").to_pylist(), strict=True):
                 if key not in made:
                     if len(made) > 10_000:
                         made.clear()
-                    made[key] = Wrapper.load(shared.value[key] if shared else key)
-                found = slots(page)
-                out.append("\n".join(found[k][1] for k in made[key].main(found)))
+                    made[key] = Wrapper.load(shared.value[key])
+                out.append(_main_text(made[key], page))
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     return run
 
 
+def _extract_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a group come together, and the first of them is the wrapper of its host."""
+    made = Wrapper([])
+    for b in batches:
+        out, of = [], []
+        for k, (wrapper, page) in enumerate(zip(b.column("wrapper").to_pylist(), b.column("html").to_pylist(), strict=True)):
+            if wrapper is not None:
+                made = Wrapper.load(wrapper)
+            else:
+                of.append(k)
+                out.append(_main_text(made, page))
+        rows = b.take(pa.array(of, pa.int64()))
+        yield pa.record_batch([rows.column("page_id"), rows.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+
+def _in_groups(read: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """page_id, url, html, wrapper: pages of a host in up to SALTS groups, each after a row with the host's wrapper; no row has both."""
+    pages = read.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
+    groups = pages.select("host", "salt").distinct().join(wrappers, "host")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in read.dtypes if name in ("page_id", "url", "html")]
+    rows = groups.select("host", "salt", *none, "wrapper").unionByName(pages.select("host", "salt", "page_id", "url", "html", F.lit(None).cast("string").alias("wrapper")))
+    parts = int(read.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", F.col("wrapper").isNull()).select("page_id", "url", "html", "wrapper")
+
+
 def with_host(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     return pages.select("page_id", "url", host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -474,8 +506,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
         # of a checked size; rows carry the name of their host only
         shared = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.collect()})
         out = read.mapInArrow(_extract(shared), schema)
-    else:  # pages and wrappers meet by host, skewed hosts are split at run time
-        out = read.join(wrappers, "host").select("page_id", "url", "html", "wrapper").mapInArrow(_extract(None), schema)
+    else:
+        out = _in_groups(read, wrappers).mapInArrow(_extract_groups, schema)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

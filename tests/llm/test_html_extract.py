@@ -129,3 +129,35 @@ def test_article_rule_holds_per_page(spark):
     rows += [(10, "no host", "<article><p>Own</p></article>"), (11, None, "<div><p>Plain</p></div>"), (12, "", "bare")]
     got = {k: v[0] for k, v in run(spark, rows).items()}
     assert got == {0: "Old 0", 1: "New 1", 2: "Old 2", 3: "New 3", 4: "Old 4", 5: "New 5", 10: "Own", 11: "Plain", 12: "bare"}
+
+
+def test_every_slot_of_a_long_expression_stays():
+    """A notice on two pages is template although over 20,000 slots are on one page only."""
+    named = lambda n, s: "".join(f'<div class="{s}{"".join(chr(97 + int(d)) for d in str(k))}">{k}</div>' for k in range(n))
+    notice = '<section class="end">Notice</section>'
+    pages = [named(20_100, "x") + notice, named(3, "y"), '<h2 class="q">Own</h2>' + notice]
+    made = X.Wrapper([])
+    for page in pages:
+        made.add(X.slots(page))
+    assert len(made.items) == 20_105
+    again = X.Wrapper.load(made.dump())
+    assert [X._main_text(again, p) for p in pages[1:]] == ["0\n1\n2", "Own"]
+
+
+def test_known_places_give_the_same_partners():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(12))] for _ in range(2))
+        at = {}
+        for k, x in enumerate(a):
+            at.setdefault(x, []).append(k)
+        assert X.partners(a, b, at) == X.partners(a, b)
+
+
+def test_large_wrappers_travel_once_per_group(spark, monkeypatch):
+    """Beyond MOST_BROADCAST no page's row carries its host's wrapper."""
+    monkeypatch.setattr(X, "SALTS", 2)
+    page = '<div class="a">Site</div><h2>Head %d</h2>'
+    df = X.with_host(spark.createDataFrame([(i, f"http://h{i % 3}.example.org", page % i) for i in range(60)], "page_id long, url string, html string"))
+    rows = X._in_groups(df, X.infer_wrappers(df)).collect()
+    assert sum(r.wrapper is not None for r in rows) <= 6 and sorted(r.page_id for r in rows if r.wrapper is None) == list(range(60))
