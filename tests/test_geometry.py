@@ -1,6 +1,8 @@
 import math
 import random
+import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framealign.functions import geometry as G
@@ -25,6 +27,40 @@ def test_clip_properties():
     assert not O.is_simple([(0, 0), (1, 1), (1, 0), (0, 1)]) and O.is_simple(square(0, 0, 1, 0.3))
 
 
+def test_batches_of_pairs_clip_like_one_pair():
+    """Corner for corner, and many at once."""
+    rng = random.Random(2)
+
+    def ring():
+        n, x, y = rng.choice([0, 1, 2, 3, 4, 4, 4, 5, 9]), rng.uniform(0, 3), rng.uniform(0, 3)
+        kind = rng.randrange(4)
+        if kind == 0:
+            return None if n == 1 else [(float(rng.randrange(4)), float(rng.randrange(4))) for _ in range(n)]
+        far = [rng.uniform(0.2, 1.5) if kind == 1 else 1.0 for _ in range(n)]
+        return [(x + f * math.cos(2 * math.pi * k / n), y + f * math.sin(2 * math.pi * k / n)) for k, f in enumerate(far)][:: rng.choice([1, -1])]
+
+    kind = pa.list_(pa.struct([("a", pa.float64()), ("b", pa.float64())]))
+    made = lambda rows: pa.array([r and [{"a": x, "b": y} for x, y in r] for r in rows], kind)
+    pairs = [(ring(), ring()) for _ in range(3000)]
+    got = O._overlaps(*(made(x).slice(7) for x in zip(*pairs, strict=True)), pa.array([False] * 2993)).to_pylist()
+    for (p, q), found in zip(pairs[7:], got, strict=True):
+        ok = O.is_simple(p or []) and O.is_simple(q or [])
+        want = O.clip(p, q) if ok else []
+        assert found["rings_valid"] == ok and [(c["a"], c["b"]) for c in found["overlap_polygon"]] == want
+        assert abs(found["overlap_area"] - O.polygon_area(want)) < 1e-9
+    boxes = [made([square(rng.uniform(0, 9), rng.uniform(0, 9), 3.0) for _ in range(40_000)]) for _ in range(2)]
+    start = time.process_time()
+    assert sum(O._overlaps(*boxes, pa.array([True] * 40_000)).field("rings_valid").to_pylist()) == 40_000
+    assert time.process_time() - start < 4
+
+
+def test_rings_without_corners_or_with_unknown_ones(spark):
+    """A corner without a coordinate ended the job before."""
+    box = [(1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    got = O.evaluate(rings(spark, (box, box, None, None), ([(1.0, None), *box[1:]], box, None, None), ([], box, None, None), (None, box, None, None))).orderBy("k").collect()
+    assert [r.status for r in got] == ["validated", "geometry_error", "geometry_error", "pending"] and got[0].overlap_area == 1.0
+
+
 def rings(spark, *pairs):
     shape = "array<struct<a:double,b:double>>"
     return spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], f"k int, source_ring {shape}, reference_ring {shape}, source_projection string, reference_projection string")
