@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framealign.llm import common, decontaminate, exact_dedup, huffman, packing, quality, simhash
+from framealign.llm import common, decontaminate, exact_dedup, huffman, jaccard, packing, quality, simhash
 
 #: A document goes if the probability of label 1 is below this: it is likelier junk than not.
 LEAST_SCORE = 0.5
@@ -44,7 +44,8 @@ def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = simhash.similar_documents(rows, name)
     named = rows.select(F.col(name).alias("row"), F.col("doc_id").alias("id")).join(found, "row")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("component", F.col("first.row").alias("kept"))
-    gone = named.join(first, "component").filter("row <> kept").select(F.col("row").alias("gone_row"))
+    gone = common.cut(named.join(first, "component").filter("row <> kept").select(F.col("row").alias("gone_row")))
+    gone = F.broadcast(gone) if gone.count() <= jaccard.MOST_BROADCAST else gone  # else the texts would be dealt out once more
     return rows.join(gone, rows[name] == gone["gone_row"], "left_anti").drop(name)
 
 

@@ -6,8 +6,10 @@ words is one shingle; texts without words have one empty shingle and link to eac
 Search. All documents order their shingles alike, rare ones first. Two sets of n and m shingles with a similarity of t
 share one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1 in that order, so a document is filed under just these
 (prefix filter), and no pair is missed. Which shingles are frequent comes from a sample; it changes the order, so the
-work, and never the result. Lengths and the place of the first shared shingle rule out most pairs, the others are
-compared on their whole texts: first the likeliest pair of each document, then one of each two components, then all
+work, and never the result. Lengths and the place of the first shared shingle rule out many pairs, sketches most of the
+rest. A sketch has a bit per shingle or more; each shingle flips the bit that its hash names. A shingle that only one of
+two texts has changes one bit between their sketches, so these differ in no more bits than the sets do in shingles, and a
+pair whose sketches differ in more than a similarity of t allows is none. The others are compared on their whole texts: first the likeliest pair of each document, then one of each two components, then all
 that are still in different ones. Of a key with many documents only neighbours by length and the pairs with the least id are taken
 at first; then the pairs that aren't in one component yet.
 
@@ -138,6 +140,42 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(pa.nulls(1, pa.int64()) for _ in range(3)), *(pa.array([x], k) for x, k in zip(g, kinds, strict=True))], names=["u", "v", "n", "ids", "sizes", "places"])
 
 
+def _sketch(keys: np.ndarray) -> bytes:
+    """Parities of how many of the different hashes fall on each bit; bits are a power of two, as many as hashes at least, 64 or more."""
+    bits = 1 << max(6, (len(keys) - 1).bit_length())
+    ones = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_be(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Sets of n and m shingles with these sketches can be similar enough."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    bits, least = 8 * max(len(a), len(b)), 8 * min(len(a), len(b))
+    if len(a) < len(b):
+        x, y = y, x
+    while bits > least:  # the longer one as it is with half the bits
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (LEAST[0] + LEAST[1]) * (x ^ y).bit_count() <= (LEAST[1] - LEAST[0]) * (n + m)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sizes, out = [], []
+        for text in _texts(b, "text"):
+            keys = _hashes(text)
+            sizes.append(len(keys))
+            out.append(_sketch(keys))
+        yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "size", "sketch"])
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their sketches don't rule out."""
+    for b in batches:
+        keep = [_may_be(*x) for x in zip(*(b.column(c).to_pylist() for c in ("sketch_u", "size_u", "sketch_v", "size_v")), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Different pairs, larger id first, and how many keys have each."""
     found, n = np.unique(np.c_[np.maximum(a, b), np.minimum(a, b)], axis=0, return_counts=True)
@@ -180,14 +218,29 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _edges(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs whose texts are similar enough."""
-    pairs = common.cut(pairs.distinct())
+def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the rows (doc_id, ...) whose documents are in pairs."""
     ids = common.cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    asked = common.cut(docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi"))
-    one = asked.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
-    other = asked.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v"))
-    return common.cut(pairs.join(one, "u").join(other, "v").select("u", "v", "text_u", "text_v").mapInArrow(_verified, _PAIR).distinct())
+    return common.cut(rows.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi"))
+
+
+def _both(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """u, v and the other columns of rows (doc_id, ...) for both, with _u and _v after their names."""
+    for end in ("u", "v"):
+        pairs = pairs.join(rows.select(*[F.col(c).alias(end if c == "doc_id" else f"{c}_{end}") for c in rows.columns]), end)
+    return pairs
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The different pairs that their sketches don't rule out."""
+    pairs = common.cut(pairs.distinct())
+    return common.cut(_both(pairs, _of(pairs, sketches)).mapInArrow(_left, _PAIR).distinct())
+
+
+def _edges(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the pairs whose texts are similar enough."""
+    pairs = _alike(pairs, sketches)
+    return common.cut(_both(pairs, _of(pairs, docs)).select("u", "v", "text_u", "text_v").mapInArrow(_verified, _PAIR).distinct())
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -222,7 +275,8 @@ def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFram
     spark = docs.sparkSession
     common.ship(spark)
     read = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = _edges(close, read) if close is not None else None
+    sketches = common.cut(read.mapInArrow(_sketched, "doc_id long, size int, sketch binary"))
+    known = _edges(close, read, sketches) if close is not None else None
     sample = read.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_sampled, "key long")
     counted = common.cut(sample.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     rows = SAMPLE * (counted.agg(F.sum("n")).first()[0] or 0) * (LEAST[1] - LEAST[0]) // LEAST[1]
@@ -241,7 +295,7 @@ def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFram
         pairs = common.cut(_across(pairs, components(edges)).select("u", "v", "n", "root_u", "root_v"))
         if pairs.isEmpty():
             break
-        edges = common.cut(edges.unionByName(_edges(chosen(pairs), read)))
+        edges = common.cut(edges.unionByName(_edges(chosen(pairs), read, sketches)))
         pairs = pairs.select("u", "v", "n")
     roots = components(edges)
     crowded = met.filter("ids is not null").select("ids", "sizes", "places").distinct().withColumn("at", F.monotonically_increasing_id())
@@ -249,7 +303,7 @@ def near_duplicates(docs: DataFrame, close: DataFrame | None = None) -> DataFram
     member = F.struct("doc_id", "size", "place", F.coalesce("root", "doc_id").alias("root"))
     for likeliest in (True, False):
         named = crowded.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").groupBy("at").agg(F.collect_list(member).alias("members"))
-        more = _edges(named.select("members").mapInArrow(_apart(likeliest), _PAIR), read)
+        more = _edges(named.select("members").mapInArrow(_apart(likeliest), _PAIR), read, sketches)
         if not more.isEmpty():
             edges = common.cut(edges.unionByName(more))
             roots = components(edges)

@@ -67,3 +67,40 @@ def test_stage_against_brute_force_jaccard(spark, monkeypatch, frequent):
 
 def test_empty_table(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    rng = random.Random(8)
+    words = ["v%d" % i for i in range(3000)]
+    ruled = []
+    for _ in range(400):
+        base = [rng.choice(words) for _ in range(rng.choice([1, 4, 30, 63, 64, 70, 130, 500, 1030]))]
+        other = [rng.choice(words) if rng.random() < rng.choice([0.005, 0.02, 0.1]) else w for w in base] + [rng.choice(words) for _ in range(rng.randrange(1 + len(base) // 8))]
+        a, b = (" ".join(x).encode() for x in (base, other))
+        (i, j), (x, y) = (J._hashes(a), J._hashes(b)), (J.shingles(a), J.shingles(b))
+        may = J._may_be(J._sketch(i), len(i), J._sketch(j), len(j))
+        assert may == J._may_be(J._sketch(j), len(j), J._sketch(i), len(i)) and (may or not J.similar(x, y))
+        ruled.append((len(x & y) / len(x | y), may))
+    assert sum(s >= 0.8 for s, _ in ruled) > 50
+    far = [may for s, may in ruled if s < 0.6]
+    assert len(far) > 50 and sum(far) < len(far) / 20
+
+
+def test_texts_are_read_of_likely_pairs_only(spark, monkeypatch):
+    """Texts of pairs that share a passage, but are far from similar, were all sent to be compared."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("u%d" % rng.randrange(10**6) for _ in range(n))
+    passage = words(60)
+    rows = [(k, f"{passage} {words(50)}") for k in range(60)]
+    rows += [(100, rows[3][1] + " end")]
+    sent = []
+    rest = J._alike
+    monkeypatch.setattr(J, "_alike", lambda *a: (lambda out: sent.append(out.count()) or out)(rest(*a)))
+    found = {(r.doc_id, r.component_id) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(3, 3), (100, 3)} and 1 <= sum(sent) < 10
+
+
+def test_one_id_with_two_texts_links_by_either(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "ab"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0] + " z"), (3, texts[1] + " z")]
+    assert {(r.doc_id, r.component_id) for r in J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(1, 1), (2, 1), (3, 1)}
