@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -200,20 +201,23 @@ def shard_hits(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarra
 
 def _shard(texts: list[bytes], blocks: Iterable[Phrases]) -> Iterator[tuple]:
     """(n_words, n_hit, items, spans) of each document of a shard; spans in code points."""
-    words = [words_of(text) for text in texts]
+    # each different word is held once, and its number at each of its places
+    numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+    words = [np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)) for own in map(words_of, texts)]
     counts = [len(w) for w in words]
     # a separator word between documents
     firsts = np.r_[0, np.cumsum(np.array(counts, np.int64) + 1)]
+    at_place = np.full(int(firsts[-1]), -1, np.int32)
+    for at, own in zip(firsts[:-1].tolist(), words, strict=True):
+        at_place[at : at + len(own)] = own
+    del words
     edge = np.zeros(int(firsts[-1]) + 1, np.int64)
     held: dict[int, set[str]] = {}
     for phrases in blocks:
         if not phrases.lengths.size:
             continue
-        get = phrases.symbols.get
-        ids = np.zeros(int(firsts[-1]), np.int64)
-        for at, own in zip(firsts[:-1].tolist(), words, strict=True):
-            ids[at : at + len(own)] = np.fromiter(map(get, own, repeat(0)), np.int64, len(own))
-        places, windows = shard_hits(ids, phrases)
+        symbol = np.fromiter(map(phrases.symbols.get, numbers, repeat(0)), np.int32, len(numbers))
+        places, windows = shard_hits(np.append(symbol, np.int32(0))[at_place], phrases)
         np.add.at(edge, places, 1)
         np.add.at(edge, places + phrases.lengths[windows], -1)
         doc_of = np.searchsorted(firsts, places, side="right") - 1
@@ -246,22 +250,27 @@ def _in_turn(shared: list) -> Iterator[Phrases]:
             del block._value
 
 
+def _found(column: pa.Array, shared: list) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of `_shard` for a column of texts a shard at a time, with the row each starts at."""
+    data, offs = common.raw_text(column)
+    ends, at = offs.tolist(), 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + SHARD_BYTES, side="right")) - 1)
+        to = min(to, len(column))
+        yield at, list(_shard([data[ends[k] : ends[k + 1]] for k in range(at, to)], _in_turn(shared)))
+        at = to
+
+
 def _search(shared: list):  # noqa: ANN202
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = common.raw_text(b.column("text"))
-            ids, at = b.column("doc_id"), 0
-            ends = offs.tolist()
-            while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(offs, offs[at] + SHARD_BYTES, side="right")) - 1)
-                to = min(to, b.num_rows)
-                rows = list(_shard([data[ends[k] : ends[k + 1]] for k in range(at, to)], _in_turn(shared)))
+            for at, rows in _found(b.column("text"), shared):
                 spans = [[{"start": s, "end": e} for s, e in r[3]] for r in rows]
                 yield pa.record_batch(
-                    [ids.slice(at, to - at), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array(spans, _SPANS)],
+                    [b.column("doc_id").slice(at, len(rows)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array(spans, _SPANS)],
                     names=["doc_id", "n_words", "n_hit", "items", "spans"],
                 )
-                at = to
 
     return run
 
@@ -294,13 +303,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window; nothing is joined or shuffled."""
-    search = _search(_shared(benchmark))
+    shared = _shared(benchmark)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.record_batch([pa.nulls(b.num_rows, pa.int64()), b.column("text")], names=["doc_id", "text"])
-            hits = [n for part in search(iter([texts])) for n in part.column("n_hit").to_pylist()]
-            yield b.filter(pa.array([n == 0 for n in hits], pa.bool_()))
+            clean = [n_hit == 0 for _, rows in _found(b.column("text"), shared) for _, n_hit, _, _ in rows]
+            yield b.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

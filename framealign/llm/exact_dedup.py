@@ -37,6 +37,7 @@ BUCKET_KEYS = 8192
 GAMMA = 2.0
 
 
+@common.lean
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sha = hashlib.sha256
     for b in batches:

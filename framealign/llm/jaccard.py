@@ -70,6 +70,7 @@ def _texts(b: pa.RecordBatch, name: str) -> list[bytes]:
     return [data[s:e] for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
 
 
+@common.lean
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 256):
@@ -80,6 +81,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(frequent: np.ndarray, rank: np.ndarray) -> Callable:
     """frequent: sorted hashes; rank: their places in the order, from 1."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -108,6 +110,7 @@ def _possible(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.
     return (b * np.minimum(n, m) >= a * np.maximum(n, m)) & ((a + b) * np.minimum(n - i, m - j) >= a * (n + m))
 
 
+@common.lean
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of keys of few documents, first pairs of the others, and these keys whole."""
     held = [[b.column(k).to_numpy() for k in range(4)] for b in batches if b.num_rows]
@@ -159,6 +162,7 @@ def _may_be(a: bytes, n: int, b: bytes, m: int) -> bool:
     return (LEAST[0] + LEAST[1]) * (x ^ y).bit_count() <= (LEAST[1] - LEAST[0]) * (n + m)
 
 
+@common.lean
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sizes, out = [], []
@@ -169,6 +173,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "size", "sketch"])
 
 
+@common.lean
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their sketches don't rule out."""
     for b in batches:
@@ -189,6 +194,7 @@ def _apart(likeliest: bool) -> Callable:
     likeliest: of the pairs of a document only the one whose other document has the fewest shingles of its own before the key.
     """
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members in batch.column("members"):
@@ -207,6 +213,7 @@ def _apart(likeliest: bool) -> Callable:
     return run
 
 
+@common.lean
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         last: list = [None, set()]

@@ -30,14 +30,17 @@ from .tokens import encoder, slices
 LENGTH = 2048
 END_ID = 0
 OPEN_BINS = 1024
+#: Characters of texts whose ids a task makes at once.
+BLOCK = 4_000_000
 #: Sequences that one task fills, about.
 TASK_SEQUENCES = 8192
 
 
 def _pieces(path: str, end_id: int, length: int):  # noqa: ANN202
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = encoder(path), TaskContext.get().partitionId() << 40
-        for texts, docs in ((texts, b.column("doc_id").slice(at, len(texts))) for b in batches for at, texts in slices(b.column("text"))):
+        for texts, docs in ((texts, b.column("doc_id").slice(at, len(texts))) for b in batches for at, texts in slices(b.column("text"), BLOCK)):
             rows: list[tuple] = []
             for doc, raw in zip(docs.to_pylist(), own.encode(texts), strict=True):
                 ids = np.append(np.frombuffer(raw, own.dtype), end_id).astype("<u4").tobytes()
@@ -106,6 +109,7 @@ _SCHEMA = "row long, doc_id long, piece int, start long, length long, ids_crc32
 
 
 def _pack(length: int, places: int, level: int, last: bool, settle: bool):  # noqa: ANN202
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, made = Bins(length, places), (level << 58) + (TaskContext.get().partitionId() << 32)
 

@@ -70,7 +70,7 @@ def shape_of(word: bytes) -> int:
 
 
 class Words(dict):
-    """word -> place | shape << 16, kept for recurring words."""
+    """word -> place | shape << 16, kept for recurring words of a task."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
@@ -93,7 +93,7 @@ def read_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code.append(part)
         firsts.append(firsts[-1] + len(words))
     flat = np.concatenate(code) if code else np.empty(0, np.int32)
-    return (flat & 0xFFFF).astype(np.int64), (flat >> 16).astype(np.int64), np.array(firsts, np.int64)
+    return flat & 0xFFFF, flat >> 16, np.array(firsts, np.int64)
 
 
 def _texts(b: pa.RecordBatch) -> list[bytes]:
@@ -102,19 +102,23 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
     return [data[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
+@common.lean
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places, signs = index_vectors()
+    places, signs = (x.astype(np.int32) for x in index_vectors())
     total = np.zeros(BUCKETS * DIMS)
     counts = np.zeros(BUCKETS, np.int64)
     for _, texts in (x for b in batches for x in _slices(b)):
         word, shape, firsts = read_words(texts)
         counts += np.bincount(word, minlength=BUCKETS)
-        doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        doc = np.repeat(np.arange(len(firsts) - 1, dtype=np.int32), np.diff(firsts))
         for k in range(1, REACH + 1):
             same = np.flatnonzero(doc[k:] == doc[:-k]) if len(doc) > k else np.empty(0, np.int64)
-            for to, of in ((word[same], word[same + k]), (word[same + k], word[same]), (word[same], BUCKETS + shape[same + k])):
+            for back, kind in ((0, "next"), (k, "before"), (0, "shape")):
+                to = word[same + back] * DIMS
+                of = BUCKETS + shape[same + k] if kind == "shape" else word[same + k - back]
                 for j in range(NONZERO):
-                    total += np.bincount(to * DIMS + places[of, j], weights=signs[of, j], minlength=BUCKETS * DIMS)
+                    total += np.bincount(to + places[of, j], weights=signs[of, j], minlength=BUCKETS * DIMS)
+    _words.clear()
     some = np.flatnonzero(counts)
     matrix = total.reshape(BUCKETS, DIMS)[some].astype(np.int64)
     columns = [pa.array(some, pa.int32()), pa.array(counts[some], pa.int64()), *(pa.array(matrix[:, k]) for k in range(DIMS))]
@@ -143,10 +147,10 @@ def pooled(texts: list[bytes], vectors: np.ndarray, shapes: np.ndarray) -> np.nd
     some = np.flatnonzero(size)
     if len(some):
         again = np.r_[False, word[1:] == word[:-1]]
-        doc = np.repeat(np.arange(n), size)
+        doc = np.repeat(np.arange(n, dtype=np.int32), size)
         for k in range(DIMS):
             out[some, k] = np.add.reduceat(vectors[word, k].astype(np.float64), firsts[some]) / size[some]
-        held = np.bincount(doc * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES).astype(np.float64)
+        held = np.bincount(doc.astype(np.int64) * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES).astype(np.float64)
         again[firsts[some]] = False
         held[:, REPEAT] += np.bincount(doc[again], minlength=n)
         out[some, DIMS : 2 * DIMS] = (held[some] @ shapes) / size[some, None]
@@ -166,11 +170,13 @@ def _slices(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _sampled(shared):  # noqa: ANN001, ANN202
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, shapes = shared.value, dense(*index_vectors())[BUCKETS:]
         for b in batches:
             x = np.concatenate([pooled(texts, vectors, shapes) for _, texts in _slices(b)])
             yield pa.record_batch([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "vector"])
+        _words.clear()
 
     return run
 
@@ -262,9 +268,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.record_batch([b.column("doc_id"), pa.array(shared.value.score(b), pa.float64())], names=["doc_id", "score"])
+        _words.clear()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, "doc_id long, score double")
@@ -274,9 +282,11 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score at least `least`; nothing is joined or shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(shared.value.score(b) >= least))
+        _words.clear()
 
     return docs.mapInArrow(run, docs.schema)
 

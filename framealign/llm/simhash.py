@@ -53,6 +53,7 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def _fingerprints(size: int):  # noqa: ANN202
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = common.raw_text(b.column("text"))
@@ -106,6 +107,7 @@ def _stars(fps: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int]]:
     return u, v
 
 
+@common.lean
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; a key may go on in the next batch."""
     held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)]
